@@ -71,8 +71,7 @@ def word_tokens(col, lowercase: bool = True) -> Column:
 def char_tokens(col) -> Column:
     """One element per code point, case kept (empty text -> [])."""
     c = _c(col)
-    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, 1)))
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, "", -1))
 
 
 def clean_text(col, min_chars: int = 1) -> Column:

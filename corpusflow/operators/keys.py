@@ -39,11 +39,19 @@ def hex_bucket(hex_col, digits: int = 3) -> Column:
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint")
 
 
-def range_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> Column:
-    """Fixed-width range bucket of an integer key.  One tiny action reads the
-    key's min / max (a column statistic) to size the buckets."""
+def key_bounds(df: DataFrame, key: str) -> tuple[int, int]:
+    """Min and max of an integer key: one narrow aggregate (a single-column
+    scan when ``df`` is a table).  Compute it on the cheapest DataFrame that
+    carries the key and pass it to :func:`range_bucket` via ``bounds``."""
     row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = (row["lo"] or 0), (row["hi"] or 0)
+    return (row["lo"] or 0), (row["hi"] or 0)
+
+
+def range_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS,
+                 bounds: tuple[int, int] | None = None) -> Column:
+    """Fixed-width range bucket of an integer key (``n_buckets`` buckets over
+    ``bounds``; the bounds are read from ``df`` when not given)."""
+    lo, hi = bounds if bounds is not None else key_bounds(df, key)
     width = max(1, -(-(hi - lo + 1) // max(1, n_buckets)))
     return F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint")
 

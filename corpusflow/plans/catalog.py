@@ -296,3 +296,185 @@ def q_history_to_scalars(spark, sf):
             .join(va.select("run", F.struct(*M.METRICS).alias("val_metrics")), "run")
             .withColumnRenamed("run", "epoch"))
     return M.history_to_scalars(hist).select("step", "tag", _r("value").alias("value"))
+
+
+# ------------------------------------------------------------------ vocabularies, encoding, sequences
+
+from corpusflow.operators import sequences as Q, vocab as V  # noqa: E402
+from corpusflow.operators.keys import key_bounds  # noqa: E402
+from corpusflow.operators.ml import pool_vectors  # noqa: E402
+
+
+def _ids_str(c="ids"):
+    return F.array_join(F.col(c).cast("array<string>"), " ")
+
+
+def _train_vocab(spark, sf):
+    sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
+    return V.build_word_vocab(sp.where(F.col("split") == "train"))
+
+
+def _utterances(spark, sf):
+    conv = table(spark, sf, "conversations")
+    return conv.select((F.col("conv_id") * 10000 + F.col("turn")).alias("utt_id"), "text")
+
+
+@register("word_vocab")
+def q_word_vocab(spark, sf):
+    return V.build_word_vocab(table(spark, sf, "documents"))
+
+
+@register("char_vocab")
+def q_char_vocab(spark, sf):
+    return V.build_char_vocab(table(spark, sf, "documents"))
+
+
+@register("encode_fixed")
+def q_encode_fixed(spark, sf):
+    enc = V.encode_fixed(labelled(spark, sf), _train_vocab(spark, sf), max_len=64)
+    return enc.select("doc_id", _ids_str().alias("ids"))
+
+
+@register("encode_truncated")
+def q_encode_truncated(spark, sf):
+    enc = V.encode_truncated(labelled(spark, sf), _train_vocab(spark, sf), max_length=16)
+    return enc.select("doc_id", _ids_str().alias("ids"), F.size("ids").cast("bigint").alias("n_ids"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("mask_sum"),
+                      "label")
+
+
+@register("encode_chars")
+def q_encode_chars(spark, sf):
+    vocab = V.build_char_vocab(table(spark, sf, "benchmark"), order="item_id")
+    enc = V.encode_chars(_utterances(spark, sf), vocab, order="utt_id", add_special_tokens=True)
+    return enc.select("utt_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(_ids_str()).alias("ids_md5"))
+
+
+@register("decode_chars")
+def q_decode_chars(spark, sf):
+    utt = _utterances(spark, sf)
+    vocab = V.build_char_vocab(utt, order="utt_id")
+    enc = V.encode_chars(utt, vocab, order="utt_id", add_special_tokens=True)
+    dec = V.decode_chars(enc, vocab, order="utt_id")
+    return dec.select("utt_id", F.md5("text").alias("text_md5"))
+
+
+def _corpus_stream(spark, sf):
+    docs = table(spark, sf, "documents")
+    enc = V._encode(docs, T.word_tokens(F.col("text")), V.build_word_vocab(docs), "doc_id", None)
+    return Q.flat_token_stream(enc, bounds=key_bounds(docs, "doc_id"))
+
+
+@register("token_stream")
+def q_token_stream(spark, sf):
+    return _corpus_stream(spark, sf)
+
+
+@register("pack_blocks")
+def q_pack_blocks(spark, sf):
+    blocks = Q.pack_blocks(_corpus_stream(spark, sf), block_size=256, stride=128)
+    return blocks.select("start", F.md5(_ids_str("x")).alias("x_md5"), F.md5(_ids_str("y")).alias("y_md5"))
+
+
+@register("assign_batches")
+def q_assign_batches(spark, sf):
+    return Q.assign_batches(labelled(spark, sf).select("doc_id"), "doc_id", 32)
+
+
+@register("pad_batches")
+def q_pad_batches(spark, sf):
+    enc = V.encode_truncated(labelled(spark, sf), _train_vocab(spark, sf), max_length=None)
+    b = Q.assign_batches(enc, "doc_id", 8, bounds=key_bounds(table(spark, sf, "labels"), "doc_id"))
+    p = Q.pad_batches(b, "ids", "batch", max_length=48)
+    return p.select("doc_id", "batch", F.md5(_ids_str("input_ids")).alias("ids_md5"),
+                    F.size("input_ids").cast("bigint").alias("width"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("mask_sum"))
+
+
+@register("pool_vectors")
+def q_pool_vectors(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    emb = emb.withColumn("mask", F.when(F.col("vec_id") % 4 == 3, 0).otherwise(1))
+    p = pool_vectors(emb, "label", "vec_id", "embedding", "mask")
+    return p.select("label", "dim", *[_r(c, 6).alias(c) for c in ("masked_mean", "mean", "last")])
+
+
+# ------------------------------------------------------------------ web pages
+
+from corpusflow.functions.urls import normalize_url as _normalize_url, url_host as _url_host, url_path as _url_path  # noqa: E402
+from corpusflow.operators import web as W  # noqa: E402
+
+ALLOW_ENTRIES = ["example.com/en", "example.org"]
+CRAWLER_AGENT = "CorpusBot/1.0"
+
+
+def _pages(spark, sf):
+    return table(spark, sf, "pages")
+
+
+def _robots_rules(pages):
+    """Robots rules per stored host, derived from the pages table: every host
+    disallows ``/fr/`` for all agents; ``blog.`` hosts add a group for the
+    crawler's agent that disallows ``/en/``."""
+    hosts = pages.select(_url_host(F.col("url")).alias("host")).distinct()
+    rule = lambda a, s, p, ok: F.struct(F.lit(a).alias("agent"), F.lit(s).alias("seq"),
+                                        F.lit(p).alias("prefix"), F.lit(ok).alias("allow"))
+    generic = F.array(rule("*", 1, "/fr/", False), rule("*", 2, "/", True))
+    specific = F.array(rule("corpusbot", 3, "/en/", False))
+    rules = F.when(F.col("host").startswith("blog."), F.concat(generic, specific)).otherwise(generic)
+    return hosts.select("host", F.explode(rules).alias("r")).select("host", "r.*")
+
+
+@register("normalize_url")
+def q_normalize_url(spark, sf):
+    return _pages(spark, sf).select("page_id", _normalize_url(F.col("url")).alias("norm_url"))
+
+
+@register("url_allowed")
+def q_url_allowed(spark, sf):
+    rules = W.rules_frame(spark, W.parse_allow_rules(ALLOW_ENTRIES))
+    pages = _pages(spark, sf).select("page_id", _normalize_url(F.col("url")).alias("url"))
+    return W.allowed_urls(pages, rules, "url").select("page_id")
+
+
+@register("robots_allowed")
+def q_robots_allowed(spark, sf):
+    pages = _pages(spark, sf)
+    out = W.robots_allowed(pages.select("page_id", "url"), _robots_rules(pages), "url", CRAWLER_AGENT)
+    return out.select("page_id", "robots_ok")
+
+
+@register("scan_pages")
+def q_scan_pages(spark, sf):
+    pages = _pages(spark, sf)
+    ct = (F.when(F.col("url").contains(".html"), F.lit("text/html; charset=utf-8"))
+          .when(F.col("page_id") % 7 == 0, F.lit("application/json"))
+          .when(F.col("page_id") % 7 == 1, F.lit("application/xhtml+xml"))
+          .otherwise(F.lit("text/html")))
+    return W.html_gate(pages.withColumn("content_type", ct)).select("page_id", "content_type")
+
+
+@register("html_title")
+def q_html_title(spark, sf):
+    return W.extract_pages(_pages(spark, sf)).select("page_id", "title")
+
+
+@register("html_to_text")
+def q_html_to_text(spark, sf):
+    ext = W.extract_pages(_pages(spark, sf))
+    return ext.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("extract_links")
+def q_extract_links(spark, sf):
+    ext = W.extract_pages(_pages(spark, sf))
+    links = ext.select("page_id", F.posexplode("links").alias("pos", "raw"))
+    return links.select("page_id", "pos", _normalize_url(F.col("raw")).alias("dst"))
+
+
+@register("crawl_bfs")
+def q_crawl_bfs(spark, sf):
+    pages = _pages(spark, sf)
+    rules = W.rules_frame(spark, W.parse_allow_rules(["example.com", "example.net", "example.org"]))
+    return W.crawl_bfs(pages, pages.select("url"), rules, max_depth=3, min_text_length=200,
+                       max_pages=None).select("url", "depth", F.length("text").cast("bigint").alias("n_chars"))

@@ -315,3 +315,163 @@ SELECT step, tag, round(value, 9) AS value FROM (
   UNION ALL SELECT step, 'Metrics/validation/recall', vr FROM w
   UNION ALL SELECT step, 'Metrics/validation/f1', vf FROM w)""",
 }
+
+
+# ------------------------------------------------------------------ vocabularies, encoding, sequences
+
+def _words(src: str, key: str = "doc_id") -> str:
+    """(key, token, pos 0-based) for ``lower(text).split()``."""
+    return (f"SELECT {key}, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM "
+            f"(SELECT {key}, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w "
+            f"FROM {src})")
+
+
+def _chars(src: str, key: str) -> str:
+    return (f"SELECT {key}, unnest(c) AS token, generate_subscripts(c, 1) - 1 AS pos FROM "
+            f"(SELECT {key}, string_split(text, '') AS c FROM {src} WHERE length(text) > 0)")
+
+
+def _first_seen(tokens: str, key: str, n_specials: int) -> str:
+    return f"""
+SELECT token, CAST(row_number() OVER (ORDER BY {key}, pos) + {n_specials - 1} AS BIGINT) AS id FROM (
+  SELECT token, {key}, pos FROM ({tokens})
+  QUALIFY row_number() OVER (PARTITION BY token ORDER BY {key}, pos) = 1)"""
+
+
+WORD_SPECIALS_SQL = "SELECT '<PAD>' AS token, CAST(0 AS BIGINT) AS id UNION ALL SELECT '<UNK>', CAST(1 AS BIGINT)"
+CHAR_SPECIALS_SQL = ("SELECT '<PAD>' AS token, CAST(0 AS BIGINT) AS id UNION ALL SELECT '<UNK>', 1 "
+                     "UNION ALL SELECT '<BOS>', 2 UNION ALL SELECT '<EOS>', 3")
+TRAIN_VOCAB = f"""{_first_seen(_words(f"(SELECT * FROM ({SPLIT3_LABELLED}) WHERE split = 'train')"), 'doc_id', 2)}"""
+UTT = "(SELECT conv_id * 10000 + turn AS utt_id, text FROM conversations)"
+
+
+def _encoded(src: str, vocab: str, max_len: int | None) -> str:
+    cut = f"WHERE t.pos < {max_len}" if max_len is not None else ""
+    return f"""
+SELECT d.doc_id, coalesce(e.l, CAST([] AS BIGINT[])) AS ids FROM {src} d LEFT JOIN (
+  SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS l
+  FROM ({_words(src)}) t LEFT JOIN ({vocab}) v USING (token) {cut} GROUP BY t.doc_id) e USING (doc_id)"""
+
+
+CORPUS_STREAM = f"""
+SELECT CAST(row_number() OVER (ORDER BY t.doc_id, t.pos) - 1 AS BIGINT) AS g, CAST(v.id AS BIGINT) AS token_id
+FROM ({_words('documents')}) t JOIN ({_first_seen(_words('documents'), 'doc_id', 2)}) v USING (token)"""
+
+SQL.update({
+    "word_vocab": f"{WORD_SPECIALS_SQL} UNION ALL {_first_seen(_words('documents'), 'doc_id', 2)}",
+    "char_vocab": f"{CHAR_SPECIALS_SQL} UNION ALL {_first_seen(_chars('documents', 'doc_id'), 'doc_id', 4)}",
+    "encode_fixed": f"""
+SELECT doc_id, array_to_string(list_resize(ids, 64, 0), ' ') AS ids FROM ({_encoded(LABELLED, TRAIN_VOCAB, 64)})""",
+    "encode_truncated": f"""
+SELECT e.doc_id, array_to_string(e.ids, ' ') AS ids, CAST(len(e.ids) AS BIGINT) AS n_ids,
+       CAST(len(e.ids) AS BIGINT) AS mask_sum, l.label
+FROM ({_encoded(LABELLED, TRAIN_VOCAB, 16)}) e JOIN {LABELLED} l USING (doc_id)""",
+    "encode_chars": f"""
+WITH v AS ({_first_seen(_chars('benchmark', 'item_id'), 'item_id', 4)}),
+e AS (SELECT t.utt_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS l
+      FROM ({_chars(UTT, 'utt_id')}) t LEFT JOIN v USING (token) GROUP BY t.utt_id),
+w AS (SELECT u.utt_id, list_concat([CAST(2 AS BIGINT)], coalesce(e.l, CAST([] AS BIGINT[])), [CAST(3 AS BIGINT)]) AS ids
+      FROM {UTT} u LEFT JOIN e USING (utt_id))
+SELECT utt_id, CAST(len(ids) AS BIGINT) AS n_ids, md5(array_to_string(ids, ' ')) AS ids_md5 FROM w""",
+    "decode_chars": f"SELECT utt_id, md5(text) AS text_md5 FROM {UTT}",
+    "token_stream": CORPUS_STREAM,
+    "pack_blocks": f"""
+WITH st AS ({CORPUS_STREAM}),
+n AS (SELECT count(*) AS n FROM st),
+starts AS (SELECT unnest(generate_series(0, n - 257, 128)) AS start FROM n UNION SELECT n - 257 FROM n),
+w AS (SELECT s.start, st.g, st.token_id FROM starts s JOIN st ON st.g BETWEEN s.start AND s.start + 256)
+SELECT start,
+       md5(string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY g) FILTER (WHERE g < start + 256)) AS x_md5,
+       md5(string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY g) FILTER (WHERE g > start)) AS y_md5
+FROM w GROUP BY start""",
+    "assign_batches": f"""
+SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 32 AS BIGINT) AS batch FROM {LABELLED}""",
+    "pad_batches": f"""
+WITH e AS (SELECT doc_id, list_slice(ids, 1, 48) AS t,
+                  CAST((row_number() OVER (ORDER BY doc_id) - 1) // 8 AS BIGINT) AS batch
+           FROM ({_encoded(LABELLED, TRAIN_VOCAB, None)})),
+w AS (SELECT *, max(len(t)) OVER (PARTITION BY batch) AS width FROM e)
+SELECT doc_id, batch, md5(array_to_string(list_resize(t, width, 0), ' ')) AS ids_md5,
+       CAST(width AS BIGINT) AS width, CAST(len(t) AS BIGINT) AS mask_sum FROM w""",
+    "pool_vectors": """
+WITH e AS (SELECT label, vec_id, CASE WHEN vec_id % 4 = 3 THEN 0.0 ELSE 1.0 END AS m,
+                  unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT label, CAST(dim AS INTEGER) AS dim,
+       round(sum(CAST(v AS DOUBLE) * m) / greatest(sum(m), 1.0), 6) AS masked_mean,
+       round(avg(CAST(v AS DOUBLE)), 6) AS mean, round(arg_max(CAST(v AS DOUBLE), vec_id), 6) AS last
+FROM e GROUP BY label, dim""",
+})
+
+
+# ------------------------------------------------------------------ web pages
+
+def _url_parts_sql(x: str) -> str:
+    """Subquery columns: scheme, netloc, path, query of URL expression ``x``."""
+    return f"""
+SELECT *, regexp_replace(regexp_extract(after, '^([^?]*)', 1), ';[^/]*$', '') AS path,
+       regexp_extract(after, '^[^?]*[?](.*)$', 1) AS query
+FROM (SELECT *, CASE WHEN starts_with(rest, '//') THEN regexp_extract(rest, '^//([^/?#]*)', 1) ELSE '' END AS netloc,
+             CASE WHEN starts_with(rest, '//') THEN regexp_replace(rest, '^//[^/?#]*', '') ELSE rest END AS after
+      FROM (SELECT *, CASE WHEN scheme <> '' THEN regexp_replace(u0, '^[A-Za-z][A-Za-z0-9+.-]*:', '') ELSE u0 END AS rest
+            FROM (SELECT *, lower(regexp_extract(u0, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme
+                  FROM (SELECT *, regexp_extract({x}, '^([^#]*)', 1) AS u0 FROM __SRC__))))"""
+
+
+def _with_url_parts(src: str, x: str) -> str:
+    return _url_parts_sql(x).replace("__SRC__", src)
+
+
+NORM = ("coalesce(nullif(scheme, ''), 'https') || '://' || lower(netloc) || coalesce(nullif(path, ''), '/') "
+        "|| CASE WHEN query <> '' THEN '?' || query ELSE '' END")
+
+
+def _decode_entities(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), "
+            f"'&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&')")
+
+
+def _visible_text(h: str) -> str:
+    for tag in ["script", "style", "header", "footer", "nav", "noscript", "svg"]:
+        h = f"regexp_replace({h}, '<{tag}[\\s>].*?</{tag}>', '', 'gs')"
+    h = f"regexp_replace({h}, '<!--.*?-->', '', 'gs')"
+    h = f"regexp_replace({h}, '<![^>]*>', '', 'g')"
+    h = f"regexp_replace({h}, '<[^>]*>', chr(10), 'g')"
+    h = _decode_entities(h)
+    return (f"array_to_string(list_filter(list_transform(string_split({h}, chr(10)), lambda x: trim(x, {WS})), "
+            f"lambda x: x <> ''), chr(10))")
+
+
+SQL.update({
+    "normalize_url": f"SELECT page_id, {NORM} AS norm_url FROM ({_with_url_parts('pages', 'url')})",
+    "url_allowed": f"""
+WITH n AS (SELECT page_id, {NORM} AS url FROM ({_with_url_parts('pages', 'url')})),
+p AS (SELECT page_id, lower(netloc) AS host, path FROM ({_with_url_parts('n', 'url')}))
+SELECT page_id FROM p
+WHERE ((host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en'))
+   OR (host = 'example.org' OR ends_with(host, '.example.org'))""",
+    "robots_allowed": f"""
+SELECT page_id,
+       CASE WHEN starts_with(lower(netloc), 'blog.') THEN NOT starts_with(coalesce(nullif(path, ''), '/'), '/en/')
+            ELSE NOT starts_with(coalesce(nullif(path, ''), '/'), '/fr/') END AS robots_ok
+FROM ({_with_url_parts('pages', 'url')})""",
+    "scan_pages": """
+SELECT page_id, content_type FROM (
+  SELECT page_id, CASE WHEN contains(url, '.html') THEN 'text/html; charset=utf-8'
+                       WHEN page_id % 7 = 0 THEN 'application/json'
+                       WHEN page_id % 7 = 1 THEN 'application/xhtml+xml' ELSE 'text/html' END AS content_type
+  FROM pages)
+WHERE contains(split_part(content_type, ';', 1), 'text/html')
+   OR contains(split_part(content_type, ';', 1), 'application/xhtml+xml')""",
+    "html_title": f"""
+SELECT page_id, trim({_decode_entities("regexp_extract(html, '<title>(.*?)</title>', 1)")}, {WS}) AS title
+FROM pages""",
+    "html_to_text": f"""
+SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5
+FROM (SELECT page_id, {_visible_text('html')} AS t FROM pages)""",
+    "extract_links": f"""
+WITH a AS (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos
+           FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)),
+j AS (SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href
+                                ELSE href END AS raw FROM a)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, {NORM} AS dst FROM ({_with_url_parts('j', 'raw')})""",
+})
