@@ -478,3 +478,60 @@ def q_crawl_bfs(spark, sf):
     rules = W.rules_frame(spark, W.parse_allow_rules(["example.com", "example.net", "example.org"]))
     return W.crawl_bfs(pages, pages.select("url"), rules, max_depth=3, min_text_length=200,
                        max_pages=None).select("url", "depth", F.length("text").cast("bigint").alias("n_chars"))
+
+
+# ------------------------------------------------------------------ language model, BPE, ML
+
+from corpusflow.operators import bpe as B, lm as LM, ml as ML  # noqa: E402
+
+
+@register("ngram_lm")
+def q_ngram_lm(spark, sf):
+    lp = LM.bigram_logprobs(LM.train_ngram_lm(table(spark, sf, "documents"), k=1.0))
+    return lp.select("prev", "next", "count", _r("logp").alias("logp"))
+
+
+@register("lm_perplexity")
+def q_lm_perplexity(spark, sf):
+    model = LM.train_ngram_lm(table(spark, sf, "documents"), k=1.0)
+    p = LM.lm_perplexity(model, table(spark, sf, "benchmark"), key="item_id", per_document=True)
+    return p.select("item_id", _r("avg_loss").alias("avg_loss"), _r("perplexity", 6).alias("perplexity"))
+
+
+@register("next_token_topk")
+def q_next_token_topk(spark, sf):
+    lp = LM.bigram_logprobs(LM.train_ngram_lm(table(spark, sf, "documents"), k=1.0))
+    top = LM.next_token_topk(lp, "prev", "next", "logp", k=3, temperature=0.8)
+    return top.select("prev", "next", _r("prob").alias("prob"))
+
+
+@register("pretoken_counts")
+def q_pretoken_counts(spark, sf):
+    return B.pretoken_counts(table(spark, sf, "documents"), min_frequency=2)
+
+
+@register("bpe_train")
+def q_bpe_train(spark, sf):
+    hist = B.pretoken_counts(table(spark, sf, "benchmark"), min_frequency=1)
+    merges, _ = B.bpe_train(hist, vocab_size=261 + 20, min_frequency=2)
+    return merges
+
+
+@register("text_classifier")
+def q_text_classifier(spark, sf):
+    sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
+    model = ML.train_text_classifier(sp.where(F.col("split") == "train"), max_iter=20)
+    return ML.evaluate_splits(model, sp.where(F.col("split") != "train"))
+
+
+@register("score_table")
+def q_score_table(spark, sf):
+    sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
+    model = ML.train_text_classifier(sp.where(F.col("split") == "train"), max_iter=20)
+    return ML.score_table(model, sp.where(F.col("split") == "test")).select("doc_id", "label", "pred", "conf")
+
+
+@register("multi_seed_runs")
+def q_multi_seed_runs(spark, sf):
+    long = ML.multi_seed_runs(labelled(spark, sf), seeds=(42, 43, 44), max_iter=10)
+    return M.multi_run_summary(long)

@@ -475,3 +475,40 @@ j AS (SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN regexp_extract(
                                 ELSE href END AS raw FROM a)
 SELECT page_id, CAST(pos AS INTEGER) AS pos, {NORM} AS dst FROM ({_with_url_parts('j', 'raw')})""",
 })
+
+
+# ------------------------------------------------------------------ language model
+
+def _bigrams_sql(src: str, key: str) -> str:
+    return f"""
+SELECT {key}, i - 1 AS pos, s[i] AS prev, s[i + 1] AS next FROM (
+  SELECT {key}, s, unnest(generate_series(1, len(s) - 1)) AS i FROM (
+    SELECT {key}, list_concat(['<s>'], list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''),
+                             ['</s>']) AS s FROM {src}))"""
+
+
+LM_COUNTS = f"""
+c AS (SELECT prev, next, count(*) AS count FROM ({_bigrams_sql('documents', 'doc_id')}) GROUP BY prev, next),
+cx AS (SELECT prev, sum(count) AS ctx_count FROM c GROUP BY prev),
+v AS (SELECT CAST(count(DISTINCT next) + 1 AS DOUBLE) AS vs FROM c)"""
+
+LOGPROBS = f"""
+WITH {LM_COUNTS.strip()},
+lp AS (SELECT c.prev, c.next, CAST(c.count AS BIGINT) AS count,
+              ln((c.count + 1.0) / (cx.ctx_count + 1.0 * v.vs)) AS logp FROM c JOIN cx USING (prev), v)"""
+
+SQL.update({
+    "ngram_lm": f"{LOGPROBS} SELECT prev, next, count, round(logp, 9) AS logp FROM lp",
+    "lm_perplexity": f"""
+WITH {LM_COUNTS.strip()},
+b AS ({_bigrams_sql('benchmark', 'item_id')}),
+s AS (SELECT b.item_id, -ln((coalesce(c.count, 0) + 1.0) / (coalesce(cx.ctx_count, 0) + 1.0 * v.vs)) AS nll
+      FROM b LEFT JOIN c ON c.prev = b.prev AND c.next = b.next LEFT JOIN cx ON cx.prev = b.prev, v),
+a AS (SELECT item_id, sum(nll) / count(*) AS l FROM s GROUP BY item_id)
+SELECT item_id, round(l, 9) AS avg_loss, round(exp(least(l, 20.0)), 6) AS perplexity FROM a""",
+    "next_token_topk": f"""
+{LOGPROBS},
+sc AS (SELECT prev, next, logp / 0.8 AS l, rank() OVER (PARTITION BY prev ORDER BY logp / 0.8 DESC) AS rk FROM lp),
+k AS (SELECT prev, next, l, exp(l - max(l) OVER (PARTITION BY prev)) AS e FROM sc WHERE rk <= 3)
+SELECT prev, next, round(e / sum(e) OVER (PARTITION BY prev), 9) AS prob FROM k""",
+})
