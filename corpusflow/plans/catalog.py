@@ -535,3 +535,100 @@ def q_score_table(spark, sf):
 def q_multi_seed_runs(spark, sf):
     long = ML.multi_seed_runs(labelled(spark, sf), seeds=(42, 43, 44), max_iter=10)
     return M.multi_run_summary(long)
+
+
+# ------------------------------------------------------------------ sources, sinks, streaming
+
+import uuid  # noqa: E402
+
+from corpusflow.session import checkpoint_dir  # noqa: E402
+from corpusflow.sources import readers as R, sinks as K  # noqa: E402
+from corpusflow.streaming.dedup import run_stream_dedup  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint location (never machine-local
+    on a cluster: ``spark.checkpoint.dir`` names shared storage there)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+@register("jsonl_preprocess")
+def q_jsonl_preprocess(spark, sf):
+    """A2 -> D3 -> I5: the reference's flagship path, from a JSON-lines folder."""
+    root = _scratch(spark, "jsonl")
+    K.write_jsonl(table(spark, sf, "documents").orderBy("doc_id"), root)
+    docs, _ = R.read_jsonl_dir(spark, root, glob="*.json")
+    out = preprocess_corpus(docs, order="doc_ord")
+    return out.select(F.variant_get("data", "$.doc_id", "bigint").alias("doc_id"), "text",
+                      F.variant_get("data", "$.lang", "string").alias("lang"),
+                      F.variant_get("data", "$.source", "string").alias("source"),
+                      F.variant_get("data", "$.n_chars", "bigint").alias("n_chars"))
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """I4 -> A1 / A3: split CSVs with multi-line texts written and read back."""
+    root = _scratch(spark, "csv")
+    sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
+    K.write_csv(sp.select("doc_id", "text", "label", "split"), root, partition_by="split")
+    back = spark.read.csv(root, header=True, multiLine=True, escape='"', inferSchema=True)
+    tl = R.read_labelled(spark, root)
+    assert tl.columns == ["text", "label"]
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("label").cast("int").alias("label"),
+                       F.md5("text").alias("text_md5"), "split")
+
+
+@register("collect_texts")
+def q_collect_texts(spark, sf):
+    """A5: .txt (conversations), .csv (benchmark) and JSON lines (documents)."""
+    root = _scratch(spark, "collect")
+    K.write_text(table(spark, sf, "conversations"), f"{root}/txt")
+    K.write_csv(table(spark, sf, "benchmark"), f"{root}/csv")
+    K.write_jsonl(table(spark, sf, "documents"), f"{root}/jsonl")
+    texts = R.collect_texts(spark, root, min_chars=15, jsonl_glob="*.json")
+    return texts.select(F.md5("text").alias("text_md5"))
+
+
+@register("read_list")
+def q_read_list(spark, sf):
+    root = _scratch(spark, "list")
+    K.write_text(table(spark, sf, "pages").select(F.concat(F.lit("  "), F.col("url")).alias("text")), root)
+    return R.read_list(spark, root)
+
+
+@register("normalize_labelled")
+def q_normalize_labelled(spark, sf):
+    """B1 + B2: columns found by name (``comment``, ``toxicity``) and labels converted."""
+    lab = labelled(spark, sf)
+    raw = lab.select("doc_id", F.col("text").alias("comment"),
+                     F.when(F.col("label") == 1, F.lit("Toxic")).otherwise(F.lit("not toxic ")).alias("toxicity"))
+    out, decision = L.normalize_labelled(raw)
+    assert decision["text_col"] == "comment" and decision["label_col"] == "toxicity"
+    return out.select(F.md5("text").alias("text_md5"), "label")
+
+
+@register("with_fallback_source")
+def q_with_fallback(spark, sf):
+    """Benchmark texts unless fewer than 100, then documents instead."""
+    primary = table(spark, sf, "benchmark").select(F.col("item_id").alias("src_id"), "text")
+    fallback = table(spark, sf, "documents").select(F.col("doc_id").alias("src_id"), "text")
+    chosen, _ = R.with_fallback_source(primary, fallback, min_texts=100)
+    return chosen.select("src_id", F.md5("text").alias("text_md5"))
+
+
+@register("load_corpus")
+def q_load_corpus(spark, sf):
+    """Union of three sources with per-source counts."""
+    _, counts = R.load_corpus({"documents": table(spark, sf, "documents"),
+                               "benchmark": table(spark, sf, "benchmark"),
+                               "conversations": table(spark, sf, "conversations")})
+    return counts
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf):
+    """K1: streaming length gate + hash dedup over the documents file."""
+    base = _scratch(spark, "stream")
+    schema = table(spark, sf, "documents").schema
+    out = run_stream_dedup(spark, sf, schema, f"{base}/out", f"{base}/ckpt", glob="documents.parquet")
+    return out.select("content_hash")

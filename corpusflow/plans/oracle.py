@@ -512,3 +512,31 @@ sc AS (SELECT prev, next, logp / 0.8 AS l, rank() OVER (PARTITION BY prev ORDER
 k AS (SELECT prev, next, l, exp(l - max(l) OVER (PARTITION BY prev)) AS e FROM sc WHERE rk <= 3)
 SELECT prev, next, round(e / sum(e) OVER (PARTITION BY prev), 9) AS prob FROM k""",
 })
+
+
+# ------------------------------------------------------------------ sources, sinks, streaming
+
+SQL.update({
+    "jsonl_preprocess": PREPROCESS,
+    "csv_roundtrip": f"SELECT doc_id, label, md5(text) AS text_md5, split FROM ({SPLIT3_LABELLED})",
+    "collect_texts": f"""
+SELECT md5(t) AS text_md5 FROM (
+  SELECT {_strip('unnest(string_split(text, chr(10)))')} AS t FROM conversations
+  UNION ALL SELECT {_strip('text')} FROM benchmark
+  UNION ALL SELECT {_strip('text')} FROM documents
+  UNION ALL SELECT {_strip('source')} FROM documents
+  UNION ALL SELECT {_strip('lang')} FROM documents) WHERE length(t) >= 15""",
+    "read_list": f"SELECT {_strip('url')} AS item FROM pages WHERE {_strip('url')} <> ''",
+    "normalize_labelled": f"""
+SELECT md5(text) AS text_md5, CAST({_string_label("CASE WHEN label = 1 THEN 'Toxic' ELSE 'not toxic ' END")} AS INTEGER) AS label
+FROM {LABELLED}""",
+    "with_fallback_source": """
+SELECT item_id AS src_id, md5(text) AS text_md5 FROM benchmark WHERE (SELECT count(*) FROM benchmark) >= 100
+UNION ALL
+SELECT doc_id AS src_id, md5(text) AS text_md5 FROM documents WHERE (SELECT count(*) FROM benchmark) < 100""",
+    "load_corpus": """
+SELECT 'documents' AS source, count(*) AS n_texts FROM documents
+UNION ALL SELECT 'benchmark', count(*) FROM benchmark
+UNION ALL SELECT 'conversations', count(*) FROM conversations""",
+    "stream_dedup": "SELECT DISTINCT md5(text) AS content_hash FROM documents WHERE length(text) >= 100",
+})
