@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# table -> key used to spread a scan that yields fewer splits than cores
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "event_id",
+               "embeddings": "vec_id", "labels": "doc_id", "benchmark": "item_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from corpusflow.sources.readers import read_table
+    return read_table(spark, f"{sf_dir}/{name}.parquet", SPREAD_KEYS.get(name))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
