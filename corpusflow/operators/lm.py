@@ -9,11 +9,12 @@ probability, capped as in the reference (``exp(min(loss, 20))``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import word_tokens
 from corpusflow.operators.metrics import weighted_loss_perplexity
+from corpusflow.session import checkpoint_dir
 
 # Sentence markers and the out-of-vocabulary token.
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
@@ -28,36 +29,43 @@ def bigrams(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
             .select(key, "pos", F.col("bg.prev").alias("prev"), F.col("bg.next").alias("next")))
 
 
-def train_ngram_lm(docs: DataFrame, text: str = "text", key: str = "doc_id", k: float = 1.0) -> dict:
+def train_ngram_lm(docs: DataFrame, text: str = "text", key: str = "doc_id", k: float = 1.0,
+                   materialize: bool = True) -> dict:
     """The smoothed bigram model.
 
     Returns ``{"bigrams": (prev, next, count), "contexts": (prev, ctx_count),
     "vocab_size": V, "k": k}``; ``V`` counts the distinct predicted tokens
-    plus ``<unk>``.  ``log p(next | prev) = ln((c + k) / (c_prev + k V))``."""
+    plus ``<unk>`` and is a scalar-subquery Column over the checkpointed
+    counts.
+    ``log p(next | prev) = ln((c + k) / (c_prev + k V))``."""
     bg = bigrams(docs, text, key)
     counts = bg.groupBy("prev", "next").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    if materialize:
+        # the model is an artifact read by several consumers: computed once
+        checkpoint_dir(docs.sparkSession)
+        counts = counts.checkpoint(eager=True)
     contexts = counts.groupBy("prev").agg(F.sum("count").cast("bigint").alias("ctx_count"))
-    vocab = counts.select("next").distinct().count() + 1
+    vocab = counts.select((F.count_distinct("next") + 1).cast("double")).scalar()
     return {"bigrams": counts, "contexts": contexts, "vocab_size": vocab, "k": float(k)}
 
 
 def bigram_logprobs(model: dict) -> DataFrame:
     """``(prev, next, count, logp)`` for every observed bigram."""
-    k, v = model["k"], float(model["vocab_size"])
+    k, v = model["k"], model["vocab_size"]
     return (model["bigrams"].join(model["contexts"], "prev")
-            .withColumn("logp", F.log((F.col("count") + k) / (F.col("ctx_count") + k * v))))
+            .withColumn("logp", F.log((F.col("count") + k) / (F.col("ctx_count") + F.lit(k) * v))))
 
 
 def score_bigrams(model: dict, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per held-out bigram ``-ln p`` under the model (unseen pairs and contexts
     get the smoothing mass)."""
-    k, v = model["k"], float(model["vocab_size"])
+    k, v = model["k"], model["vocab_size"]
     bg = bigrams(docs, text, key)
     scored = (bg.join(model["bigrams"], ["prev", "next"], "left")
               .join(model["contexts"], "prev", "left"))
     c = F.coalesce(F.col("count"), F.lit(0)).cast("double")
     cp = F.coalesce(F.col("ctx_count"), F.lit(0)).cast("double")
-    return scored.select(key, "pos", "prev", "next", (-F.log((c + k) / (cp + k * v))).alias("nll"))
+    return scored.select(key, "pos", "prev", "next", (-F.log((c + k) / (cp + F.lit(k) * v))).alias("nll"))
 
 
 def lm_perplexity(model: dict, docs: DataFrame, text: str = "text", key: str = "doc_id",
@@ -82,11 +90,16 @@ def next_token_topk(logits: DataFrame, context: str = "prev", token: str = "next
         raise ValueError("top_k must be >= 0")
     scaled = logits.select(context, token, (F.col(logit) / temperature).alias("_l"))
     if k > 0:
-        from pyspark.sql import Window
+        # after the limit each context holds at most k (+ ties) rows, already
+        # clustered by context: the softmax windows add no shuffle
         w = Window.partitionBy(context).orderBy(F.col("_l").desc())
-        scaled = scaled.withColumn("_rk", F.rank().over(w)).where(F.col("_rk") <= k).drop("_rk")
-    mx = scaled.groupBy(context).agg(F.max("_l").alias("_mx"))
-    ex = scaled.join(mx, context).withColumn("_e", F.exp(F.col("_l") - F.col("_mx")))
-    den = ex.groupBy(context).agg(F.sum("_e").alias("_den"))
-    return ex.join(den, context).select(context, token, F.col("_l").alias("logit"),
-                                        (F.col("_e") / F.col("_den")).alias("prob"))
+        kept = scaled.withColumn("_rk", F.rank().over(w)).where(F.col("_rk") <= k).drop("_rk")
+        whole = Window.partitionBy(context)
+        ex = kept.withColumn("_e", F.exp(F.col("_l") - F.max("_l").over(whole)))
+        ex = ex.withColumn("_den", F.sum("_e").over(whole))
+    else:
+        # all successors: grouped (partially aggregated) max / sum, joined back
+        mx = scaled.groupBy(context).agg(F.max("_l").alias("_mx"))
+        ex = scaled.join(mx, context).withColumn("_e", F.exp(F.col("_l") - F.col("_mx")))
+        ex = ex.join(ex.groupBy(context).agg(F.sum("_e").alias("_den")), context)
+    return ex.select(context, token, F.col("_l").alias("logit"), (F.col("_e") / F.col("_den")).alias("prob"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.operators.keys import global_position, global_prefix_sum, range_bucket
+from corpusflow.session import checkpoint_dir
 
 
 def flat_token_stream(encoded: DataFrame, ids: str = "ids", order: str = "doc_id",
@@ -28,6 +29,29 @@ def flat_token_stream(encoded: DataFrame, ids: str = "ids", order: str = "doc_id
                          F.col("token_id").cast("bigint"))
 
 
+def word_stream(docs: DataFrame, vocab: DataFrame, text: str = "text", order: str = "doc_id",
+                bounds: tuple[int, int] | None = None) -> tuple[DataFrame, int]:
+    """F4 for whitespace tokens, without materialising per-document id arrays:
+    per-document token counts (a narrow projection) -> two-level prefix sum ->
+    the small offsets table ``(order, offset)`` is checkpointed (it is read
+    twice: joined to the documents and summed for the total) -> tokens
+    exploded with their global position ``g`` -> vocabulary ids by a lookup
+    join.  Returns ``((g, token_id), n_tokens)``."""
+    from corpusflow.functions.text import word_tokens
+    from corpusflow.operators.vocab import lookup_ids
+    toks = word_tokens(F.col(text))
+    counts = docs.select(order, F.size(toks).alias("_n")).where(F.col("_n") > 0)
+    offs = global_prefix_sum(counts, [F.col(order)], range_bucket(docs, order, bounds=bounds),
+                             F.col("_n"), "_doc_off").select(order, "_doc_off", "_n")
+    checkpoint_dir(docs.sparkSession)
+    offs = offs.checkpoint(eager=True)
+    n_tokens = offs.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    rows = docs.join(offs.select(order, "_doc_off"), order) \
+        .select("_doc_off", F.posexplode(toks).alias("_pos", "_tok"))
+    rows = rows.select((F.col("_doc_off") + F.col("_pos")).cast("bigint").alias("g"), "_tok")
+    return lookup_ids(rows, vocab, "_tok", "token_id").select("g", "token_id"), int(n_tokens)
+
+
 def block_starts(n_tokens: int, block_size: int, stride: int) -> tuple[int, int, bool]:
     """Validate and return ``(max_start, last_regular_start, has_tail)``."""
     if block_size < 2:

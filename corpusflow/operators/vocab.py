@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import char_tokens, word_tokens
 from corpusflow.operators.keys import first_wins, global_position, range_bucket
+from corpusflow.session import checkpoint_dir
 
 # Reserved tokens and their ids.
 WORD_SPECIALS = ["<PAD>", "<UNK>"]                   # ids 0, 1
@@ -21,14 +22,23 @@ CHAR_SPECIALS = ["<PAD>", "<UNK>", "<BOS>", "<EOS>"]  # ids 0..3
 PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
 
 
-def _first_seen_vocab(docs: DataFrame, tokens, order: str, specials: list[str]) -> DataFrame:
+def _first_seen_vocab(docs: DataFrame, tokens, order: str, specials: list[str],
+                      materialize: bool = True) -> DataFrame:
+    """The winners (one row per distinct token) are checkpointed to the shared
+    checkpoint folder before they are numbered: they feed both the bucket
+    offsets and the local ranks, and the vocabulary is an artifact that every
+    later encode joins against, so it is computed exactly once."""
+    spark = docs.sparkSession
     bucket = range_bucket(docs, order)          # bounds read from the input, not the derived rows
     per_doc = docs.select(order, F.posexplode(F.array_distinct(tokens)).alias("_k", "token"))
-    first = first_wins(per_doc, "token", [F.col(order), F.col("_k")])
-    ranked = global_position(first, [F.col(order), F.col("_k")], bucket, "_idx")
-    spark = docs.sparkSession
+    first = first_wins(per_doc, "token", [F.col(order), F.col("_k")]).withColumn("_bkt0", bucket)
+    if materialize:
+        checkpoint_dir(spark)
+        first = first.checkpoint(eager=True)
+    ranked = global_position(first, [F.col(order), F.col("_k")], F.col("_bkt0"), "_idx")
     sp = spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id bigint")
-    return sp.unionByName(ranked.select("token", (F.col("_idx") + len(specials)).alias("id")))
+    vocab = sp.unionByName(ranked.select("token", (F.col("_idx") + len(specials)).alias("id")))
+    return vocab.checkpoint(eager=True) if materialize else vocab
 
 
 def build_word_vocab(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -67,7 +77,8 @@ def _encode(docs: DataFrame, tokens, vocab: DataFrame, order: str, max_len: int
         rows = rows.where(F.col("_pos") < max_len)          # truncate before the join
     ids = lookup_ids(rows, vocab, "_tok", "_id")
     per_doc = ids.groupBy(order).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
-    enc = docs.select(order).join(per_doc, order, "left")
+    keep = [c for c in docs.columns if c != "text"]
+    enc = docs.select(*keep).join(per_doc, order, "left")
     return enc.withColumn("ids", F.coalesce(F.transform("_p", lambda s: s["_id"]),
                                             F.array().cast("array<bigint>"))).drop("_p")
 
@@ -85,10 +96,7 @@ def encode_truncated(docs: DataFrame, vocab: DataFrame, max_length: int = 512, t
     """Ids truncated at ``max_length``, no padding, attention mask of ones;
     the label is carried along."""
     enc = _encode(docs, word_tokens(F.col(text)), vocab, order, max_length)
-    enc = enc.withColumn("attention_mask", F.transform("ids", lambda x: F.lit(1)))
-    if label and label in docs.columns:
-        enc = enc.join(docs.select(order, label), order)
-    return enc
+    return enc.withColumn("attention_mask", F.transform("ids", lambda x: F.lit(1)))
 
 
 def encode_chars(docs: DataFrame, vocab: DataFrame, text: str = "text", order: str = "doc_id",

@@ -9,12 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 from corpusflow.functions import text as T
 from corpusflow.functions.arrays import argmax, confidence, softmax, threshold_label
 from corpusflow.functions.labels import to_binary_label
-from corpusflow.operators import dedup, labels as L, metrics as M, sampling as S, stats
+from corpusflow.functions.urls import normalize_url as _normalize_url, url_host as _url_host
+from corpusflow.operators import bpe as B, dedup, labels as L, lm as LM, metrics as M, ml as ML
+from corpusflow.operators import sampling as S, sequences as Q, stats, vocab as V, web as W
+from corpusflow.operators.keys import key_bounds
+from corpusflow.operators.ml import pool_vectors
 from corpusflow.plans.corpus import preprocess_corpus, preprocess_report
 from corpusflow.plans.fixtures import labelled, predictions, step_log, table
+from corpusflow.session import checkpoint_dir
+from corpusflow.sources import readers as R, sinks as K
+from corpusflow.streaming.dedup import run_stream_dedup
 
 QUERIES: dict = {}
 
@@ -300,10 +309,6 @@ def q_history_to_scalars(spark, sf):
 
 # ------------------------------------------------------------------ vocabularies, encoding, sequences
 
-from corpusflow.operators import sequences as Q, vocab as V  # noqa: E402
-from corpusflow.operators.keys import key_bounds  # noqa: E402
-from corpusflow.operators.ml import pool_vectors  # noqa: E402
-
 
 def _ids_str(c="ids"):
     return F.array_join(F.col(c).cast("array<string>"), " ")
@@ -361,18 +366,29 @@ def q_decode_chars(spark, sf):
 
 def _corpus_stream(spark, sf):
     docs = table(spark, sf, "documents")
-    enc = V._encode(docs, T.word_tokens(F.col("text")), V.build_word_vocab(docs), "doc_id", None)
-    return Q.flat_token_stream(enc, bounds=key_bounds(docs, "doc_id"))
+    bounds = key_bounds(docs, "doc_id")
+    return Q.word_stream(docs, V.build_word_vocab(docs), bounds=bounds)
+
+
+@register("flat_token_stream")
+def q_flat_token_stream(spark, sf):
+    """F4 over per-document id arrays (char ids of the conversations, BOS/EOS wrapped)."""
+    utt = _utterances(spark, sf)
+    enc = V.encode_chars(utt, V.build_char_vocab(utt, order="utt_id"), order="utt_id", add_special_tokens=True)
+    checkpoint_dir(spark)
+    enc = enc.checkpoint(eager=True)       # read twice: offsets and tokens
+    return Q.flat_token_stream(enc, order="utt_id", bounds=key_bounds(utt, "utt_id"))
 
 
 @register("token_stream")
 def q_token_stream(spark, sf):
-    return _corpus_stream(spark, sf)
+    return _corpus_stream(spark, sf)[0]
 
 
 @register("pack_blocks")
 def q_pack_blocks(spark, sf):
-    blocks = Q.pack_blocks(_corpus_stream(spark, sf), block_size=256, stride=128)
+    stream, n_tokens = _corpus_stream(spark, sf)
+    blocks = Q.pack_blocks(stream, block_size=256, stride=128, n_tokens=n_tokens)
     return blocks.select("start", F.md5(_ids_str("x")).alias("x_md5"), F.md5(_ids_str("y")).alias("y_md5"))
 
 
@@ -383,9 +399,9 @@ def q_assign_batches(spark, sf):
 
 @register("pad_batches")
 def q_pad_batches(spark, sf):
-    enc = V.encode_truncated(labelled(spark, sf), _train_vocab(spark, sf), max_length=None)
-    b = Q.assign_batches(enc, "doc_id", 8, bounds=key_bounds(table(spark, sf, "labels"), "doc_id"))
-    p = Q.pad_batches(b, "ids", "batch", max_length=48)
+    b = Q.assign_batches(labelled(spark, sf), "doc_id", 8)
+    enc = V.encode_truncated(b, _train_vocab(spark, sf), max_length=None)
+    p = Q.pad_batches(enc, "ids", "batch", max_length=48)
     return p.select("doc_id", "batch", F.md5(_ids_str("input_ids")).alias("ids_md5"),
                     F.size("input_ids").cast("bigint").alias("width"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("mask_sum"))
@@ -401,8 +417,6 @@ def q_pool_vectors(spark, sf):
 
 # ------------------------------------------------------------------ web pages
 
-from corpusflow.functions.urls import normalize_url as _normalize_url, url_host as _url_host, url_path as _url_path  # noqa: E402
-from corpusflow.operators import web as W  # noqa: E402
 
 ALLOW_ENTRIES = ["example.com/en", "example.org"]
 CRAWLER_AGENT = "CorpusBot/1.0"
@@ -482,8 +496,6 @@ def q_crawl_bfs(spark, sf):
 
 # ------------------------------------------------------------------ language model, BPE, ML
 
-from corpusflow.operators import bpe as B, lm as LM, ml as ML  # noqa: E402
-
 
 @register("ngram_lm")
 def q_ngram_lm(spark, sf):
@@ -539,12 +551,6 @@ def q_multi_seed_runs(spark, sf):
 
 # ------------------------------------------------------------------ sources, sinks, streaming
 
-import uuid  # noqa: E402
-
-from corpusflow.session import checkpoint_dir  # noqa: E402
-from corpusflow.sources import readers as R, sinks as K  # noqa: E402
-from corpusflow.streaming.dedup import run_stream_dedup  # noqa: E402
-
 
 def _scratch(spark, name: str) -> str:
     """A fresh folder under the shared checkpoint location (never machine-local

@@ -540,3 +540,18 @@ UNION ALL SELECT 'benchmark', count(*) FROM benchmark
 UNION ALL SELECT 'conversations', count(*) FROM conversations""",
     "stream_dedup": "SELECT DISTINCT md5(text) AS content_hash FROM documents WHERE length(text) >= 100",
 })
+
+
+def _utt_char_ids() -> str:
+    v = _first_seen(_chars(UTT, 'utt_id'), 'utt_id', 4)
+    return f"""
+WITH v AS ({v}),
+e AS (SELECT t.utt_id, t.pos, v.id FROM ({_chars(UTT, 'utt_id')}) t JOIN v USING (token)),
+s AS (SELECT utt_id, -1 AS pos, CAST(2 AS BIGINT) AS id FROM {UTT}
+      UNION ALL SELECT utt_id, pos, id FROM e
+      UNION ALL SELECT utt_id, 1000000000 AS pos, CAST(3 AS BIGINT) AS id FROM {UTT})"""
+
+
+SQL["flat_token_stream"] = f"""
+{_utt_char_ids()}
+SELECT CAST(row_number() OVER (ORDER BY utt_id, pos) - 1 AS BIGINT) AS g, id AS token_id FROM s"""
