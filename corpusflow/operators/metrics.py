@@ -124,6 +124,19 @@ def weighted_loss_perplexity(df: DataFrame, loss: str = "loss", n: str = "n_toke
     return agg.select(*g, avg.alias("avg_loss"), ppl.alias("perplexity"))
 
 
+def align_predictions(rows: DataFrame, key: str, **models: DataFrame) -> DataFrame:
+    """Attach each model's ``(key, pred, conf)`` output to the evaluated
+    rows by key (the reference aligns by position).  A row a model did not
+    score gets the failure sentinel ``(-1, 0.0)``."""
+    out = rows
+    for name, preds in models.items():
+        p = preds.select(key, F.col("pred").alias(f"pred_{name}"), F.col("conf").alias(f"conf_{name}"))
+        out = (out.join(p, key, "left")
+               .withColumn(f"pred_{name}", F.coalesce(F.col(f"pred_{name}"), F.lit(-1)))
+               .withColumn(f"conf_{name}", F.coalesce(F.col(f"conf_{name}"), F.lit(0.0))))
+    return out
+
+
 def agreement_categories(df: DataFrame, label: str = "label", pred_a: str = "pred_a",
                          pred_b: str = "pred_b") -> Column:
     a_ok, b_ok = F.col(pred_a) == F.col(label), F.col(pred_b) == F.col(label)

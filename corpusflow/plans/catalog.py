@@ -638,3 +638,38 @@ def q_stream_dedup(spark, sf):
     schema = table(spark, sf, "documents").schema
     out = run_stream_dedup(spark, sf, schema, f"{base}/out", f"{base}/ckpt", glob="documents.parquet")
     return out.select("content_hash")
+
+
+# ------------------------------------------------------------------ ordering, alignment, reports
+
+@register("take_first")
+def q_take_first(spark, sf):
+    """The page cap / max-samples cap — first 100 documents in order."""
+    return S.take_first(table(spark, sf, "documents"), 100).select("doc_id", "lang")
+
+
+@register("shuffle_order")
+def q_shuffle_order(spark, sf):
+    """The seeded permutation as a dense position (two-level, md5 buckets)."""
+    from corpusflow.operators.keys import global_position, hex_bucket, seeded_order_key
+    docs = table(spark, sf, "documents").select("doc_id", seeded_order_key("doc_id", 42).alias("_k"))
+    return global_position(docs, [F.col("_k"), F.col("doc_id")], hex_bucket("_k", 3), "pos").select("doc_id", "pos")
+
+
+@register("align_predictions")
+def q_align_predictions(spark, sf):
+    """C3 + E11: two models' outputs attached to the labelled rows by key;
+    model A's output lacks the rows it failed on, which get the sentinel back."""
+    p = predictions(spark, sf)
+    a = p.where(F.col("pred_a") != -1).select("doc_id", F.col("pred_a").alias("pred"), F.col("conf_a").alias("conf"))
+    b = p.select("doc_id", F.col("pred_b").alias("pred"), F.col("conf_b").alias("conf"))
+    rows = labelled(spark, sf).select("doc_id", "label")
+    aligned = M.align_predictions(rows, "doc_id", a=a, b=b)
+    return M.model_agreement(aligned).select("n_samples", "a_only_correct", "b_only_correct", "both_correct",
+                                             "both_wrong")
+
+
+@register("report_json")
+def q_report_json(spark, sf):
+    """The reduction report as one JSON document."""
+    return K.report_row(preprocess_report(table(spark, sf, "documents")))

@@ -555,3 +555,19 @@ s AS (SELECT utt_id, -1 AS pos, CAST(2 AS BIGINT) AS id FROM {UTT}
 SQL["flat_token_stream"] = f"""
 {_utt_char_ids()}
 SELECT CAST(row_number() OVER (ORDER BY utt_id, pos) - 1 AS BIGINT) AS g, id AS token_id FROM s"""
+
+
+SQL.update({
+    "take_first": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100",
+    "shuffle_order": f"""
+SELECT doc_id, CAST(row_number() OVER (ORDER BY {_seed_key(42, 'doc_id')}, doc_id) - 1 AS BIGINT) AS pos FROM documents""",
+    "align_predictions": f"""
+WITH p AS {P},
+r AS (SELECT l.doc_id, l.label, coalesce(p.pred_a, -1) AS pred_a, coalesce(p.pred_b, -1) AS pred_b
+      FROM {LABELLED} l LEFT JOIN p USING (doc_id))
+SELECT count(*) AS n_samples, count_if(pred_a = label AND pred_b <> label) AS a_only_correct,
+       count_if(pred_b = label AND pred_a <> label) AS b_only_correct,
+       count_if(pred_a = label AND pred_b = label) AS both_correct,
+       count_if(pred_a <> label AND pred_b <> label) AS both_wrong
+FROM r WHERE pred_a <> -1 AND pred_b <> -1""",
+})
