@@ -202,8 +202,10 @@ def early_stop_scan(history: DataFrame, run: str = "run", epoch: str = "epoch",
 
     improved iff ``v > best + min_delta``; ``best`` moves only on improvement
     (so a running max is wrong); otherwise the counter grows and training
-    stops when it exceeds ``patience``.  Per run the history (one row per
-    epoch) is gathered in epoch order and folded with ``aggregate``."""
+    stops when it exceeds ``patience``.  Per run the history — one row per
+    epoch, so its length is the number of epochs, not a data size — is
+    gathered in epoch order and folded with ``aggregate``.  Step-level logs
+    are aggregated to epochs first (see the registered query)."""
     hist = history.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"),
                                                                           F.col(value).cast("double").alias("v")))).alias("_h"))
     init = F.struct(F.lit(start).alias("best"), F.lit(None).cast("long").alias("best_epoch"),

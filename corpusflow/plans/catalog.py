@@ -276,7 +276,10 @@ def q_perplexity(spark, sf):
 @register("early_stop_scan")
 def q_early_stop(spark, sf):
     log = step_log(spark, sf).where(F.col("eval_accuracy").isNotNull())
-    r = M.early_stop_scan(log, "run", "step", "eval_accuracy", min_delta=0.05, patience=3)
+    # step-level evaluation rows -> one validation score per (run, epoch): the
+    # history the scan folds is bounded by the number of epochs
+    hist = log.groupBy("run", "epoch").agg(F.avg("eval_accuracy").alias("val_accuracy"))
+    r = M.early_stop_scan(hist, "run", "epoch", "val_accuracy", min_delta=0.05, patience=3)
     return r.select("run", _r("best_value").alias("best_value"), "best_epoch", "stop_epoch",
                     "improvements", "epochs_run")
 

@@ -59,13 +59,14 @@ FROM labels
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` read as a training step log: run = user_id, step = event_id,
-    loss = value, tokens = length of the props JSON; evaluation columns are set
+    epoch = day of ``ts``, loss = value, tokens = length of the props JSON; evaluation columns are set
     on ``view`` events only (the wide, sparse trainer log)."""
     ev = table(spark, sf_dir, "events")
     is_eval = F.col("event_type") == "view"
     v = F.col("value").cast("double")
     return ev.select(
         F.col("user_id").alias("run"), F.col("event_id").alias("step"),
+        F.datediff(F.to_date(F.col("ts")), F.to_date(F.lit("1970-01-01"))).cast("bigint").alias("epoch"),
         F.when(~is_eval, v).alias("loss"),
         F.length("props").cast("bigint").alias("n_tokens"),
         F.when(is_eval, v).alias("eval_loss"),
@@ -77,6 +78,7 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STEP_LOG_SQL = """
 SELECT user_id AS run, event_id AS step,
+       CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch,
        CASE WHEN event_type <> 'view' THEN value END AS loss,
        CAST(length(props) AS BIGINT) AS n_tokens,
        CASE WHEN event_type = 'view' THEN value END AS eval_loss,

@@ -269,8 +269,9 @@ WITH a AS (SELECT run, sum(loss / 10.0 * n_tokens) AS ln, CAST(sum(n_tokens) AS
 SELECT run, round(CASE WHEN n = 0 THEN 'inf'::DOUBLE ELSE ln / n END, 9) AS avg_loss,
        round(CASE WHEN n = 0 THEN 'inf'::DOUBLE ELSE exp(least(ln / n, 20.0)) END, 6) AS perplexity FROM a""",
     "early_stop_scan": f"""
-WITH RECURSIVE h AS (SELECT run, step, eval_accuracy AS v, row_number() OVER (PARTITION BY run ORDER BY step) AS rn
-                     FROM {LOG} WHERE eval_accuracy IS NOT NULL),
+WITH RECURSIVE h AS (SELECT run, epoch AS step, v, row_number() OVER (PARTITION BY run ORDER BY epoch) AS rn
+                     FROM (SELECT run, epoch, avg(eval_accuracy) AS v FROM {LOG}
+                           WHERE eval_accuracy IS NOT NULL GROUP BY run, epoch)),
 s(run, rn, best, best_epoch, counter, stop_epoch, improvements, epochs_run) AS (
   SELECT DISTINCT run, CAST(0 AS BIGINT), CAST('-inf' AS DOUBLE), CAST(NULL AS BIGINT), 0, CAST(NULL AS BIGINT), 0, 0 FROM h
   UNION ALL
