@@ -228,10 +228,10 @@ SELECT 'test' AS split, metric, round(avg(value), 9) AS mean, round(stddev_pop(v
     "model_agreement": f"""
 SELECT count(*) AS n_samples, round(avg(CASE WHEN pred_a = label THEN 1.0 ELSE 0.0 END), 9) AS accuracy_a,
        round(avg(CASE WHEN pred_b = label THEN 1.0 ELSE 0.0 END), 9) AS accuracy_b,
-       count_if(pred_a = label AND pred_b <> label) AS a_only_correct,
-       count_if(pred_b = label AND pred_a <> label) AS b_only_correct,
-       count_if(pred_a = label AND pred_b = label) AS both_correct,
-       count_if(pred_a <> label AND pred_b <> label) AS both_wrong
+       CAST(count_if(pred_a = label AND pred_b <> label) AS BIGINT) AS a_only_correct,
+       CAST(count_if(pred_b = label AND pred_a <> label) AS BIGINT) AS b_only_correct,
+       CAST(count_if(pred_a = label AND pred_b = label) AS BIGINT) AS both_correct,
+       CAST(count_if(pred_a <> label AND pred_b <> label) AS BIGINT) AS both_wrong
 FROM {P} WHERE pred_a <> -1 AND pred_b <> -1""",
     "category_samples": f"""
 WITH c AS (SELECT doc_id, CASE WHEN pred_a = label AND pred_b <> label THEN 'a_only'
@@ -566,9 +566,9 @@ SELECT doc_id, CAST(row_number() OVER (ORDER BY {_seed_key(42, 'doc_id')}, doc_i
 WITH p AS {P},
 r AS (SELECT l.doc_id, l.label, coalesce(p.pred_a, -1) AS pred_a, coalesce(p.pred_b, -1) AS pred_b
       FROM {LABELLED} l LEFT JOIN p USING (doc_id))
-SELECT count(*) AS n_samples, count_if(pred_a = label AND pred_b <> label) AS a_only_correct,
-       count_if(pred_b = label AND pred_a <> label) AS b_only_correct,
-       count_if(pred_a = label AND pred_b = label) AS both_correct,
-       count_if(pred_a <> label AND pred_b <> label) AS both_wrong
+SELECT count(*) AS n_samples, CAST(count_if(pred_a = label AND pred_b <> label) AS BIGINT) AS a_only_correct,
+       CAST(count_if(pred_b = label AND pred_a <> label) AS BIGINT) AS b_only_correct,
+       CAST(count_if(pred_a = label AND pred_b = label) AS BIGINT) AS both_correct,
+       CAST(count_if(pred_a <> label AND pred_b <> label) AS BIGINT) AS both_wrong
 FROM r WHERE pred_a <> -1 AND pred_b <> -1""",
 })

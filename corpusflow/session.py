@@ -46,11 +46,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is set by the deployment (a shared file system).
     Only when it is unset — local tests — a fresh scratch folder is created.
     """
-    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:                      # Connect session: the server's setting applies
+        if not conf:
+            raise RuntimeError("spark.checkpoint.dir must be set on the cluster")
+        return conf
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
     sc.setCheckpointDir(conf)

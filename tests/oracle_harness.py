@@ -42,6 +42,17 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
+SPARK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+               "boolean": "BOOLEAN", "smallint": "SMALLINT", "float": "FLOAT"}
+
+
+def type_mismatches(sdf, description):
+    """Columns whose Spark type and DuckDB type differ (by name)."""
+    s = {c: SPARK_TYPES.get(t, t.upper()) for c, t in sdf.dtypes}
+    d = {x[0]: str(x[1]).upper() for x in description}
+    return sorted((c, s[c], d.get(c)) for c in s if c in d and s[c] != d[c])
+
+
 def compare(spark, name, fn, sql, sf_dir, con=None):
     con = con or duck(sf_dir)
     t0 = time.time()
@@ -53,9 +64,10 @@ def compare(spark, name, fn, sql, sf_dir, con=None):
     d_rows = cur.fetchall()
     sc, sr = rows_of(sdf.columns, s_rows)
     dc, dr = rows_of(d_cols, d_rows)
-    ok = sc == dc and len(sr) == len(dr) and sr == dr
-    detail = ""
-    if not ok:
+    types = type_mismatches(sdf, cur.description)
+    ok = sc == dc and len(sr) == len(dr) and sr == dr and not types
+    detail = f"types {types}" if types else ""
+    if not ok and not types:
         if sc != dc:
             detail = f"columns {sc} vs {dc}"
         elif len(sr) != len(dr):
