@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import char_tokens, word_tokens
-from corpusflow.operators.keys import first_wins, global_position, range_bucket
+from corpusflow.operators.keys import first_wins, global_position, quantile_bucket
 from corpusflow.session import checkpoint_dir
 
 # Reserved tokens and their ids.
@@ -29,7 +29,7 @@ def _first_seen_vocab(docs: DataFrame, tokens, order: str, specials: list[str],
     offsets and the local ranks, and the vocabulary is an artifact that every
     later encode joins against, so it is computed exactly once."""
     spark = docs.sparkSession
-    bucket = range_bucket(docs, order)          # bounds read from the input, not the derived rows
+    bucket = quantile_bucket(docs, order)       # boundaries from the input, not the derived rows
     per_doc = docs.select(order, F.posexplode(F.array_distinct(tokens)).alias("_k", "token"))
     first = first_wins(per_doc, "token", [F.col(order), F.col("_k")]).withColumn("_bkt0", bucket)
     if materialize:

@@ -369,8 +369,7 @@ def q_decode_chars(spark, sf):
 
 def _corpus_stream(spark, sf):
     docs = table(spark, sf, "documents")
-    bounds = key_bounds(docs, "doc_id")
-    return Q.word_stream(docs, V.build_word_vocab(docs), bounds=bounds)
+    return Q.word_stream(docs, V.build_word_vocab(docs))
 
 
 @register("flat_token_stream")
