@@ -5,8 +5,9 @@ The heavy half — splitting the whole corpus into pre-tokens and counting them
 — is one ``groupBy(pretoken).count()`` with partial aggregation.  Merge
 learning then iterates on the *distinct* histogram only: per round one grouped
 pair count, one best pair back on the driver (a single row) and one
-regular-expression rewrite of the words holding it.  Lineage is cut with a
-reliable checkpoint every few rounds.
+regular-expression rewrite of the words holding it.  The word table is
+written to the shared checkpoint folder at the start and every few rounds, so
+lineage stays short and a lost executor costs at most those rounds.
 
 Tie-break among equally frequent pairs (the reference leaves it to a
 third-party library): highest count, then smallest left, then smallest right
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.session import checkpoint_dir
+from corpusflow.session import materialize
 
 # Special tokens placed before the byte alphabet.
 SPECIAL_TOKENS = ["<pad>", "<s>", "</s>", "<unk>", "<mask>"]
@@ -93,6 +94,7 @@ def bpe_train(histogram: DataFrame, vocab_size: int = 300, min_frequency: int =
     n_merges = max(0, vocab_size - len(base))
     words = histogram.select(F.array_join(to_byte_symbols(F.col("pretoken")), SEP).alias("w"), "freq") \
         .groupBy("w").agg(F.sum("freq").alias("freq"))
+    words = materialize(words, "bpe-words")
     merges = []
     for r in range(n_merges):
         syms = F.split(F.col("w"), SEP, -1)
@@ -109,8 +111,7 @@ def bpe_train(histogram: DataFrame, vocab_size: int = 300, min_frequency: int =
         pat = "(^|" + SEP + ")" + _java_escape(a) + SEP + _java_escape(b) + "(?=" + SEP + "|$)"
         words = words.withColumn("w", F.regexp_replace("w", pat, "$1" + (a + b).replace("\\", "\\\\").replace("$", "\\$")))
         if (r + 1) % checkpoint_every == 0:
-            checkpoint_dir(spark)
-            words = words.checkpoint(eager=True)
+            words = materialize(words, "bpe-words")
     merge_df = spark.createDataFrame(merges, "rank int, left string, right string, count bigint")
     vocab = [(t, i) for i, t in enumerate(base)] + [(a + b, len(base) + i) for i, (_, a, b, _) in enumerate(merges)]
     return merge_df, spark.createDataFrame(vocab, "token string, id int")

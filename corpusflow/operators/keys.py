@@ -5,8 +5,8 @@ order key.  A global position (0..n-1) or a running total in that order is
 computed in two levels:
 
 1. every row gets a coarse *bucket* that is monotone in the order key
-   (equal-count quantile ranges of a numeric key, or a hex prefix of an md5
-   key, which is uniform by construction);
+   (equal-count quantile ranges of a numeric key — :func:`with_quantile_bucket`
+   — or a hex prefix of an md5 key, which is uniform by construction);
 2. per-bucket counts / sums are aggregated (partial aggregation, tiny result),
    turned into offsets by a window over the bucket table only (bounded by the
    number of buckets), broadcast back, and added to a rank / running sum that
@@ -59,40 +59,37 @@ def range_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS,
     return F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint")
 
 
-def split_bucket(key: Column, splits: list[float]) -> Column:
-    """Number of ``splits`` (sorted, strictly increasing) that are <= ``key``:
-    a binary search folded with ``aggregate`` over a literal array, so the
-    cost per row is ``log2(len(splits))`` comparisons, all JVM-side."""
-    if not splits:
-        return F.lit(0).cast("bigint")
-    arr = F.array(*[F.lit(float(s)) for s in splits])
-    n = len(splits)
-    k = key.cast("double")
-    steps = max(1, math.ceil(math.log2(n + 1)))
-    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        go_right = F.element_at(arr, mid + 1) <= k
-        return F.when(lo >= hi, acc).otherwise(F.struct(
-            F.when(go_right, mid + 1).otherwise(lo).alias("lo"),
-            F.when(go_right, hi).otherwise(mid).alias("hi")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"].cast("bigint")
-
-
-def quantile_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> Column:
-    """Bucket of an orderable numeric key with *equal-count* buckets: the
-    boundaries are approximate quantiles of ``key`` over ``df`` (one
-    distributed sketch pass; ``n_buckets - 1`` numbers come back), so a dense
-    cluster of keys cannot put a third of the rows into one bucket the way
-    fixed-width ranges would.  Compute it on the cheapest DataFrame that
-    carries the key (usually the table scan)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(key, probs, 1.0 / (10 * n_buckets)) if probs else []
-    splits = sorted({float(q) for q in qs if q is not None})
-    return split_bucket(F.col(key), splits)
+def default_buckets(spark) -> int:
+    """Bucket count for two-level ranks: 8 per core, between 64 and 4096 —
+    enough tasks to keep a cluster busy, and an offset table that is always
+    small enough to broadcast."""
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:
+        cores = 8
+    return max(64, min(4096, 8 * cores))
+
+
+def with_quantile_bucket(df: DataFrame, key: str, out: str = "_qb", source: DataFrame | None = None,
+                         n_buckets: int | None = None) -> DataFrame:
+    """Add ``out`` = an *equal-count* range bucket of the numeric ``key``.
+
+    Boundaries are approximate quantiles of ``key`` over ``source`` (default
+    ``df``; pass the table scan when ``df`` is expensive to recompute): one
+    distributed sketch pass returns ``n_buckets - 1`` numbers.  Rows are
+    assigned by ``Bucketizer`` (a JVM binary search).  Unlike fixed-width
+    ranges, a dense cluster of keys cannot put a third of the rows into one
+    bucket, i.e. into one task of the per-bucket window."""
+    from pyspark.ml.feature import Bucketizer
+    n = n_buckets or default_buckets(df.sparkSession)
+    src = source if source is not None else df
+    qs = src.approxQuantile(key, [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    inner = sorted({float(q) for q in qs if q is not None and not math.isinf(q)})
+    splits = [-math.inf] + inner + [math.inf]
+    tmp = f"{out}_key"
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    return (b.transform(df.withColumn(tmp, F.col(key).cast("double")))
+            .withColumn(out, F.col(out).cast("bigint")).drop(tmp))
 
 
 def _bounded(offs: DataFrame, part: list) -> DataFrame:

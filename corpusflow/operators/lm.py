@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import word_tokens
 from corpusflow.operators.metrics import weighted_loss_perplexity
-from corpusflow.session import checkpoint_dir
+from corpusflow.session import materialize as materialize_df
 
 # Sentence markers and the out-of-vocabulary token.
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
@@ -42,8 +42,7 @@ def train_ngram_lm(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     counts = bg.groupBy("prev", "next").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
     if materialize:
         # the model is an artifact read by several consumers: computed once
-        checkpoint_dir(docs.sparkSession)
-        counts = counts.checkpoint(eager=True)
+        counts = materialize_df(counts, "bigram-counts")
     contexts = counts.groupBy("prev").agg(F.sum("count").cast("bigint").alias("ctx_count"))
     vocab = counts.select((F.count_distinct("next") + 1).cast("double")).scalar()
     return {"bigrams": counts, "contexts": contexts, "vocab_size": vocab, "k": float(k)}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import clean_metric_name
-from corpusflow.operators.keys import global_position, quantile_bucket, running_sums
+from corpusflow.operators.keys import global_position, running_sums, with_quantile_bucket
 
 EPS = 1e-8
 METRICS = ["accuracy", "precision", "recall", "f1"]
@@ -85,7 +85,8 @@ def batched_metrics(df: DataFrame, label: str = "label", pred: str = "pred", ord
     ``with_std``).  The dense row index is the two-level position (no
     single-partition window)."""
     g = list(group_by or [])
-    idx = global_position(df, [F.col(order)], quantile_bucket(df, order), "_idx", partition_by=g or None)
+    idx = global_position(with_quantile_bucket(df, order, "_qb"), [F.col(order)], F.col("_qb"), "_idx",
+                          partition_by=g or None)
     batched = idx.withColumn("_batch", F.floor(F.col("_idx") / batch_size))
     per = binary_metrics(batched, label, pred, g + ["_batch"])
     names = list(METRICS)
@@ -186,7 +187,8 @@ def running_loss(log: DataFrame, run: str = "run", step: str = "step", loss: str
     """F8: cumulative token-weighted loss and perplexity inside each run,
     emitted every ``log_interval`` steps (steps numbered from 1 in ``step``
     order).  Positions and running sums are two-level (per-run buckets)."""
-    bucket = quantile_bucket(log, step)
+    log = with_quantile_bucket(log, step, "_qb")
+    bucket = F.col("_qb")
     pos = global_position(log, [F.col(step)], bucket, "_pos", partition_by=[run])
     sums = running_sums(pos, [F.col(step)], bucket,
                         {"_cl": F.col(loss) * F.col(n), "_cn": F.col(n)}, partition_by=[run])

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.operators.keys import global_position, global_prefix_sum, quantile_bucket, range_bucket
-from corpusflow.session import checkpoint_dir
+from corpusflow.operators.keys import global_position, global_prefix_sum, range_bucket, with_quantile_bucket
+from corpusflow.session import materialize
 
 
 def flat_token_stream(encoded: DataFrame, ids: str = "ids", order: str = "doc_id",
@@ -22,8 +22,11 @@ def flat_token_stream(encoded: DataFrame, ids: str = "ids", order: str = "doc_id
     documents without ids add nothing.  ``bounds`` = (min, max) of ``order``
     (read from ``encoded`` when not given)."""
     docs = encoded.where(F.size(ids) > 0)
-    bucket = range_bucket(encoded, order, bounds=bounds) if bounds else quantile_bucket(encoded, order)
-    with_off = global_prefix_sum(docs, [F.col(order)], bucket, F.size(ids), "_doc_off")
+    if bounds:
+        docs = docs.withColumn("_qb", range_bucket(encoded, order, bounds=bounds))
+    else:
+        docs = with_quantile_bucket(docs, order, "_qb")
+    with_off = global_prefix_sum(docs, [F.col(order)], F.col("_qb"), F.size(ids), "_doc_off")
     tokens = with_off.select("_doc_off", F.posexplode(ids).alias("_pos", "token_id"))
     return tokens.select((F.col("_doc_off") + F.col("_pos")).cast("bigint").alias("g"),
                          F.col("token_id").cast("bigint"))
@@ -41,10 +44,12 @@ def word_stream(docs: DataFrame, vocab: DataFrame, text: str = "text", order: st
     from corpusflow.operators.vocab import lookup_ids
     toks = word_tokens(F.col(text))
     counts = docs.select(order, F.size(toks).alias("_n")).where(F.col("_n") > 0)
-    bucket = range_bucket(docs, order, bounds=bounds) if bounds else quantile_bucket(docs, order)
-    offs = global_prefix_sum(counts, [F.col(order)], bucket, F.col("_n"), "_doc_off").select(order, "_doc_off", "_n")
-    checkpoint_dir(docs.sparkSession)
-    offs = offs.checkpoint(eager=True)
+    if bounds:
+        counts = counts.withColumn("_qb", range_bucket(docs, order, bounds=bounds))
+    else:
+        counts = with_quantile_bucket(counts, order, "_qb", source=docs.select(order))
+    offs = global_prefix_sum(counts, [F.col(order)], F.col("_qb"), F.col("_n"), "_doc_off").select(order, "_doc_off", "_n")
+    offs = materialize(offs, "token-offsets")
     n_tokens = offs.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     rows = docs.join(offs.select(order, "_doc_off"), order) \
         .select("_doc_off", F.posexplode(toks).alias("_pos", "_tok"))
@@ -93,9 +98,12 @@ def pack_blocks(stream: DataFrame, block_size: int = 256, stride: int = 128,
 def assign_batches(df: DataFrame, order: str = "doc_id", batch_size: int = 32,
                    out: str = "batch", bounds: tuple[int, int] | None = None) -> DataFrame:
     """consecutive rows in ``order`` -> batch ids (dense two-level index)."""
-    bucket = range_bucket(df, order, bounds=bounds) if bounds else quantile_bucket(df, order)
-    idx = global_position(df, [F.col(order)], bucket, "_idx")
-    return idx.withColumn(out, F.floor(F.col("_idx") / batch_size).cast("bigint")).drop("_idx")
+    if bounds:
+        df = df.withColumn("_qb", range_bucket(df, order, bounds=bounds))
+    else:
+        df = with_quantile_bucket(df, order, "_qb")
+    idx = global_position(df, [F.col(order)], F.col("_qb"), "_idx")
+    return idx.withColumn(out, F.floor(F.col("_idx") / batch_size).cast("bigint")).drop("_idx", "_qb")
 
 
 def pad_batches(df: DataFrame, ids: str = "ids", batch: str = "batch", max_length: int = 512,

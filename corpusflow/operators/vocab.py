@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import char_tokens, word_tokens
-from corpusflow.operators.keys import first_wins, global_position, quantile_bucket
-from corpusflow.session import checkpoint_dir
+from corpusflow.operators.keys import first_wins, global_position, with_quantile_bucket
+from corpusflow.session import materialize as materialize_df
 
 # Reserved tokens and their ids.
 WORD_SPECIALS = ["<PAD>", "<UNK>"]                   # ids 0, 1
@@ -29,16 +29,16 @@ def _first_seen_vocab(docs: DataFrame, tokens, order: str, specials: list[str],
     offsets and the local ranks, and the vocabulary is an artifact that every
     later encode joins against, so it is computed exactly once."""
     spark = docs.sparkSession
-    bucket = quantile_bucket(docs, order)       # boundaries from the input, not the derived rows
     per_doc = docs.select(order, F.posexplode(F.array_distinct(tokens)).alias("_k", "token"))
-    first = first_wins(per_doc, "token", [F.col(order), F.col("_k")]).withColumn("_bkt0", bucket)
+    first = first_wins(per_doc, "token", [F.col(order), F.col("_k")])
+    # bucket boundaries from the input's key, not from the derived rows
+    first = with_quantile_bucket(first, order, "_bkt0", source=docs)
     if materialize:
-        checkpoint_dir(spark)
-        first = first.checkpoint(eager=True)
+        first = materialize_df(first, "vocab-first")
     ranked = global_position(first, [F.col(order), F.col("_k")], F.col("_bkt0"), "_idx")
     sp = spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id bigint")
     vocab = sp.unionByName(ranked.select("token", (F.col("_idx") + len(specials)).alias("id")))
-    return vocab.checkpoint(eager=True) if materialize else vocab
+    return materialize_df(vocab, "vocab") if materialize else vocab
 
 
 def build_word_vocab(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.html import parse_pages
 from corpusflow.functions.urls import host_suffixes, normalize_url, url_host, url_path
 from corpusflow.operators.keys import first_wins
-from corpusflow.session import checkpoint_dir
+from corpusflow.session import materialize
 
 # Content types treated as HTML (substring match on the part before ';').
 TEXT_LIKE_MIME = ("text/html", "application/xhtml+xml")
@@ -121,7 +121,6 @@ def crawl_bfs(pages: DataFrame, seeds: DataFrame, rules: DataFrame, max_depth: i
 
     Returns ``(url, depth, title, text)``."""
     spark = pages.sparkSession
-    checkpoint_dir(spark)
     store = html_gate(pages).select(normalize_url(F.col(url)).alias("url"), F.col(html).alias("html"))
     store = first_wins(store, "url", [F.col("html")])           # one page per normalised URL
     frontier = seeds.select(normalize_url(F.col(url)).alias("url")).distinct().withColumn("depth", F.lit(0))
@@ -137,7 +136,7 @@ def crawl_bfs(pages: DataFrame, seeds: DataFrame, rules: DataFrame, max_depth: i
         ext = ext.withColumn("_h", F.md5("text"))
         if seen is not None:
             ext = ext.join(seen, "_h", "left_anti")
-        kept = first_wins(ext, "_h", [F.col("url")]).checkpoint(eager=True)
+        kept = materialize(first_wins(ext, "_h", [F.col("url")]), f"crawl-kept-{depth}")
         kept_all = kept if kept_all is None else kept_all.unionByName(kept)
         seen = kept.select("_h") if seen is None else seen.unionByName(kept.select("_h"))
         if depth >= max_depth:
@@ -146,10 +145,10 @@ def crawl_bfs(pages: DataFrame, seeds: DataFrame, rules: DataFrame, max_depth: i
                  .where(F.col("dst").startswith("http://") | F.col("dst").startswith("https://"))
                  .select(F.col("dst").alias("url")).distinct())
         links = allowed_urls(links, rules, "url").join(known, "url", "left_anti")
-        frontier = links.withColumn("depth", F.lit(depth + 1)).checkpoint(eager=True)
+        frontier = materialize(links.withColumn("depth", F.lit(depth + 1)), f"crawl-frontier-{depth + 1}")
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier.select("url")).checkpoint(eager=True)
+        known = materialize(known.unionByName(frontier.select("url")), f"crawl-known-{depth + 1}")
     out = kept_all.select("url", "depth", "title", "text")
     if max_pages is not None:
         out = out.orderBy("depth", "url").limit(max_pages)   # the page cap is the feature

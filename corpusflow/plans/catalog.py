@@ -21,7 +21,7 @@ from corpusflow.operators.keys import key_bounds
 from corpusflow.operators.ml import pool_vectors
 from corpusflow.plans.corpus import preprocess_corpus, preprocess_report
 from corpusflow.plans.fixtures import labelled, predictions, step_log, table
-from corpusflow.session import checkpoint_dir
+from corpusflow.session import checkpoint_dir, materialize
 from corpusflow.sources import readers as R, sinks as K
 from corpusflow.streaming.dedup import run_stream_dedup
 
@@ -377,8 +377,7 @@ def q_flat_token_stream(spark, sf):
     """F4 over per-document id arrays (char ids of the conversations, BOS/EOS wrapped)."""
     utt = _utterances(spark, sf)
     enc = V.encode_chars(utt, V.build_char_vocab(utt, order="utt_id"), order="utt_id", add_special_tokens=True)
-    checkpoint_dir(spark)
-    enc = enc.checkpoint(eager=True)       # read twice: offsets and tokens
+    enc = materialize(enc, "encoded-utterances")       # read twice: offsets and tokens
     return Q.flat_token_stream(enc, order="utt_id", bounds=key_bounds(utt, "utt_id"))
 
 

@@ -60,3 +60,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def materialize(df, name: str = "stage"):
+    """Compute ``df`` once and cut its lineage: write it as a parquet table
+    under the shared checkpoint folder and read it back.
+
+    Used for results that several consumers read (vocabularies, offsets,
+    model counts) and for iteration state (crawl levels, BPE words).  Unlike
+    ``Dataset.checkpoint`` without a cache, the data is computed exactly
+    once; unlike ``localCheckpoint``, it survives the loss of executors."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
