@@ -122,7 +122,7 @@ def crawl_bfs(pages: DataFrame, seeds: DataFrame, rules: DataFrame, max_depth: i
     Returns ``(url, depth, title, text)``."""
     spark = pages.sparkSession
     store = html_gate(pages).select(normalize_url(F.col(url)).alias("url"), F.col(html).alias("html"))
-    store = first_wins(store, "url", [F.col("html")])           # one page per normalised URL
+    store = first_wins(store, "url", [F.md5(F.col("html"))])    # one page per normalised URL
     frontier = seeds.select(normalize_url(F.col(url)).alias("url")).distinct().withColumn("depth", F.lit(0))
     known = frontier.select("url")
     kept_all = None
