@@ -1,7 +1,5 @@
-import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusflow.functions.labels import to_binary_label
 from corpusflow.operators import labels as L, sampling as S, stats

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusflow.operators import metrics as M, sequences as Q, vocab as V
 from corpusflow.operators.lm import next_token_topk
