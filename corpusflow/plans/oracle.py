@@ -249,7 +249,8 @@ UNION ALL
 (SELECT doc_id, 'false_negative' AS error, round(conf_b, 9) AS conf FROM {P}
  WHERE label = 1 AND pred_b = 0 ORDER BY conf_b DESC, doc_id LIMIT 20)""",
     "softmax_scores": """
-WITH e AS (SELECT vec_id, CAST(list_slice(embedding, 1, 10) AS DOUBLE[]) AS a FROM embeddings),
+WITH e AS (SELECT vec_id, list_transform(range(10), lambda c: list_sum(list_transform(
+               range(c, len(embedding), 10), lambda d: CAST(embedding[d + 1] AS DOUBLE)))) AS a FROM embeddings),
 x AS (SELECT vec_id, list_transform(a, lambda v: exp(v - list_max(a))) AS ex FROM e),
 p AS (SELECT vec_id, list_transform(ex, lambda v: v / list_sum(ex)) AS p FROM x)
 SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred,
