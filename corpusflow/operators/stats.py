@@ -8,7 +8,7 @@ group, so its state is bounded by the number of distinct lengths."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COMBINED = "combined"
@@ -62,6 +62,5 @@ def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
 
 
 def split_breakdown(df: DataFrame, split: str = "split") -> DataFrame:
-    """``split_breakdown`` — rows per split with its share of the total."""
-    g = df.groupBy(split).agg(F.count(F.lit(1)).cast("bigint").alias("total_rows"))
-    return g.withColumn("share", F.col("total_rows") / F.sum("total_rows").over(Window.partitionBy(F.lit(1))))
+    """``split_breakdown`` — rows per split."""
+    return df.groupBy(split).agg(F.count(F.lit(1)).cast("bigint").alias("total_rows"))
