@@ -17,7 +17,6 @@ from corpusflow.functions.labels import to_binary_label
 from corpusflow.functions.urls import normalize_url as _normalize_url, url_host as _url_host
 from corpusflow.operators import bpe as B, dedup, labels as L, lm as LM, metrics as M, ml as ML
 from corpusflow.operators import sampling as S, sequences as Q, stats, vocab as V, web as W
-from corpusflow.operators.keys import key_bounds
 from corpusflow.operators.ml import pool_vectors
 from corpusflow.plans.corpus import preprocess_corpus, preprocess_report
 from corpusflow.plans.fixtures import labelled, predictions, step_log, table
@@ -383,7 +382,7 @@ def q_flat_token_stream(spark, sf):
     utt = _utterances(spark, sf)
     enc = V.encode_chars(utt, V.build_char_vocab(utt, order="utt_id"), order="utt_id", add_special_tokens=True)
     enc = materialize(enc, "encoded-utterances")       # read twice: offsets and tokens
-    return Q.flat_token_stream(enc, order="utt_id", bounds=key_bounds(utt, "utt_id"))
+    return Q.flat_token_stream(enc, order="utt_id")
 
 
 @register("token_stream")
