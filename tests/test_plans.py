@@ -31,3 +31,23 @@ def test_hot_key_dedup_is_limited_before_shuffle(spark):
     plan = _plan(out)
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert out.count() == 2001
+
+
+def test_two_level_position_with_clustered_keys(spark):
+    """Equal-count buckets: a dense id cluster (a third of the rows) is spread
+    over many buckets, and positions still equal a global sort."""
+    from pyspark.sql import functions as F
+    from corpusflow.operators.keys import global_position, global_prefix_sum, with_quantile_bucket
+    ids = list(range(1000)) + [10**9 + 7 * i for i in range(2000)]
+    df = spark.createDataFrame([(i, i % 7) for i in ids], "k long, v long")
+    b = with_quantile_bucket(df, "k", "_qb", n_buckets=32)
+    sizes = [r["count"] for r in b.groupBy("_qb").count().collect()]
+    assert max(sizes) < len(ids) / 8
+    pos = {r["k"]: r["idx"] for r in global_position(b, [F.col("k")], F.col("_qb"), "idx").collect()}
+    assert pos == {k: i for i, k in enumerate(sorted(ids))}
+    pre = {r["k"]: r["off"] for r in global_prefix_sum(b, [F.col("k")], F.col("_qb"), F.col("v"), "off").collect()}
+    acc, want = 0, {}
+    for k in sorted(ids):
+        want[k] = acc
+        acc += k % 7
+    assert pre == want
