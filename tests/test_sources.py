@@ -98,3 +98,20 @@ def test_empty_input_default(spark):
     assert [r[0] for r in df.select(empty_input_default("text", "p")).collect()] == [[1.0, 0.0], [0.2, 0.8]]
     with pytest.raises(Exception):
         df.select(empty_input_default("text", "p", mode="error")).collect()
+
+
+def test_dedup_within_watermark(spark):
+    import datetime as dt
+    from corpusflow.streaming.dedup import dedup_within_watermark
+    root = _scratch()
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(seconds=i), "x" * 120 if i % 2 else "y" * 120) for i in range(6)]
+    spark.createDataFrame(rows, "ts timestamp, text string").write.parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+    q = (dedup_within_watermark(stream, "ts", "1 hour").writeStream.format("parquet")
+         .option("checkpointLocation", f"{root}/ckpt").option("path", f"{root}/out")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    assert sorted(r["text"][0] for r in out.collect()) == ["x", "y"]
