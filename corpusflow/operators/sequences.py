@@ -82,13 +82,15 @@ def pack_blocks(stream: DataFrame, block_size: int = 256, stride: int = 128,
     g = F.col("g")
     k_lo = F.greatest(F.lit(0), F.ceil((g - block_size) / F.lit(float(stride)))).cast("bigint")
     k_hi = F.least(F.floor(g / F.lit(float(stride))), F.lit(last // stride)).cast("bigint")
-    regular = F.when(k_lo <= k_hi, F.transform(F.sequence(k_lo, k_hi), lambda k: k * stride)) \
-        .otherwise(F.array().cast("array<bigint>"))
-    starts = regular
+    # a token lies in at most ceil((B+1)/S) regular windows: a fixed-size
+    # candidate array of plain expressions (whole-stage codegen, no lambda)
+    m = -(-(block_size + 1) // stride)
+    cands = [F.when(k_hi - j >= k_lo, (k_hi - j) * stride) for j in range(m)]
     if has_tail:
         in_tail = (g >= max_start) & (g <= max_start + block_size)
-        starts = F.when(in_tail, F.concat(regular, F.array(F.lit(max_start).cast("bigint")))).otherwise(regular)
-    exploded = stream.select(F.explode(starts).alias("start"), "g", "token_id")
+        cands.append(F.when(in_tail, F.lit(max_start).cast("bigint")))
+    exploded = (stream.select(F.explode(F.array(*cands)).alias("start"), "g", "token_id")
+                .where(F.col("start").isNotNull()))
     blocks = exploded.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("g", "token_id"))).alias("_w"))
     ids = F.transform("_w", lambda s: s["token_id"])
     return blocks.select("start", F.slice(ids, 1, block_size).alias("x"),
