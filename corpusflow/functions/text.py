@@ -65,7 +65,7 @@ def splitlines(col) -> Column:
 def word_tokens(col, lowercase: bool = True) -> Column:
     """``text.lower().split()`` as ARRAY<STRING>."""
     c = F.lower(_c(col)) if lowercase else _c(col)
-    return F.filter(F.split(c, _WS_RUN_RE), lambda x: x != "")
+    return F.array_remove(F.split(c, _WS_RUN_RE), "")          # built-in, no lambda
 
 
 def char_tokens(col) -> Column:
