@@ -92,7 +92,7 @@ def pack_blocks(stream: DataFrame, block_size: int = 256, stride: int = 128,
     exploded = (stream.select(F.explode(F.array(*cands)).alias("start"), "g", "token_id")
                 .where(F.col("start").isNotNull()))
     blocks = exploded.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("g", "token_id"))).alias("_w"))
-    ids = F.transform("_w", lambda s: s["token_id"])
+    ids = F.col("_w.token_id")                     # field of each struct, no lambda
     return blocks.select("start", F.slice(ids, 1, block_size).alias("x"),
                          F.slice(ids, 2, block_size).alias("y"))
 

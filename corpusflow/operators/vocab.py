@@ -79,7 +79,7 @@ def _encode(docs: DataFrame, tokens, vocab: DataFrame, order: str, max_len: int
     per_doc = ids.groupBy(order).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
     keep = [c for c in docs.columns if c != "text"]
     enc = docs.select(*keep).join(per_doc, order, "left")
-    return enc.withColumn("ids", F.coalesce(F.transform("_p", lambda s: s["_id"]),
+    return enc.withColumn("ids", F.coalesce(F.col("_p._id"),
                                             F.array().cast("array<bigint>"))).drop("_p")
 
 
@@ -121,7 +121,7 @@ def decode_chars(encoded: DataFrame, vocab: DataFrame, ids: str = "ids", order:
             .withColumn("_ch", F.coalesce(F.col("_tok"), F.lit("<UNK>"))))
     per = rows.groupBy(order).agg(F.array_sort(F.collect_list(F.struct("_pos", "_ch"))).alias("_p"))
     out = encoded.select(order).join(per, order, "left")
-    return out.select(order, F.coalesce(F.array_join(F.transform("_p", lambda s: s["_ch"]), ""),
+    return out.select(order, F.coalesce(F.array_join(F.col("_p._ch"), ""),
                                         F.lit("")).alias("text"))
 
 
