@@ -43,8 +43,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment (a shared file system).
-    Only when it is unset — local tests — a fresh scratch folder is created.
+    On a cluster this is set by the deployment (a shared file system); a job
+    on a cluster without it is refused, because a machine-local folder would
+    lose the parts that other executors write.  Only a ``local`` master (tests,
+    bench) gets a scratch folder of its own when the setting is unset.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -57,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         conf = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -74,4 +78,4 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
