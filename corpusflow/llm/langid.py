@@ -10,12 +10,13 @@ of the training rows only; a prediction reads text only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from corpusflow.llm.common import LETTER_BYTES, byte_list, crc_mod, read_bytes, table, tokenizer_path
 from corpusflow.llm.lattice import (MARK, PieceTrie, expected_counts, log_marginals, normal_pieces, rank_weights,
@@ -63,13 +64,17 @@ def _word_rows(batches):
 
 
 def training_words(train: DataFrame, max_docs: int) -> DataFrame:
-    """``(lang, word, n)`` over the training sample: per language at most
-    ``max_docs`` rows, those with the smallest hash of their text and id."""
-    rank = W.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id")
-    picked = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()) \
-        .select("lang", "text", "doc_id").withColumn("rank", F.row_number().over(rank)) \
-        .where(F.col("rank") <= max_docs).repartition(F.col("doc_id"))
-    return picked.select("lang", "text").mapInArrow(_word_rows, "lang string, word string, n long") \
+    """``(lang, word, n)`` over the training sample: per language a share of
+    the rows, drawn by a hash of id and text, that is ``max_docs`` rows on
+    average (all rows, if there are fewer)."""
+    rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = rows.groupBy("lang").count().collect()                    # one row per language
+    if not sizes:
+        return rows.select("lang", F.col("text").alias("word"), F.lit(0).cast("long").alias("n"))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, max_docs / r["count"]))])
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < 
+        F.element_at(share, F.col("lang")) * (1 << 20))
+    return drawn.select("lang", "text").mapInArrow(_word_rows, "lang string, word string, n long") \
         .groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -101,13 +106,13 @@ class LanguageModel:
         self.trie, self.langs, self.weights = trie, langs, weights
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        return log_marginals(self.trie, self.weights, [_marked(w) for w in words], _FLOOR)
+        return log_marginals(self.trie, self.weights, [_marked(w) for w in words], _FLOOR, scaled=True)
 
 
 def train(train_rows: DataFrame, model_path: str | None = None, max_docs: int = 4000, rounds: int = 2) -> LanguageModel:
     """Learns from rows ``doc_id, text, lang`` (null text or lang: ignored).
-    At most ``max_docs`` rows per language are used; what reaches the driver is
-    the piece table, one number per language and piece of the vocabulary."""
+    ``max_docs`` bounds the sample per language (see ``training_words``); what
+    reaches the driver is the piece table, one number per language and piece."""
     pieces, scores = normal_pieces(read_bytes(model_path or tokenizer_path("piece_bpe_32k.model")))
     trie, prior = PieceTrie(pieces), rank_weights(scores)
     spark = train_rows.sparkSession
@@ -168,7 +173,7 @@ def predictor(spark, model: LanguageModel):
     Ties go to the language that sorts first."""
     held = spark.sparkContext.broadcast(model)
 
-    def predict(batches):
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _Scorer(held.value)
         for column in batches:
             got = []
@@ -178,8 +183,7 @@ def predictor(spark, model: LanguageModel):
                 [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
                 names=["lang_pred", "score"])
 
-    predict.__annotations__ = {"batches": "Iterator[pa.Array]", "return": "Iterator[pa.Array]"}
-    return F.arrow_udf(predict, _RESULT, F.ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(predict, _RESULT)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,7 +1,7 @@
 """Sums over all segmentations of words into pieces of a fixed vocabulary.
 
-Words are processed in NumPy batches of similar length.  For each start the
-piece trie is walked for all words of the batch at once; the forward recursion
+Words are processed in NumPy batches of similar length.  The piece trie is
+walked from all starts of all words of a batch at once; the forward recursion
 adds, in log space, the weight of each piece found to the score of the prefix
 before it.  Several weightings of the same vocabulary (one per language) are
 columns of one matrix.  Work per word is its length times the longest piece;
@@ -14,7 +14,8 @@ import numpy as np
 import sentencepiece
 
 MARK = "▁"                   # stands before each word
-_BATCH = 8192
+_BATCH_CHARS = 50_000
+_SCALE = 2.5                 # log of what a character is scaled by in plain numbers
 _EMPTY = -1
 
 
@@ -84,74 +85,120 @@ class PieceTrie:
 
 
 def _batches(words: list[str]):
-    """Index batches of words of similar length, longest first within each."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]), reverse=True)
-    at = 0
-    while at < len(order):
-        longest = max(1, len(words[order[at]]))
-        size = max(1, min(_BATCH, 400_000 // longest))
-        yield order[at:at + size]
-        at += size
-
-
-def _arcs(trie: PieceTrie, words: list[str]):
-    """The lattice of a batch (longest word first): ``(start, end, rows,
-    pieces)`` with ``start`` ascending; piece -1 is a character outside the
-    vocabulary.  Also the words' lengths."""
-    lens = np.array([len(w) for w in words])
-    top = int(lens[0]) if len(lens) else 0
-    chars = np.zeros((len(words), top + 1), np.int64)
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    row = np.repeat(np.arange(len(words)), lens)
-    col = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-    chars[row, col] = flat
-    chars = np.ascontiguousarray(chars.T)
-    arcs = []
-    for i in range(top):
-        rows = np.arange(np.searchsorted(-lens, -i, side="left"))          # words longer than i
-        nodes = np.zeros(len(rows), np.int64)
-        for k in range(trie.max_len):
-            if i + k >= top or not len(rows):
-                break
-            alive = lens[rows] > i + k
-            if not alive.all():
-                rows, nodes = rows[alive], nodes[alive]
-            nodes = trie.step(nodes, chars[i + k, rows])
-            if k == 0:
-                single = np.where(nodes >= 0, trie.ends[nodes], _EMPTY) >= 0
-                if not single.all():
-                    lost = rows[~single]
-                    arcs.append((i, i + 1, lost, np.full(len(lost), _EMPTY)))
+    """Index batches of words of similar length, with a bounded sum of lengths."""
+    lens = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(lens, kind="stable")
+    cut = (np.cumsum(lens[order] + 1) - 1) // _BATCH_CHARS
+    for part in np.split(order, np.flatnonzero(np.diff(cut)) + 1):
+        if len(part):
+            yield part
+
+
+class _Lattice:
+    """All pieces found in a batch of words, as arcs between cells: a word of n
+    characters has the n + 1 cells ``first[w] .. last[w]``."""
+
+    def __init__(self, trie: PieceTrie, words: list[str]):
+        lens = np.array([len(w) for w in words], np.int64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin = np.cumsum(lens) - lens
+        self.first = begin + np.arange(len(lens))
+        self.last = self.first + lens
+        self.cells = int(lens.sum()) + len(lens)
+        word = np.repeat(np.arange(len(lens)), lens)
+        offset = np.arange(len(chars)) - begin[word]
+        left = lens[word] - offset
+        at, nodes = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        starts, sizes, pieces = [], [], []
+        for k in range(trie.max_len):                     # the k-th character after every start, at once
+            nodes = trie.step(nodes, chars[at + k])
             alive = nodes >= 0
-            rows, nodes = rows[alive], nodes[alive]
+            if k == 0:
+                single = alive & (trie.ends[nodes] >= 0)
+                lost = at[~single]                        # characters that are no piece: arcs of weight `floor`
+                starts.append(lost)
+                sizes.append(np.ones(len(lost), np.int64))
+                pieces.append(np.full(len(lost), trie.n_pieces))
+            at, nodes = at[alive], nodes[alive]
             ends = trie.ends[nodes]
             done = ends >= 0
-            if done.any():
-                arcs.append((i, i + k + 1, rows[done], ends[done]))
-    return arcs, lens
-
-
-def _forward(arcs, lens: np.ndarray, weights: np.ndarray, floor: float) -> np.ndarray:
-    """alpha[i, w]: log of the summed weights of all segmentations of the first
-    i characters.  ``weights`` is (pieces, models); ``floor`` is the log weight
-    of a character outside the vocabulary."""
-    top = int(lens[0]) if len(lens) else 0
-    alpha = np.full((top + 1, len(lens), weights.shape[1]), -np.inf)
-    alpha[0] = 0.0
-    for i, j, rows, pieces in arcs:
-        add = alpha[i, rows] + (weights[pieces] if pieces[0] >= 0 else floor)
-        alpha[j, rows] = np.logaddexp(alpha[j, rows], add)
-    return alpha
-
-
-def log_marginals(trie: PieceTrie, weights: np.ndarray, words: list[str], floor: float) -> np.ndarray:
+            starts.append(at[done])
+            sizes.append(np.full(int(done.sum()), k + 1))
+            pieces.append(ends[done])
+            more = left[at] > k + 1
+            at, nodes = at[more], nodes[more]
+            if not len(at):
+                break
+        starts, sizes, pieces = (np.concatenate(x) for x in (starts, sizes, pieces))
+        by_start = offset[starts]
+        order = np.argsort(by_start.astype(np.int32), kind="stable")
+        starts, self.size, self.piece, by_start = starts[order], sizes[order], pieces[order], by_start[order]
+        self.word = word[starts]
+        self.src = starts + self.word                     # one cell more per word before it
+        self.dst = self.src + self.size
+        self.end = by_start + self.size
+        edges = np.r_[0, np.flatnonzero(np.diff(by_start)) + 1, len(by_start)]
+        self.steps = [slice(a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+
+    def forward(self, arc_weights: np.ndarray) -> np.ndarray:
+        """Per cell the log of the summed weights of all ways to it.  Arcs from
+        one offset lead to distinct cells, so an offset is one array step."""
+        alpha = np.full((self.cells, arc_weights.shape[1]), -np.inf)
+        alpha[self.first] = 0.0
+        for g in self.steps:
+            dst = self.dst[g]
+            alpha[dst] = np.logaddexp(alpha[dst], alpha[self.src[g]] + arc_weights[g])
+        return alpha
+
+    def forward_scaled(self, weights: np.ndarray) -> np.ndarray:
+        """The words' log sums as ``forward`` gives them, from plain piece
+        weights (not logs): each character is scaled up by a constant against
+        underflow.  Words out of range come back as -inf or inf; the caller
+        takes them through ``forward``."""
+        w = weights[self.piece] * np.exp(np.arange(self.size.max(initial=0) + 1) * _SCALE)[self.size][:, None]
+        alpha = np.zeros((self.cells, weights.shape[1]))
+        alpha[self.first] = 1.0
+        for g in self.steps:
+            alpha[self.dst[g]] += alpha[self.src[g]] * w[g]
+        last = alpha[self.last]
+        with np.errstate(divide="ignore"):
+            return np.where(last < 1e-280, -np.inf, np.log(last)) - (self.last - self.first)[:, None] * _SCALE
+
+    def backward(self, arc_weights: np.ndarray) -> np.ndarray:
+        """Per cell the log of the summed weights of all ways from it."""
+        beta = np.full((self.cells, arc_weights.shape[1]), -np.inf)
+        beta[self.last] = 0.0
+        order = np.argsort(self.end.astype(np.int32), kind="stable")
+        for g in reversed(np.split(order, np.flatnonzero(np.diff(self.end[order])) + 1) if len(order) else []):
+            src = self.src[g]
+            beta[src] = np.logaddexp(beta[src], beta[self.dst[g]] + arc_weights[g])
+        return beta
+
+
+def _with_floor(weights: np.ndarray, floor: float) -> np.ndarray:
+    return np.vstack([weights, np.full((1, weights.shape[1]), floor)])
+
+
+def log_marginals(trie: PieceTrie, weights: np.ndarray, words: list[str], floor: float,
+                  scaled: bool = False) -> np.ndarray:
     """``(len(words), models)``: the natural log of each marked word's summed
-    weight over all its segmentations."""
+    weight over all its segmentations.  ``weights`` is (pieces, models);
+    ``floor`` is the log weight of a character outside the vocabulary.
+    ``scaled`` sums in scaled plain numbers, faster for several models, and
+    takes only the words that leave their range through log space."""
     out = np.zeros((len(words), weights.shape[1]))
+    table = _with_floor(weights, floor)
+    if scaled:
+        table = np.exp(table)
     for index in _batches(words):
-        arcs, lens = _arcs(trie, [words[i] for i in index])
-        alpha = _forward(arcs, lens, weights, floor)
-        out[index] = alpha[lens, np.arange(len(lens))]
+        lat = _Lattice(trie, [words[i] for i in index])
+        if not scaled:
+            out[index] = lat.forward(table[lat.piece])[lat.last]
+            continue
+        out[index] = lat.forward_scaled(table)
+        bad = index[~np.isfinite(out[index]).all(axis=1)]
+        if len(bad):
+            out[bad] = log_marginals(trie, weights, [words[i] for i in bad], floor)
     return out
 
 
@@ -161,21 +208,14 @@ def expected_counts(trie: PieceTrie, weights: np.ndarray, words: list[str], coun
     over all segmentations of ``words``, each taken ``counts`` times.  The last
     element counts characters outside the vocabulary."""
     total = np.zeros(trie.n_pieces + 1)
-    w = weights.reshape(-1, 1)
+    table = _with_floor(weights.reshape(-1, 1), floor)
     for index in _batches(words):
-        arcs, lens = _arcs(trie, [words[i] for i in index])
-        alpha = _forward(arcs, lens, w, floor)[:, :, 0]
-        every = np.arange(len(lens))
-        z = alpha[lens, every]
-        beta = np.full_like(alpha, -np.inf)
-        beta[lens, every] = 0.0
-        mine = counts[index]
-        for i, j, rows, pieces in reversed(arcs):
-            weight = weights[pieces] if pieces[0] >= 0 else floor
-            through = weight + beta[j, rows]
-            beta[i, rows] = np.logaddexp(beta[i, rows], through)
-            share = np.exp(alpha[i, rows] + through - z[rows]) * mine[rows]
-            total += np.bincount(np.where(pieces < 0, trie.n_pieces, pieces), share, trie.n_pieces + 1)
+        lat = _Lattice(trie, [words[i] for i in index])
+        w = table[lat.piece]
+        alpha, beta = lat.forward(w), lat.backward(w)
+        z = alpha[lat.last][lat.word]
+        share = np.exp(alpha[lat.src] + w + beta[lat.dst] - z)[:, 0] * counts[index][lat.word]
+        total += np.bincount(lat.piece, share, trie.n_pieces + 1)
     return total
 
 

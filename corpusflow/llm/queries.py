@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import decontam
+from corpusflow.llm import decontam, langid, line_dedup
 
 QUERIES = {
+    "op6_language_id": langid.op6_language_id,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
 SQL = {
+    "op8_line_dedup": line_dedup.SQL,
     "op10_decontaminate": decontam.SQL,
 }
