@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import decontam, langid, line_dedup
+from corpusflow.llm import decontam, langid, line_dedup, near_dup, piece_codec
 
 QUERIES = {
+    "op2_piece_codec": piece_codec.op2_piece_codec,
     "op6_language_id": langid.op6_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_near_duplicates": near_dup.op9_near_duplicates,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
 SQL = {
     "op8_line_dedup": line_dedup.SQL,
+    "op9_near_duplicates": near_dup.SQL,
     "op10_decontaminate": decontam.SQL,
 }
