@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
 A text is marked (a space before it; spaces belong to the word behind them) and
-cut to marked words, where no piece of the vocabulary can cross.  The distinct
+cut to marked words where no piece of the vocabulary can cross.  The distinct
 words that a task has not met yet are sorted, which lays out their trie in
 depth-first order: from one word to the next only the characters behind the
 common prefix are new, and the forward scores of that prefix are reused.
@@ -12,11 +12,14 @@ decoding gives back every text exactly.
 from __future__ import annotations
 
 import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,24 +27,32 @@ from pyspark.sql import types as T
 from corpusflow.llm.common import byte_list, crc32_of, read_bytes, table, tokenizer_path
 from corpusflow.llm.lattice import MARK
 
-_WORD = re.compile(rb" *[^ \n]+|\n| +")
 _UNKNOWN_PENALTY = 10.0           # fixed value of the format: below the lowest score
 _CACHE_WORDS = 400_000            # words whose ids a Python worker keeps
 _SLICE_BYTES = 8 << 20            # text in work at a time
 
 
-def marked_words(text: bytes) -> list[bytes]:
-    """The words of a marked text; joined they are a space and the text."""
-    return _WORD.findall(b" " + text) if text else []
+def word_pattern(pieces: list[str]) -> re.Pattern:
+    """Cuts a marked text to words that no piece crosses: before spaces, around
+    line ends, and before those ASCII signs that no piece holds behind anything
+    but a space or another sign."""
+    signs = set(string.punctuation)
+    behind = {c for p in pieces for a, c in zip(p, p[1:]) if a not in signs and a != " "}
+    every, cut = (re.escape("".join(sorted(x))) for x in (signs, signs - behind))
+    ahead = f"(?=[ \n{cut}]|\\Z)"
+    return re.compile(f" *[^ \n{every}]++{ahead}| *[^ \n]+|\n| +".encode())
 
 
 class PieceCodec:
-    """Encodes and decodes with the pieces and scores of a sentencepiece model."""
+    """Encodes and decodes with the pieces and scores of a sentencepiece model.
+
+    The pieces form an automaton: its state after a prefix is the longest end of
+    the prefix that begins a piece, and knows all pieces that end there.
+    """
 
     def __init__(self, model: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.scores: dict[str, float] = {}
-        self.ids: dict[str, int] = {}
+        pieces: list[tuple[str, float, int]] = []
         self.bytes_of = [b""] * sp.get_piece_size()
         self.byte_ids = [0] * 256
         for i in range(sp.get_piece_size()):
@@ -51,66 +62,96 @@ class PieceCodec:
                 self.byte_ids[b], self.bytes_of[i] = i, bytes([b])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 piece = piece.replace(MARK, " ")
-                self.scores[piece], self.ids[piece] = sp.get_score(i), i
+                pieces.append((piece, sp.get_score(i), i))
                 self.bytes_of[i] = piece.encode()
-        self.unknown = min(self.scores.values()) - _UNKNOWN_PENALTY
-        lengths: dict[str, set[int]] = {}
-        for piece in self.scores:
-            lengths.setdefault(piece[-2:], set()).add(len(piece))
-            if len(piece) == 1:
-                lengths.setdefault(piece, set()).add(1)
-        # by the last two characters: the lengths of pieces that end so, longest first
-        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
-        for end in [e for e in self.lengths if len(e) == 2]:
-            if end[1] in self.scores and 1 not in self.lengths[end]:
-                self.lengths[end] += (1,)
+        self.unknown = min(s for _, s, _ in pieces) - _UNKNOWN_PENALTY
+        self.words = word_pattern([p for p, _, _ in pieces])
+        self._build(pieces)
         self.cache: dict[bytes, bytes] = {}
 
+    def _build(self, pieces: list[tuple[str, float, int]]) -> None:
+        children: list[dict[str, int]] = [{}]
+        own: list[tuple | None] = [None]
+        for piece, score, i in pieces:
+            node = 0
+            for c in piece:
+                if c not in children[node]:
+                    children[node][c] = len(children)
+                    children.append({})
+                    own.append(None)
+                node = children[node][c]
+            own[node] = (len(piece), score, i)
+        fall, self.ends = [0] * len(children), [()] * len(children)
+        level = [0]
+        while level:                            # by depth: a shorter end is known before a longer one
+            below = []
+            for node in level:
+                self.ends[node] = ((own[node],) if own[node] else ()) + (self.ends[fall[node]] if node else ())
+                for c, child in children[node].items():
+                    at = fall[node]
+                    while at and c not in children[at]:
+                        at = fall[at]
+                    fall[child] = children[at][c] if node and c in children[at] else 0
+                    below.append(child)
+            level = below
+        self.children, self.fall = children, fall
+
+    def _next(self, state: int, c: str) -> int:
+        """The state after one more character; ways found by falling back are kept."""
+        at = state
+        while at and c not in self.children[at]:
+            at = self.fall[at]
+        at = self.children[at].get(c, 0)
+        if at:                                  # bounded: only characters of the vocabulary
+            self.children[state][c] = at
+        return at
+
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """The ids of each of the sorted ``words``: the way of the highest sum
         of scores; of equal ways the one whose last piece is longest."""
-        scores, ids, lengths, unknown = self.scores, self.ids, self.lengths, self.unknown
-        best, back, before = [0.0], [0], ""
+        children, ends, step, unknown = self.children, self.ends, self._next, self.unknown
+        best, back, states, before = [0.0], [(0, 0)], [0], ""
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del best[shared + 1:], back[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                last = word[end - 1]
-                if last in scores:
-                    top, at = -np.inf, end - 1
-                else:                       # a character outside the vocabulary, alone
-                    top, at = best[end - 1] + unknown, end - 1
-                for n in lengths.get(word[end - 2:end] if end > 1 else last) or lengths.get(last, ()):
-                    if n <= end:
-                        s = scores.get(word[end - n:end])
-                        if s is not None and best[end - n] + s > top:
-                            top, at = best[end - n] + s, end - n
+            del best[shared + 1:], back[shared + 1:], states[shared + 1:]
+            state, end = states[shared], shared
+            for c in word[shared:]:
+                state = children[state].get(c) or step(state, c)
+                end += 1
+                top, way, size = -1e300, None, 0
+                for size, score, i in ends[state]:
+                    if best[end - size] + score > top:
+                        top, way = best[end - size] + score, (size, i)
+                if size != 1 and best[end - 1] + unknown > top:      # the character alone is no piece
+                    top, way = best[end - 1] + unknown, (1, -1)
                 best.append(top)
-                back.append(at)
+                back.append(way)
+                states.append(state)
             before = word
             out, end = [], len(word)
             while end:
-                at = back[end]
-                piece = word[at:end]
-                i = ids.get(piece)
-                out.extend([i] if i is not None else [self.byte_ids[b] for b in reversed(piece.encode())])
-                end = at
+                size, i = back[end]
+                if i >= 0:
+                    out.append(i)
+                else:
+                    out.extend(self.byte_ids[b] for b in reversed(word[end - 1].encode()))
+                end -= size
             out.reverse()
             yield out
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers (none for a
         null or empty text)."""
-        cut = [marked_words(t) if t else [] for t in texts]
-        new = {w for words in cut for w in words if w not in self.cache}
+        cut = [self.words.findall(b" " + t) if t else [] for t in texts]
+        wanted = set().union(*cut)
+        new = wanted.difference(self.cache)
         if len(self.cache) + len(new) > _CACHE_WORDS:
-            self.cache = {}
-            new = {w for words in cut for w in words}
+            self.cache, new = {}, wanted
         order = sorted(w.decode() for w in new)
         for word, ids in zip(order, self.encode_sorted(order)):
-            self.cache[word.encode()] = np.array(ids, np.int32).tobytes()
+            self.cache[word.encode()] = array("i", ids).tobytes()
         got = [b"".join(map(self.cache.__getitem__, words)) for words in cut]
         for w in [w for w in new if len(w) > 64]:
             del self.cache[w]
@@ -121,6 +162,18 @@ class PieceCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:]
 
 
+_codecs: dict[int, PieceCodec] = {}
+
+
+def _codec(model: bytes) -> PieceCodec:
+    """The codec of a model, kept (with its words) from task to task."""
+    key = xxhash.xxh3_64_intdigest(model)
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = PieceCodec(model)
+    return _codecs[key]
+
+
 def _slices(column: pa.Array):
     """Parts of a text column of about ``_SLICE_BYTES`` each."""
     texts = byte_list(column)
@@ -139,7 +192,7 @@ def encoder(spark, model_path: str | None = None):
     model = spark.sparkContext.broadcast(read_bytes(model_path or tokenizer_path("piece_bpe_32k.model")))
 
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = PieceCodec(model.value)
+        codec = _codec(model.value)
         for column in texts:
             rows = [r for part in _slices(column) for r in codec.encode(part)]
             ends = np.cumsum([0] + [len(r) // 4 for r in rows])
@@ -160,7 +213,7 @@ def decoder(spark, model_path: str | None = None):
     model = spark.sparkContext.broadcast(read_bytes(model_path or tokenizer_path("piece_bpe_32k.model")))
 
     def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = PieceCodec(model.value)
+        codec = _codec(model.value)
         for column in ids:
             texts = [codec.decode(x.tolist()) for x in _id_rows(column)]
             yield pa.array(texts, pa.binary()).cast(pa.string())
