@@ -34,13 +34,12 @@ _SLICE_BYTES = 8 << 20            # text in work at a time
 
 def word_pattern(pieces: list[str]) -> re.Pattern:
     """Cuts a marked text to words that no piece crosses: before spaces, around
-    line ends, and before those ASCII signs that no piece holds behind anything
-    but a space or another sign."""
+    line ends, and between an ASCII letter or digit and those ASCII signs that
+    no piece holds behind one."""
     signs = set(string.punctuation)
-    behind = {c for p in pieces for a, c in zip(p, p[1:]) if a not in signs and a != " "}
+    behind = {c for p in pieces for a, c in zip(p, p[1:]) if a in string.ascii_letters + string.digits}
     every, cut = (re.escape("".join(sorted(x))) for x in (signs, signs - behind))
-    ahead = f"(?=[ \n{cut}]|\\Z)"
-    return re.compile(f" *[^ \n{every}]++{ahead}| *[^ \n]+|\n| +".encode())
+    return re.compile(f" *[^ \n{every}]++(?<=[A-Za-z0-9])(?=[ \n{cut}])| *[^ \n]+|\n| +".encode())
 
 
 class PieceCodec:
