@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import decontam, langid, line_dedup, near_dup, piece_codec
+from corpusflow.llm import decontam, langid, line_dedup, near_dup, piece_codec, token_counts, token_store
 
 QUERIES = {
     "op2_piece_codec": piece_codec.op2_piece_codec,
+    "op3_token_store": token_store.op3_token_store,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op6_language_id": langid.op6_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_near_duplicates": near_dup.op9_near_duplicates,
