@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import decontam, langid, line_dedup, near_dup, piece_codec, token_counts, token_store
+from corpusflow.llm import (decontam, langid, license_scan, line_dedup, lm_score, near_dup, piece_codec, token_counts,
+                            token_store)
 
 QUERIES = {
     "op2_piece_codec": piece_codec.op2_piece_codec,
     "op3_token_store": token_store.op3_token_store,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_language_id": langid.op6_language_id,
+    "op7_lm_score": lm_score.op7_lm_score,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_near_duplicates": near_dup.op9_near_duplicates,
     "op10_decontaminate": decontam.op10_decontaminate,
