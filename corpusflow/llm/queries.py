@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import (decontam, langid, license_scan, line_dedup, lm_score, near_dup, piece_codec, token_counts,
+from corpusflow.llm import (ann, decontam, langid, license_scan, line_dedup, lm_score, near_dup, piece_codec, token_counts,
                             token_store)
 
 QUERIES = {
+    "op1_nearest": ann.op1_nearest,
     "op2_piece_codec": piece_codec.op2_piece_codec,
     "op3_token_store": token_store.op3_token_store,
     "op4_token_counts": token_counts.op4_token_counts,
