@@ -10,8 +10,8 @@
 3. Components of the confirmed links are found by alternating large-star and
    small-star.  A bucket whose members all lie in one component is done.  In the
    others, every pair of members of different components is still compared (the
-   members outside the bucket's largest component against all), in blocks of
-   bounded size; what passes is confirmed and joins the components.
+   members outside the bucket's largest component against all), on signatures
+   and then on full sets, in blocks of bounded size; links join the components.
 
 No pair that shares a bucket goes unexamined unless its two documents are
 already known to be connected, and no bucket is expanded into all its pairs.
@@ -31,7 +31,8 @@ from corpusflow.llm.components import connected_components
 from corpusflow.session import materialize
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 512                      # members compared with one another in one task
+_BLOCK = 512                      # documents of a block, two of which are compared in one task
+_BLOCK_BYTES = 16 << 20           # and their sets and signatures
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -115,25 +116,46 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def _block_pairs(n_hashes: int, least: float):
-    """Pairs (stray, member) of different components with similar signatures,
-    for a group of whole small buckets or for two blocks of a large one."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets meet ``100 * intersection >= percent * union``."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _block_links(n_hashes: int, least: float, percent: int):
+    """Confirmed links between components, for a group of whole small areas or
+    for two blocks (strays, all) of a large one."""
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        bucket, ids, comps, stray = (group.column(c).to_numpy() for c in ("key", "id", "comp", "stray"))
+        area, ids, comps, left = (group.column(c).to_numpy() for c in ("area", "id", "comp", "is_left"))
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, n_hashes)
-        order = np.argsort(bucket, kind="stable")
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        joined: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
         found = []
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            s, m = part[stray[part]], part[~stray[part]]
-            for i in s:
-                near = m[(comps[m] != comps[i])]
-                if len(near):
-                    near = near[(sig[near] == sig[i]).mean(axis=1) >= least]
-                    found.append(np.stack([np.full(len(near), ids[i]), ids[near]], axis=1))
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], schema=out)
+        order = np.argsort(area, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(area[order])) + 1):
+            strays, every = part[left[part]], part[~left[part]]
+            in_big = comps[every] == area[every]
+            for i in strays:
+                near = every[(comps[every] != comps[i]) & (in_big | (ids[every] > ids[i]))]
+                alike = (sig[near] == sig[i]).mean(axis=1)
+                for j in near[alike >= least]:
+                    a, b = top(int(comps[i])), top(int(comps[j]))
+                    if a != b and _is_link(sets[i], sets[j], percent):
+                        joined[max(a, b)] = min(a, b)
+                        found.append((ids[i], ids[j]))
+        return pa.table([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], schema=out)
 
     return run
 
@@ -183,31 +205,42 @@ class NearDuplicates:
         r = roots.select(F.col("node").alias(column), F.col("root").alias("root_"))
         return df.join(r, column, "left").withColumn(name, F.coalesce("root_", column)).drop("root_")
 
-    def _open_pairs(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Candidate pairs inside buckets that hold several components."""
+    def _open_links(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links between components that share buckets, beyond the star pairs.
+
+        The buckets whose largest component is the same form one area, so that
+        documents that share many buckets meet once.  The area's strays (its
+        documents outside that component) are compared with all its documents,
+        in blocks of bounded count and size."""
         placed = materialize(self._with_component(
-            members.where(F.col("n_members") >= 3).select("key", "id", "n_members"), roots, "id", "comp"), "placed")
+            members.where(F.col("n_members") >= 3).select("key", "id"), roots, "id", "comp"), "placed")
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = materialize(sizes.groupBy("key").agg(
-            F.max(F.struct("c", "comp")).alias("big"), F.count("*").alias("n_comps"), F.sum("c").alias("n"))
-            .where(F.col("n_comps") >= 2)
-            .select("key", F.col("big.comp").alias("big"), "n", (F.col("n") - F.col("big.c")).alias("n_strays")),
-            "mixed-buckets")
-        rows = placed.drop("n_members").join(mixed, "key").withColumn("stray", F.col("comp") != F.col("big"))
-        rows = rows.join(self.classes.select("id", "signature"), "id")
-        blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
-        stray_blocks = F.ceil(F.col("n_strays") / _BLOCK).cast("int")
+        mixed = materialize(sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("big"), F.count("*").alias("k"))
+                            .where(F.col("k") >= 2).select("key", F.col("big.comp").alias("area")), "mixed-buckets")
+        items = placed.join(mixed, "key").select("area", "id", "comp").distinct() \
+            .join(self.classes.select("id", "n"), "id").withColumn("stray", F.col("comp") != F.col("area"))
+        items = materialize(items, "open-items")
+        size = F.col("n") * 8 + 4 * self.n_hashes
+        blocks = lambda count, total: F.ceil(F.greatest(count / _BLOCK, total / _BLOCK_BYTES)).cast("int")
+        areas = materialize(items.groupBy("area").agg(
+            F.count("*").alias("count"), blocks(F.count("*"), F.sum(size)).alias("n_all"),
+            blocks(F.count_if("stray"), F.sum(F.when(F.col("stray"), size))).alias("n_strays")), "open-areas")
+        rows = items.join(areas, "area")
         place = F.xxhash64("id", F.lit(1))
-        to_all = lambda n: F.sequence(F.lit(0), n - 1)
-        as_member = rows.withColumn("stray", F.lit(False)).withColumn("mb", F.pmod(place, blocks).cast("int")) \
-            .withColumn("sb", F.explode(to_all(stray_blocks)))
-        as_stray = rows.where("stray").withColumn("sb", F.pmod(place, stray_blocks).cast("int")) \
-            .withColumn("mb", F.explode(to_all(blocks)))
-        n_groups = max(1, mixed.agg(F.sum("n")).first()[0] or 0) // _BLOCK + 1
-        both = as_member.unionByName(as_stray).withColumn(
-            "grp", F.when(F.col("n") > _BLOCK, F.col("key")).otherwise(F.pmod("key", F.lit(n_groups))))
-        return both.select("grp", "sb", "mb", "key", "id", "comp", "stray", "signature") \
-            .groupBy("grp", "sb", "mb").applyInArrow(_block_pairs(self.n_hashes, self.least), "a long, b long").distinct()
+        to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        every = rows.withColumn("is_left", F.lit(False)).withColumn("mb", F.pmod(place, "n_all").cast("int")) \
+            .withColumn("sb", to_all("n_strays"))
+        strays = rows.where("stray").withColumn("is_left", F.lit(True)) \
+            .withColumn("sb", F.pmod(place, "n_strays").cast("int")).withColumn("mb", to_all("n_all"))
+        n_groups = (areas.agg(F.sum("count")).first()[0] or 0) // _BLOCK + 1
+        alone = (F.col("n_all") > 1) | (F.col("n_strays") > 1) | (F.col("count") > _BLOCK // 4)
+        both = every.unionByName(strays).withColumn(
+            "grp", F.when(alone, F.col("area")).otherwise(-1 - F.pmod(F.xxhash64("area"), F.lit(n_groups))))
+        both = both.join(self.classes.select("id", "signature"), "id").join(self.sets, "id")
+        return materialize(both.select("grp", "sb", "mb", "area", "id", "comp", "is_left", "signature", "shingles")
+                           .groupBy("grp", "sb", "mb")
+                           .applyInArrow(_block_links(self.n_hashes, self.least, self.percent), "u long, v long"),
+                           "late-links")
 
     def roots(self) -> DataFrame:
         """``(node, root)`` of class representatives that are linked to a smaller one."""
@@ -228,8 +261,7 @@ class NearDuplicates:
         rest = placed.where(F.col("ca") != F.col("cb")).select("a", "b").join(first, ["a", "b"], "left_anti")
         links = links.union(self._confirm(rest))
         roots = connected_components(links)
-        late = self._open_pairs(members, roots).join(stars, ["a", "b"], "left_anti")
-        more = self._confirm(late)
+        more = self._open_links(members, roots)
         if more.isEmpty():
             return roots
         return connected_components(links.union(more))
