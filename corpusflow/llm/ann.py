@@ -195,8 +195,10 @@ class Index:
             .join(self.rows.withColumnRenamed("vec_id", "query_id"), "query_id") \
             .join(self.classes.select("embedding", "id"), "embedding").select("query_id", F.col("id").alias("q"))
         own = materialize(own, "ann-queries")
+        # a query has no added component: its nearest are by inner product alone
+        bare = F.concat(F.substring("x", 1, 4 + self.dim), F.lit(b"\0"))
         qx = materialize(own.select("q").distinct().join(self.x.withColumnRenamed("id", "q"), "q")
-                         .withColumnRenamed("x", "qx"), "ann-query-vectors")
+                         .select("q", bare.alias("qx")), "ann-query-vectors")
         n_queries = qx.count()
         links = materialize(self._lists(self.graph, -1).groupBy("u").agg(F.collect_set("v").alias("to")), "ann-links")
         links = _held(links, self.n, 8 * (self.k + self.reverse) + 40)
