@@ -36,7 +36,8 @@ class _PageParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[str] = []
         self.hrefs: list[str] = []
-        self.skip: list[str] = []          # open removable tags
+        self.open: list[str] = []          # open elements
+        self.removed: list[int] = []       # places in `open` of the removable ones
         self.title_parts: list[str] | None = None
         self.title_done = False
         self.title_children = 0
@@ -47,12 +48,17 @@ class _PageParser(HTMLParser):
                 if k == "href" and v is not None:
                     self.hrefs.append(v)
                     break
+        if tag in VOID_TAGS:
+            if self.title_parts is not None and not self.title_done:
+                self.title_children += 1
+            return
+        self.open.append(tag)
         if tag in REMOVABLE_TAGS:
-            self.skip.append(tag)
+            self.removed.append(len(self.open) - 1)
             return
         if self.title_parts is not None and not self.title_done:
             self.title_children += 1       # an element inside <title>: .string is None
-        if tag == "title" and not self.title_done and self.title_parts is None and not self.skip:
+        if tag == "title" and not self.title_done and self.title_parts is None and not self.removed:
             self.title_parts = []
 
     def handle_startendtag(self, tag, attrs):
@@ -63,24 +69,36 @@ class _PageParser(HTMLParser):
                     break
 
     def handle_endtag(self, tag):
-        if self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
-            elif tag in self.skip:
-                while self.skip and self.skip.pop() != tag:
-                    pass
+        # an element ends its unclosed descendants, removable ones too; an end
+        # tag without an open element ends nothing
+        inside = bool(self.removed)
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            while self.removed and self.removed[-1] >= len(self.open):
+                self.removed.pop()
+        if inside:
             return
         if tag == "title" and self.title_parts is not None and not self.title_done:
             self.title_done = True
 
     def handle_data(self, data):
-        if self.skip:
+        if self.removed:
             return
         self.nodes.append(data)
         if self.title_parts is not None and not self.title_done:
             self.title_parts.append(data)
 
 
+def _joined(base: str, href: str) -> str | None:
+    """The resolved link; None for one that is no URL, so that a bad anchor
+    costs that link only."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
 def parse_page(html: str | None, url: str | None) -> dict:
     if html is None:
         return {"title": None, "text": None, "hrefs": None, "links": None}
@@ -93,7 +111,7 @@ def parse_page(html: str | None, url: str | None) -> dict:
     if p.title_parts is not None and len(p.title_parts) == 1 and p.title_children == 0:
         title = p.title_parts[0].strip()
     base = url or ""
-    links = [urljoin(base, h) for h in p.hrefs]
+    links = [_joined(base, h) for h in p.hrefs]
     return {"title": title, "text": text, "hrefs": p.hrefs, "links": links}
 
 

@@ -8,7 +8,8 @@ crawler."""
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
+import re
+
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from corpusflow.session import materialize
 
 # Content types treated as HTML (substring match on the part before ';').
 TEXT_LIKE_MIME = ("text/html", "application/xhtml+xml")
-MAX_RULES = 100_000   # rule tables are configuration; refuse anything larger
+# an allow entry: scheme, host, path up to the last segment's parameters
+_ALLOW_ENTRY = re.compile(r"(?:https?://)?(?P<host>[^/?#]*)(?P<path>[^?#]*?)(?:;[^/?#]*)?(?:[?#].*)?", re.DOTALL)
 
 
 # ------------------------------------------------------------------ rules
@@ -28,19 +30,11 @@ MAX_RULES = 100_000   # rule tables are configuration; refuse anything larger
 def parse_allow_rules(entries: list[str]) -> list[tuple[str, str]]:
     """B11 rule parsing: entry lowercased, ``http://`` added when missing,
     ``(netloc, path)`` with a path of ``/`` meaning any."""
-    rules = []
-    for entry in entries:
-        entry = entry.strip().lower()
-        parsing = entry if entry.startswith(("http://", "https://")) else f"http://{entry}"
-        parsed = urlparse(parsing)
-        path = "" if parsed.path == "/" else parsed.path
-        rules.append((parsed.netloc, path) if parsed.netloc else (entry, ""))
-    return rules
+    found = [(e, _ALLOW_ENTRY.fullmatch(e)) for e in (entry.strip().lower() for entry in entries)]
+    return [(m["host"], m["path"] if m["path"] != "/" else "") if m and m["host"] else (e, "") for e, m in found]
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} allow rules")
     return spark.createDataFrame(rules, "rule_host string, rule_path string")
 
 
@@ -49,11 +43,11 @@ def allowed_urls(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame
     host and whose path starts with the rule path (not segment-aware).
 
     The host test is an equi-join on the host's suffixes (``a.b.c`` ->
-    ``a.b.c``, ``b.c``, ``c``), so no nested-loop join is needed; the rule
-    table is configuration, bounded by ``MAX_RULES``, and broadcast."""
+    ``a.b.c``, ``b.c``, ``c``), so no nested-loop join is needed; Spark broadcasts the
+    rule table if its size allows."""
     cand = df.select("*", F.explode(host_suffixes(url_host(F.col(url)))).alias("_suffix"),
                         url_path(F.col(url)).alias("_path"))
-    hit = cand.join(F.broadcast(rules), cand["_suffix"] == rules["rule_host"]) \
+    hit = cand.join(rules, cand["_suffix"] == rules["rule_host"]) \
         .where((F.col("rule_path") == "") | F.col("_path").startswith(F.col("rule_path")))
     return df.join(hit.select(url).distinct(), url, "left_semi")
 
@@ -66,10 +60,9 @@ def robots_allowed(df: DataFrame, robots: DataFrame, url: str = "url", user_agen
     the host = allowed."""
     ua = user_agent.split("/")[0].lower()
     r = robots.withColumn("_specific", (F.col("agent") != "*") & F.lit(ua).contains(F.lower(F.col("agent"))))
-    # per host: use the specific group when one exists, else '*'
-    groups = r.groupBy("host").agg(F.max(F.col("_specific").cast("int")).alias("_has_specific"))
-    r = (r.join(groups, "host")
-         .where(F.when(F.col("_has_specific") == 1, F.col("_specific")).otherwise(F.col("agent") == "*")))
+    # per host: the first group that names the agent, else '*'
+    groups = r.groupBy("host").agg(F.min_by("agent", F.when(F.col("_specific"), F.col("seq"))).alias("_group"))
+    r = r.join(groups, "host").where(F.col("agent") == F.coalesce("_group", F.lit("*")))
     path = F.when(url_path(F.col(url)) == "", F.lit("/")).otherwise(url_path(F.col(url)))
     keyed = df.withColumn("_host", url_host(F.col(url))).withColumn("_p", path)
     m = keyed.select(url, "_host", "_p").distinct().join(r, keyed["_host"] == r["host"]) \
