@@ -28,8 +28,8 @@ from corpusflow.llm.common import byte_list, crc32_of, read_bytes, table, tokeni
 from corpusflow.llm.lattice import MARK
 
 _UNKNOWN_PENALTY = 10.0           # fixed value of the format: below the lowest score
-_CACHE_WORDS = 400_000            # words whose ids a Python worker keeps
-_SLICE_BYTES = 8 << 20            # text in work at a time
+_CACHE_WORDS = 200_000            # words whose ids a Python worker keeps
+_SLICE_BYTES = 4 << 20            # text in work at a time
 
 
 def word_pattern(pieces: list[str]) -> re.Pattern:
