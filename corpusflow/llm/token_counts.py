@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from corpusflow.llm.common import read_bytes, table, tokenizer_path
 from corpusflow.llm.word_tokens import text_slices, tokenizer_of
+from corpusflow.session import materialize
 
 _BUCKET = 4096                    # lengths whose suffix sums are taken together
 
@@ -47,8 +48,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     length, ``docs_from, tokens_from`` of all at least as long, ``docs_to``,
     ``tokens_to`` of all at most as long, and ``truncated_tokens``: the total if
     every document is cut to that length.  Sums run within buckets of lengths
-    and over the buckets, so no task sees all lengths."""
-    h = histogram.withColumn("n_tokens", F.col("length") * F.col("n_docs")) \
+    and over the buckets, so no task sees all lengths.  The histogram is read
+    twice, so it is written first: each text is encoded once."""
+    h = materialize(histogram, "length-histogram").withColumn("n_tokens", F.col("length") * F.col("n_docs")) \
                  .withColumn("bucket", F.floor(F.col("length") / _BUCKET))
     total = lambda name, w: F.coalesce(F.sum(name).over(w), F.lit(0))
     later = W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
