@@ -6,12 +6,16 @@ words are not encoded one by one: those of plain Latin letters, digits and
 signs are cut as the file's own pre-tokenizer cuts them (runs of letters,
 single digits, runs of signs), and the new parts go through the library
 together, apart by spaces; the word-end marks in its answer part them again.
+Parts are in normal form already, so this copy of the file's model goes without
+its normalizer and splits at spaces only.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,7 @@ from corpusflow.llm.common import byte_list
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"       # composed letters whose lower case is among them
 _PLAIN = re.compile(f"[!-&(-~{_LATIN}]+")      # no apostrophe: the file knows contractions
 _PARTS = re.compile(f"[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+_SIGNS = frozenset(string.punctuation.replace("'", "").encode())
 _CACHE_WORDS = 400_000
 _SLICE_BYTES = 8 << 20
 
@@ -35,30 +40,45 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(data.decode())
+        lean = json.loads(data)
+        lean["normalizer"] = None
+        lean["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.lean = Tokenizer.from_str(json.dumps(lean))
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         self.word_end = np.zeros(self.vocab, bool)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.word_end[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}     # by word, as it stands in a text
-        self.parts: dict[str, bytes] = {}       # by part of a plain word
+        self.parts: dict[bytes, bytes] = {}     # by part of a plain word
 
     def _learn(self, words: list[bytes]) -> None:
-        cut: dict[bytes, list[str]] = {}
+        bare = [w for w in words if w.isalpha()]                       # ASCII letters only
+        signed = [w for w in words if w[-1] in _SIGNS and w[:-1].isalpha()]
+        known = set(bare).union(signed)
+        cut: dict[bytes, list[bytes]] = {}
         rest = []
         for w in words:
-            text = w.decode()
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                cut[w] = _PARTS.findall(text.lower())
-            else:
-                rest.append(w)
-        new = list(set().union(*cut.values()).difference(self.parts))
+            if w not in known:
+                text = w.decode()
+                if _PLAIN.fullmatch(text) and "<|" not in text:
+                    cut[w] = [p.encode() for p in _PARTS.findall(text.lower())]
+                else:
+                    rest.append(w)
+        heads, stems = [w.lower() for w in bare], [w[:-1].lower() for w in signed]
+        signs = [w[-1:] for w in signed]
+        wanted = set(heads).union(stems, signs, *cut.values())
+        new = list(wanted.difference(self.parts))
         if len(self.parts) + len(new) > _CACHE_WORDS:
-            self.parts, new = {}, list(set().union(*cut.values()))
+            self.parts = {p: self.parts[p] for p in wanted.intersection(self.parts)}
         for at in range(0, len(new), 2_000):
             self._learn_parts(new[at:at + 2_000])
-        parts = self.parts
-        self.cache.update((w, b"".join([parts[p] for p in ps])) for w, ps in cut.items())
+        part = self.parts.__getitem__
+        self.cache.update(zip(bare, map(part, heads)))
+        self.cache.update(zip(signed, map(bytes.__add__, map(part, stems), map(part, signs))))
+        self.cache.update((w, b"".join(map(part, ps))) for w, ps in cut.items())
         for at in range(0, len(rest), 2_000):
             self.cache.update(zip(rest[at:at + 2_000], self._one_by_one([w.decode() for w in rest[at:at + 2_000]])))
 
@@ -66,15 +86,15 @@ class WordTokenizer:
         return [np.array(e.ids, self.dtype).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        ids = np.array(self.tok.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.int64)
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        ids = np.array(self.lean.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.word_end[ids]) + 1
         if len(ends) != len(parts):             # not one word end for each part
-            self.parts.update(zip(parts, self._one_by_one(parts)))
+            self.parts.update(zip(parts, self._one_by_one([p.decode() for p in parts])))
             return
         flat = ids.astype(self.dtype).tobytes()
         size = self.dtype.itemsize
-        self.parts.update((p, flat[a * size:b * size]) for p, a, b in zip(parts, [0, *ends[:-1]], ends))
+        self.parts.update((p, flat[a * size:b * size]) for p, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist()))
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
@@ -82,7 +102,7 @@ class WordTokenizer:
         wanted = set().union(*cut)
         new = wanted.difference(self.cache)
         if len(self.cache) + len(new) > _CACHE_WORDS:
-            self.cache, new = {}, wanted
+            self.cache = {w: self.cache[w] for w in wanted.intersection(self.cache)}
         self._learn(list(new))
         got = [b"".join(map(self.cache.__getitem__, words)) for words in cut]
         for w in [w for w in new if len(w) > 64]:
