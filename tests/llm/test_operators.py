@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from corpusflow.llm import (ann, common, decontam, langid, license_scan, line_dedup, lm_score, near_dup, piece_codec,
-                            token_counts, token_store)
+                            token_counts, token_store, word_tokens)
 from corpusflow.llm.components import connected_components
 
 LINE = "This very line is long enough to be repeated in many documents."
@@ -127,6 +127,21 @@ def tokenizer():
     return Tokenizer.from_file(common.tokenizer_path("word_bpe_49k.json"))
 
 
+@pytest.mark.parametrize("kept", [400_000, 50])
+def test_word_tokenizer_equals_the_library(tokenizer, monkeypatch, kept):
+    """Hard characters, contractions and special strings; also with a table of
+    words that is cleared all the time."""
+    monkeypatch.setattr(word_tokens, "_CACHE_WORDS", kept)
+    own = word_tokens.WordTokenizer(common.read_bytes(common.tokenizer_path("word_bpe_49k.json")))
+    rng, chars = random.Random(1), "aAbBzZéÉßŒœÿŸĿŉſİıt09.,'!?<|>-_()\"`~^ \t\n日éⅣ½ªµ×"
+    some = ["".join(rng.choice(chars) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    some += ["<|endoftext|> a", "don't DON'T. x's", "a.b", "abc.", "abc'", "Straße,"]
+    for at in range(0, len(some), 100):
+        part = some[at:at + 100]
+        for text, got in zip(part, own.encode([t.encode() for t in part])):
+            assert np.frombuffer(got, own.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_store(spark, docs, empty, tokenizer):
     rows = collect(docs.select("doc_id", "text"))
     rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
