@@ -1,12 +1,14 @@
 """License scans with a positional rare-token index.
 
 Licence templates are indexed by the positions of their words.  Document
-frequencies over the whole corpus rank the template words; each template is
-looked up by its highest-IDF words only.  In a file, every occurrence of such a
-word votes, through its postings, for the place where the template would begin;
-places on which several rare words agree are candidates, and a candidate counts
-once one of the template's mandatory key phrases stands in full at its relative
-position.  Base phrases are found at every place.
+frequencies over the whole corpus rank the template words that occur in it; each
+template is looked up by its highest-IDF words only.  In a file, every occurrence
+of such a word votes, through its postings, for the place where the template would
+begin; places on which several rare words agree are candidates, and a candidate
+counts once one of the template's mandatory key phrases stands in full at its
+relative position.  Key phrases are also looked up themselves, each by its rarest
+word, so that a template counts wherever one stands in full.  Base phrases are
+found at every place.
 """
 
 from __future__ import annotations
@@ -66,17 +68,20 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Postings of the rare words; the words and key phrases of the templates."""
+    """Postings of the rare words; the words and key phrases of the templates;
+    for the rarest word of each key phrase ``(template, word in the template, word
+    in the phrase, phrase)``."""
     names: list[str]
     words: list[list[bytes]]
     keys: list[list[tuple[int, list[bytes]]]]
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
     n_rare: list[int] = field(default_factory=list)
+    anchors: dict[bytes, list[tuple[int, int, int, list[bytes]]]] = field(default_factory=dict)
 
 
 def build_index(frequency: dict[bytes, int], templates: dict | None = None, rare: int = _RARE_WORDS) -> Index:
     """The index of ``templates``; words seen in fewer documents (ties: smaller
-    words first) are rarer."""
+    words first) are rarer.  Words seen in none cannot vote and are left out."""
     templates = TEMPLATES if templates is None else templates
     names = sorted(templates)
     words = [templates[n][0].encode().split() for n in names]
@@ -89,10 +94,13 @@ def build_index(frequency: dict[bytes, int], templates: dict | None = None, rare
         keys.append(found)
     index = Index(names, words, keys)
     for t, ws in enumerate(words):
-        chosen = sorted(set(ws), key=lambda w: (frequency.get(w, 0), w))[:rare]
+        chosen = sorted({w for w in ws if frequency.get(w, 0)}, key=lambda w: (frequency[w], w))[:rare]
         index.n_rare.append(len(chosen))
         for w in chosen:
             index.postings.setdefault(w, []).extend((t, i) for i, x in enumerate(ws) if x == w)
+        for at, p in keys[t]:
+            rarest = min(p, key=lambda w: (frequency.get(w, 0), w))
+            index.anchors.setdefault(rarest, []).append((t, at, p.index(rarest), p))
     return index
 
 
@@ -105,19 +113,23 @@ def _phrase_places(words: list[bytes], starts: dict[bytes, list[tuple[list[bytes
 def scan(words: list[bytes], index: Index, starts: dict) -> tuple[list[tuple[int, str]], dict[str, float]]:
     """The base places ``(word, label)`` of a file and, for each template found,
     the share of its words that stand in place."""
-    known = index.postings
-    places = [i for i, w in enumerate(words) if w in known or w in starts]
+    known, anchors = index.postings, index.anchors
+    places = [i for i, w in enumerate(words) if w in known or w in anchors or w in starts]
     base = _phrase_places(words, starts, places)
     votes: dict[tuple[int, int], set[bytes]] = {}
+    in_full: set[tuple[int, int]] = set()
     for i in places:
         for t, at in known.get(words[i], ()):
             votes.setdefault((t, i - at), set()).add(words[i])
+        for t, at, k, phrase in anchors.get(words[i], ()):
+            if i >= k and words[i - k:i - k + len(phrase)] == phrase:
+                in_full.add((t, i - k - at))
     found: dict[str, float] = {}
-    for (t, begin), rare in votes.items():
-        if len(rare) < min(2, index.n_rare[t]):
+    for t, begin in votes.keys() | in_full:
+        here = (t, begin) in in_full
+        if not here and len(votes[t, begin]) < min(2, index.n_rare[t]):
             continue
-        here = False
-        for at, phrase in index.keys[t]:
+        for at, phrase in () if here else index.keys[t]:
             for shift in range(-_SLACK, _SLACK + 1):
                 p = begin + at + shift
                 if p >= 0 and words[p:p + len(phrase)] == phrase:

@@ -205,6 +205,23 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_finds_key_phrases_of_short_notices(spark):
+    """Most words of the templates occur in no document."""
+    notice = "licensed under the apache license version 2 0"
+    df = spark.createDataFrame([(0, f"some code {notice}"), (1, "the license version"), (2, notice.split(" ", 3)[3]),
+                                *((3 + i, phrase) for i, phrase in enumerate(
+                                    p for _, (_, keys) in sorted(license_scan.TEMPLATES.items()) for p in keys))],
+                               "doc_id long, text string")
+    got = {r["doc_id"]: r for r in collect(license_scan.scan_licenses(df))}
+    template = license_scan.TEMPLATES["apache-2.0"][0].split()
+    assert [got[i]["labels"] for i in range(3)] == ["apache-2.0", "", "apache-2.0"]
+    assert got[0]["score"] == 8 / len(template) and got[2]["score"] == 5 / len(template)
+    names = [n.partition(":")[0] for n, (_, keys) in sorted(license_scan.TEMPLATES.items()) for _ in keys]
+    assert all(n in got[3 + i]["labels"].split(",") for i, n in enumerate(names))
+    alone = df.where("doc_id = 0")
+    assert [r["labels"] for r in collect(license_scan.scan_licenses(alone))] == ["apache-2.0"]
+
+
 def test_language_id(spark, docs, empty):
     en = "the house and the garden were quiet in the morning light while they walked"
     de = "das haus und der garten waren ruhig im licht des morgens während sie gingen"
