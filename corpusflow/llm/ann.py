@@ -8,7 +8,9 @@ lists of a node (its neighbours and a bounded draw of those that list it) bring
 their vectors together, every new pair is compared, and what beats the end of a
 list enters it.  Queries walk the graph greedily from their own node: each round
 expands the best nodes not yet expanded and keeps the best found so far.  The
-graph works on 8-bit vectors; scores and ranks come from the original ones.
+graph works on 8-bit vectors, each with a scale of its own; the added component
+stays a float beside them, so that a few long vectors do not blunt the rest.
+Scores and ranks come from the original vectors.
 """
 
 from __future__ import annotations
@@ -23,27 +25,39 @@ from corpusflow.llm.common import table
 from corpusflow.session import materialize
 
 
-def _pack(x: np.ndarray) -> list[bytes]:
-    """Rows as 8-bit vectors with their scale before them."""
+def _pack(x: np.ndarray, longest: float) -> list[bytes]:
+    """Rows as 8-bit vectors, before them three floats: their scale, how far the
+    added component is below that of a vector of no length, and half the square
+    of the length with this distance as the added component."""
     scale = (np.abs(x).max(axis=1) / 127.0).astype("<f4")
     scale[scale == 0] = 1.0
     q = np.rint(x / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + r.tobytes() for s, r in zip(scale, q)]
+    square, most = (x * x).sum(axis=1), np.sqrt(longest)
+    below = square / (most + np.sqrt(np.maximum(0.0, longest - square)))
+    head = np.stack([scale, below, most * below], axis=1).astype("<f4")
+    return [h.tobytes() + r.tobytes() for h, r in zip(head, q)]
 
 
-def _unpack(rows: list[bytes]) -> np.ndarray:
+def _unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors, and the two floats after the scale."""
     raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    return np.ascontiguousarray(raw[:, 4:]).view(np.int8).astype(np.float32) * \
-        np.ascontiguousarray(raw[:, :4]).view("<f4")
+    head = np.ascontiguousarray(raw[:, :12]).view("<f4")
+    return np.ascontiguousarray(raw[:, 12:]).view(np.int8).astype(np.float32) * head[:, :1], head[:, 1:]
+
+
+def _closeness(rows: list[bytes]) -> np.ndarray:
+    """Minus half the squared distances, the added component included."""
+    x, more = _unpack(rows)
+    below, half = more[:, 0], more[:, 1]
+    return x @ x.T + np.outer(below, below) - half[:, None] - half[None, :]
 
 
 def _pack_rows(longest: float):
     def run(batches):
         for batch in batches:
             v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            rest = np.sqrt(np.maximum(0.0, longest - (v * v).sum(axis=1)))
-            x = np.concatenate([v, rest[:, None]], axis=1)
-            yield pa.record_batch([batch.column(0), pa.array(_pack(x) if len(x) else [], pa.binary())], names=["id", "x"])
+            yield pa.record_batch([batch.column(0), pa.array(_pack(v, longest) if len(v) else [], pa.binary())],
+                                  names=["id", "x"])
     return run
 
 
@@ -54,7 +68,7 @@ def _cell_rows(trees: int, depth: int, dim: int, seed: int):
             ids, xs = batch.column(0), batch.column(1)
             if not len(ids):
                 continue
-            bits = (_unpack(xs.to_pylist()) @ planes > 0).reshape(len(ids), trees, depth)
+            bits = (_unpack(xs.to_pylist())[0] @ planes > 0).reshape(len(ids), trees, depth)
             codes = (bits.astype(np.int64) << np.arange(depth)).sum(axis=2)
             for t in range(trees):
                 yield pa.record_batch([ids, xs, pa.array(np.full(len(ids), t), pa.int64()), pa.array(codes[:, t])],
@@ -66,8 +80,7 @@ def _near_in_cell(k: int):
     out = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float32())])
 
     def run(group: pa.Table) -> pa.Table:
-        ids, x = group.column("id").to_numpy(), _unpack(group.column("x").to_pylist())
-        s = x @ x.T
+        ids, s = group.column("id").to_numpy(), _closeness(group.column("x").to_pylist())
         np.fill_diagonal(s, -np.inf)
         n = min(k, len(ids) - 1)
         best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n > 0 else np.zeros((len(ids), 0), np.int64)
@@ -89,8 +102,7 @@ def _local_join(batches):
             i, first = np.unique(ids[a:b], return_index=True)
             if len(i) < 2:
                 continue
-            new, end, x = fresh[a:b][first], worst[a:b][first], _unpack([xs[a + j] for j in first])
-            s = x @ x.T
+            new, end, s = fresh[a:b][first], worst[a:b][first], _closeness([xs[a + j] for j in first])
             np.fill_diagonal(s, -np.inf)
             u, v = np.nonzero((s > end[:, None]) & (new[:, None] | new[None, :]))
             got.append((i[u], i[v], s[u, v]))
@@ -100,8 +112,9 @@ def _local_join(batches):
 
 
 def _similarities(batches):
+    """Inner products: a query has no added component."""
     for batch in batches:
-        s = (_unpack(batch.column(2).to_pylist()) * _unpack(batch.column(3).to_pylist())).sum(axis=1) \
+        s = (_unpack(batch.column(2).to_pylist())[0] * _unpack(batch.column(3).to_pylist())[0]).sum(axis=1) \
             if batch.num_rows else np.zeros(0)
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s.astype(np.float32))],
                               names=["q", "v", "sim"])
@@ -153,7 +166,7 @@ class Index:
     def _start(self, trees: int, leaf: int) -> DataFrame:
         depth = max(1, int(np.ceil(np.log2(max(2.0, self.n / leaf)))))
         cells = materialize(self.x.mapInArrow(
-            _cell_rows(trees, depth, self.dim + 1, self.seed), "id long, x binary, tree long, code long"), "ann-cells")
+            _cell_rows(trees, depth, self.dim, self.seed), "id long, x binary, tree long, code long"), "ann-cells")
         sizes = cells.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2.0 * leaf)).alias("parts"))
         near = cells.join(sizes, ["tree", "code"]) \
             .withColumn("part", F.pmod(F.xxhash64("id", "tree"), "parts")) \
@@ -174,7 +187,7 @@ class Index:
                                           .otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
             known = self.x.join(ends.withColumnRenamed("u", "id"), "id", "left") \
                 .select(F.col("id").alias("v"), "x", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
-            lists = self._lists(graph, turn).join(_held(known, self.n, self.dim + 40), "v") \
+            lists = self._lists(graph, turn).join(_held(known, self.n, self.dim + 48), "v") \
                 .groupBy("u").agg(F.collect_list(F.struct("v", "fresh", "worst", "x")).alias("entries")) \
                 .where(F.exists("entries", lambda e: e["fresh"]))
             found = lists.mapInArrow(_local_join, "u long, v long, sim float").groupBy("u", "v") \
@@ -195,14 +208,12 @@ class Index:
             .join(self.rows.withColumnRenamed("vec_id", "query_id"), "query_id") \
             .join(self.classes.select("embedding", "id"), "embedding").select("query_id", F.col("id").alias("q"))
         own = materialize(own, "ann-queries")
-        # a query has no added component: its nearest are by inner product alone
-        bare = F.concat(F.substring("x", 1, 4 + self.dim), F.lit(b"\0"))
         qx = materialize(own.select("q").distinct().join(self.x.withColumnRenamed("id", "q"), "q")
-                         .select("q", bare.alias("qx")), "ann-query-vectors")
+                         .select("q", F.col("x").alias("qx")), "ann-query-vectors")
         n_queries = qx.count()
         links = materialize(self._lists(self.graph, -1).groupBy("u").agg(F.collect_set("v").alias("to")), "ann-links")
         links = _held(links, self.n, 8 * (self.k + self.reverse) + 40)
-        qs, xs = _held(qx, n_queries, self.dim + 40), _held(self.x.withColumnRenamed("id", "v"), self.n, self.dim + 40)
+        qs, xs = _held(qx, n_queries, self.dim + 48), _held(self.x.withColumnRenamed("id", "v"), self.n, self.dim + 48)
         seen = materialize(qx.select("q", F.col("q").alias("v"), F.lit(float("inf")).cast("float").alias("sim"),
                                      F.lit(False).alias("done")), "ann-beam")
         for _ in range(rounds):

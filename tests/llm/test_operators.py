@@ -76,6 +76,25 @@ def test_nearest_finds_brute_force_neighbours(spark):
     assert hits >= 90
 
 
+def recall(df, x, queries, top=20, **index):
+    got = collect(ann.nearest(df, common.F.col("vec_id").isin(queries), top=top, **index))
+    hits = 0
+    for q in queries:
+        s = x @ x[q]
+        want = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], i))[:top]
+        hits += len(set(want) & {r["vec_id"] for r in got if r["query_id"] == q})
+    return hits / (top * len(queries))
+
+
+def test_nearest_beside_a_few_very_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x[[7, 700, 1400]] *= 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall(df, x, list(range(0, 2000, 40)), leaf=64) >= 0.9
+
+
 def test_nearest_of_equal_vectors_and_of_none(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(60)], "vec_id long, embedding array<float>")
     got = collect(ann.nearest(df, common.F.col("vec_id") == 3, top=4))
