@@ -6,8 +6,9 @@ distance.  NN-descent starts from the cells of a few random hyperplane trees and
 improves every node's list through Spark joins of neighbours of neighbours: the
 lists of a node (its neighbours and a bounded draw of those that list it) bring
 their vectors together, every new pair is compared, and what beats the end of a
-list enters it.  Queries walk the graph greedily from their own node: each round
-expands the best nodes not yet expanded and keeps the best found so far.  The
+list enters it, until hardly any list changes.  Queries walk the graph greedily
+from their own node: each round expands the best nodes not yet expanded and keeps
+the best found so far, until all kept ones are expanded.  The
 graph works on 8-bit vectors, each with a scale of its own; the added component
 stays a float beside them, so that a few long vectors do not blunt the rest.
 Scores and ranks come from the original vectors.
@@ -121,6 +122,7 @@ def _similarities(batches):
 
 
 _BROADCAST_BYTES = 32 << 20
+_UPDATES = 0.002                  # share of new list entries in a round from which the graph is done
 
 
 def _held(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -139,7 +141,7 @@ class Index:
     """An NN-descent graph over the vectors of ``rows (vec_id, embedding)``."""
 
     def __init__(self, rows: DataFrame, members: int = 21, k: int = 24, reverse: int = 24, trees: int = 10,
-                 leaf: int = 512, rounds: int = 6, seed: int = 11):
+                 leaf: int = 512, rounds: int = 50, seed: int = 11):
         self.k, self.reverse, self.seed = k, reverse, seed
         v = F.col("embedding")
         fit = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(
@@ -196,14 +198,15 @@ class Index:
             both = graph.withColumn("fresh", F.lit(False)).unionByName(found) \
                 .groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
             graph = materialize(_top(both, "u", self.k), "ann-graph")
-            if graph.where("fresh").count() < 0.002 * self.n * self.k:
-                break
-        return graph
+            if graph.where("fresh").count() <= _UPDATES * self.n * self.k:
+                return graph
+        raise RuntimeError(f"the graph still changes after {rounds} rounds")
 
     def search(self, queries: DataFrame, top: int = 20, beam: int = 200, expand: int = 32,
-               rounds: int = 10) -> DataFrame:
+               rounds: int = 200) -> DataFrame:
         """``query_id, rank, vec_id, score`` for ``queries (vec_id)``, which are
-        rows of the index: the ``top`` nearest found, the query's own excluded."""
+        rows of the index: the ``top`` nearest found, the query's own excluded.
+        The walk ends by itself; more than ``rounds`` rounds are an error."""
         own = queries.select(F.col("vec_id").alias("query_id")).distinct() \
             .join(self.rows.withColumnRenamed("vec_id", "query_id"), "query_id") \
             .join(self.classes.select("embedding", "id"), "embedding").select("query_id", F.col("id").alias("q"))
@@ -216,10 +219,12 @@ class Index:
         qs, xs = _held(qx, n_queries, self.dim + 48), _held(self.x.withColumnRenamed("id", "v"), self.n, self.dim + 48)
         seen = materialize(qx.select("q", F.col("q").alias("v"), F.lit(float("inf")).cast("float").alias("sim"),
                                      F.lit(False).alias("done")), "ann-beam")
-        for _ in range(rounds):
+        for turn in range(rounds + 1):
             front = materialize(_top(seen.where(~F.col("done")), "q", expand).select("q", "v"), "ann-front")
             if front.isEmpty():
                 break
+            if turn == rounds:
+                raise RuntimeError(f"beams still hold nodes to expand after {rounds} rounds")
             reached = front.withColumnRenamed("v", "u").join(links, "u").select("q", F.explode("to").alias("v")) \
                 .distinct().join(seen.select("q", "v"), ["q", "v"], "left_anti")
             new = reached.join(qs, "q").join(xs, "v").select("q", "v", "qx", "x") \

@@ -95,6 +95,24 @@ def test_nearest_beside_a_few_very_long_vectors(spark):
     assert recall(df, x, list(range(0, 2000, 40)), leaf=64) >= 0.9
 
 
+def test_nearest_walks_to_the_end_or_raises(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="graph"):
+        ann.Index(df, leaf=32, trees=4, rounds=1)
+    index, queries = ann.Index(df, leaf=32, trees=4), df.where("vec_id < 3").select("vec_id")
+    with pytest.raises(RuntimeError, match="beams"):
+        index.search(queries, rounds=2)
+    # two nodes a round: in ten rounds a beam of 61 could not be expanded
+    got = collect(index.search(queries, beam=60, expand=2))
+    for q in range(3):
+        s = x @ x[q]
+        want = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], i))[:20]
+        assert len(set(want) & {r["vec_id"] for r in got if r["query_id"] == q}) >= 18
+
+
 def test_nearest_of_equal_vectors_and_of_none(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(60)], "vec_id long, embedding array<float>")
     got = collect(ann.nearest(df, common.F.col("vec_id") == 3, top=4))
