@@ -3,11 +3,12 @@
 Equal vectors form a class, indexed once.  Vectors get one more component that
 makes them equally long, so that the largest inner product is the smallest
 distance.  NN-descent starts from the cells of a few random hyperplane trees and
+from cells dealt by hash, which leave no node without ``k`` first neighbours, and
 improves every node's list through Spark joins of neighbours of neighbours: the
 lists of a node (its neighbours and a bounded draw of those that list it) bring
 their vectors together, every new pair is compared, and what beats the end of a
 list enters it, until hardly any list changes.  Queries walk the graph greedily
-from their own node: each round expands the best nodes not yet expanded and keeps
+from their own node, the longest vectors and a few random ones: each round expands the best nodes not yet expanded and keeps
 the best found so far, until all kept ones are expanded.  The
 graph works on 8-bit vectors, each with a scale of its own; the added component
 stays a float beside them, so that a few long vectors do not blunt the rest.
@@ -63,12 +64,15 @@ def _pack_rows(longest: float):
 
 
 def _cell_rows(trees: int, depth: int, dim: int, seed: int):
+    """Rows in the cells of the trees, and once in a cell by chance (tree -1)."""
     def run(batches):
         planes = np.random.default_rng(seed).standard_normal((dim, trees * depth)).astype(np.float32)
         for batch in batches:
             ids, xs = batch.column(0), batch.column(1)
             if not len(ids):
                 continue
+            yield pa.record_batch([ids, xs, pa.array(np.full(len(ids), -1), pa.int64()), batch.column(2)],
+                                  names=["id", "x", "tree", "code"])
             bits = (_unpack(xs.to_pylist())[0] @ planes > 0).reshape(len(ids), trees, depth)
             codes = (bits.astype(np.int64) << np.arange(depth)).sum(axis=2)
             for t in range(trees):
@@ -77,13 +81,13 @@ def _cell_rows(trees: int, depth: int, dim: int, seed: int):
     return run
 
 
-def _near_in_cell(k: int):
+def _near_in_cell(k: int, k_chance: int):
     out = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float32())])
 
     def run(group: pa.Table) -> pa.Table:
         ids, s = group.column("id").to_numpy(), _closeness(group.column("x").to_pylist())
         np.fill_diagonal(s, -np.inf)
-        n = min(k, len(ids) - 1)
+        n = min(k_chance if group.column("tree")[0].as_py() < 0 else k, len(ids) - 1)
         best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n > 0 else np.zeros((len(ids), 0), np.int64)
         u = np.repeat(np.arange(len(ids)), best.shape[1])
         return pa.table([pa.array(ids[u]), pa.array(ids[best.ravel()]), pa.array(s[u, best.ravel()], pa.float32())],
@@ -122,6 +126,7 @@ def _similarities(batches):
 
 
 _BROADCAST_BYTES = 32 << 20
+_SEEDS = 32                       # longest vectors, and as many random ones, from which each query starts too
 _UPDATES = 0.002                  # share of new list entries in a round from which the graph is done
 
 
@@ -163,16 +168,23 @@ class Index:
         self.n = n
         self.x = materialize(self.classes.select("id", "embedding").repartition("id")
                              .mapInArrow(_pack_rows(longest or 0.0), "id long, x binary"), "ann-vectors")
+        drawn = self.classes.select("id", square.alias("square"), F.xxhash64("id", F.lit(seed + 1)).alias("draw"))
+        drawn = drawn.orderBy(F.desc("square"), "id").limit(_SEEDS) \
+            .union(drawn.orderBy("draw", "id").limit(_SEEDS)).select(F.col("id").alias("v")).distinct()
+        self.seeds = materialize(self.x.withColumnRenamed("id", "v").join(F.broadcast(drawn), "v"), "ann-seeds")
         self.graph = self._descend(self._start(trees, leaf), rounds)
 
     def _start(self, trees: int, leaf: int) -> DataFrame:
         depth = max(1, int(np.ceil(np.log2(max(2.0, self.n / leaf)))))
-        cells = materialize(self.x.mapInArrow(
+        # of n / chance nodes or more, but for few of them: all in one cell
+        chance = max(1, self.n // max(leaf, 8 * self.k))
+        cells = materialize(self.x.withColumn("code", F.pmod(F.xxhash64("id", F.lit(self.seed)), F.lit(chance))).mapInArrow(
             _cell_rows(trees, depth, self.dim, self.seed), "id long, x binary, tree long, code long"), "ann-cells")
-        sizes = cells.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2.0 * leaf)).alias("parts"))
+        sizes = cells.groupBy("tree", "code").agg(F.when(F.col("tree") < 0, F.lit(1)).otherwise(
+            F.ceil(F.count("*") / (2.0 * leaf))).alias("parts"))
         near = cells.join(sizes, ["tree", "code"]) \
             .withColumn("part", F.pmod(F.xxhash64("id", "tree"), "parts")) \
-            .groupBy("tree", "code", "part").applyInArrow(_near_in_cell(max(4, self.k // 2)), "u long, v long, sim float")
+            .groupBy("tree", "code", "part").applyInArrow(_near_in_cell(max(4, self.k // 2), self.k), "u long, v long, sim float")
         near = near.groupBy("u", "v").agg(F.max("sim").alias("sim"))
         return materialize(_top(near, "u", self.k).withColumn("fresh", F.lit(True)), "ann-graph")
 
@@ -217,8 +229,10 @@ class Index:
         links = materialize(self._lists(self.graph, -1).groupBy("u").agg(F.collect_set("v").alias("to")), "ann-links")
         links = _held(links, self.n, 8 * (self.k + self.reverse) + 40)
         qs, xs = _held(qx, n_queries, self.dim + 48), _held(self.x.withColumnRenamed("id", "v"), self.n, self.dim + 48)
-        seen = materialize(qx.select("q", F.col("q").alias("v"), F.lit(float("inf")).cast("float").alias("sim"),
-                                     F.lit(False).alias("done")), "ann-beam")
+        seen = qx.select("q", F.col("q").alias("v"), F.lit(float("inf")).cast("float").alias("sim"))
+        first = qx.crossJoin(F.broadcast(self.seeds)).where("q != v").select("q", "v", "qx", "x") \
+            .mapInArrow(_similarities, "q long, v long, sim float")
+        seen = materialize(seen.unionByName(first).withColumn("done", F.lit(False)), "ann-beam")
         for turn in range(rounds + 1):
             front = materialize(_top(seen.where(~F.col("done")), "q", expand).select("q", "v"), "ann-front")
             if front.isEmpty():

@@ -113,6 +113,15 @@ def test_nearest_walks_to_the_end_or_raises(spark):
         assert len(set(want) & {r["vec_id"] for r in got if r["query_id"] == q}) >= 18
 
 
+@pytest.mark.parametrize("n", [2, 3, 25])
+def test_nearest_of_tiny_tables_is_complete(spark, n):
+    """On a line, half of the vectors opposite to the others."""
+    df = spark.createDataFrame([(i, [float(1 + i // 2) * (-1) ** i, 0.0]) for i in range(n)],
+                               "vec_id long, embedding array<double>")
+    got = collect(ann.nearest(df, common.F.lit(True)))
+    assert {q: sum(r["query_id"] == q for r in got) for q in range(n)} == {q: min(20, n - 1) for q in range(n)}
+
+
 def test_nearest_of_equal_vectors_and_of_none(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(60)], "vec_id long, embedding array<float>")
     got = collect(ann.nearest(df, common.F.col("vec_id") == 3, top=4))
