@@ -3,9 +3,11 @@ histogram (E16) and merge learning on it (E17).
 
 The heavy half — splitting the whole corpus into pre-tokens and counting them
 — is one ``groupBy(pretoken).count()`` with partial aggregation.  Merge
-learning then iterates on the *distinct* histogram only: per round one grouped
-pair count, one best pair back on the driver (a single row) and one
-regular-expression rewrite of the words holding it.  The word table is
+learning then iterates on the *distinct* histogram only.  A histogram of at most
+``LOCAL_SYMBOLS`` symbols is learnt in the driver's memory; a longer one by Spark,
+with the same merges: per round one grouped pair count, one best pair back on the
+driver (a single row) and one regular-expression rewrite of the words holding it.
+The word table is
 written to the shared checkpoint folder at the start and every few rounds, so
 lineage stays short and a lost executor costs at most those rounds.
 
@@ -15,7 +17,9 @@ symbol."""
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +33,8 @@ SPECIAL_TOKENS = ["<pad>", "<s>", "</s>", "<unk>", "<mask>"]
 # GPT-2 style byte-level pre-tokenisation pattern (Unicode classes).
 PRETOKEN_RE = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEP = "\u0001"
+# Symbols of distinct words up to which merges are learnt in the driver's memory.
+LOCAL_SYMBOLS = 2_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -81,8 +87,57 @@ def _java_escape(s: str) -> str:
     return "".join(ch if ch.isalnum() else "\\" + ch for ch in s)
 
 
+def learn_merges(words: list[tuple[list[str], int]], n_merges: int,
+                 min_frequency: int) -> list[tuple[int, str, str, int]]:
+    """``(rank, left, right, count)`` of the merges learnt on ``(symbols, freq)``;
+    only the words that hold the merged pair are looked at again."""
+    counts: Counter = Counter()
+    holders = defaultdict(set)
+    for i, (w, f) in enumerate(words):
+        for p in zip(w, w[1:]):
+            counts[p] += f
+            holders[p].add(i)
+    words = list(words)
+    heap = [(-c, *p) for p, c in counts.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, str, str, int]] = []
+    while heap and len(merges) < n_merges:
+        c, a, b = heapq.heappop(heap)
+        if counts.get((a, b), 0) != -c:          # an entry from before the count changed
+            continue
+        if -c < max(1, min_frequency):
+            break
+        merges.append((len(merges), a, b, -c))
+        changed: Counter = Counter()
+        for i in holders.pop((a, b)):
+            w, f = words[i]
+            new, k = [], 0
+            while k < len(w):
+                both = w[k] == a and k + 1 < len(w) and w[k + 1] == b
+                new.append(a + b if both else w[k])
+                k += 2 if both else 1
+            before, after = Counter(zip(w, w[1:])), Counter(zip(new, new[1:]))
+            for p in before.keys() | after.keys():
+                if d := after[p] - before[p]:
+                    changed[p] += d * f
+                if p not in after and p != (a, b):
+                    holders[p].discard(i)
+                elif p in after:
+                    holders[p].add(i)
+            words[i] = (new, f)
+        for p, d in changed.items():
+            if d:
+                counts[p] += d
+                if counts[p] > 0:
+                    heapq.heappush(heap, (-counts[p], *p))
+                else:
+                    del counts[p]
+                    holders.pop(p, None)
+    return merges
+
+
 def bpe_train(histogram: DataFrame, vocab_size: int = 300, min_frequency: int = 2,
-              checkpoint_every: int = 10) -> tuple[DataFrame, DataFrame]:
+              checkpoint_every: int = 10, local_symbols: int = LOCAL_SYMBOLS) -> tuple[DataFrame, DataFrame]:
     """Learn merges on the pre-token histogram.
 
     Returns ``(merges(rank, left, right, count), vocab(token, id))``; ids:
@@ -95,8 +150,12 @@ def bpe_train(histogram: DataFrame, vocab_size: int = 300, min_frequency: int =
     words = histogram.select(F.array_join(to_byte_symbols(F.col("pretoken")), SEP).alias("w"), "freq") \
         .groupBy("w").agg(F.sum("freq").alias("freq"))
     words = materialize(words, "bpe-words")
-    merges = []
-    for r in range(n_merges):
+    merges: list[tuple[int, str, str, int]] = []
+    rounds = n_merges
+    if (words.agg(F.sum(F.size(F.split("w", SEP, -1)))).first()[0] or 0) <= local_symbols:
+        held = [(r["w"].split(SEP), int(r["freq"])) for r in words.toLocalIterator()]
+        merges, rounds = learn_merges(held, n_merges, min_frequency), 0
+    for r in range(rounds):
         syms = F.split(F.col("w"), SEP, -1)
         pairs = words.select(F.explode(F.arrays_zip(F.slice(syms, 1, F.size(syms) - 1).alias("a"),
                                                     F.slice(syms, 2, F.size(syms) - 1).alias("b"))).alias("p"),

@@ -529,28 +529,28 @@ def q_pretoken_counts(spark, sf):
 
 @register("bpe_train")
 def q_bpe_train(spark, sf):
-    hist = B.pretoken_counts(table(spark, sf, "benchmark"), min_frequency=1)
-    merges, _ = B.bpe_train(hist, vocab_size=261 + 20, min_frequency=2)
+    hist = B.pretoken_counts(table(spark, sf, "documents"), min_frequency=1)
+    merges, _ = B.bpe_train(hist, vocab_size=32_000, min_frequency=2)
     return merges
 
 
 @register("text_classifier")
 def q_text_classifier(spark, sf):
     sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
-    model = ML.train_text_classifier(sp.where(F.col("split") == "train"), max_iter=20)
+    model = ML.train_text_classifier(sp.where(F.col("split") == "train"))
     return ML.evaluate_splits(model, sp.where(F.col("split") != "train"))
 
 
 @register("score_table")
 def q_score_table(spark, sf):
     sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
-    model = ML.train_text_classifier(sp.where(F.col("split") == "train"), max_iter=20)
+    model = ML.train_text_classifier(sp.where(F.col("split") == "train"))
     return ML.score_table(model, sp.where(F.col("split") == "test")).select("doc_id", "label", "pred", "conf")
 
 
 @register("multi_seed_runs")
 def q_multi_seed_runs(spark, sf):
-    long = ML.multi_seed_runs(labelled(spark, sf), seeds=(42, 43, 44, 45, 46), max_iter=10)
+    long = ML.multi_seed_runs(labelled(spark, sf), seeds=(42, 43, 44, 45, 46))
     return M.multi_run_summary(long)
 
 

@@ -51,3 +51,41 @@ def test_two_level_position_with_clustered_keys(spark):
         want[k] = acc
         acc += k % 7
     assert pre == want
+
+
+def test_bpe_merges_are_the_same_in_memory_and_by_spark(spark):
+    from corpusflow.operators import bpe as B
+    hist = spark.createDataFrame([(" aaaa", 3), (" abab", 5), ("aaa", 2), (" banana$", 4), (" über.", 4), ("bab", 1)],
+                                 "pretoken string, freq long")
+    here, _ = B.bpe_train(hist, vocab_size=261 + 12)
+    there, _ = B.bpe_train(hist, vocab_size=261 + 12, local_symbols=0)
+    assert here.orderBy("rank").collect() == there.orderBy("rank").collect()
+
+
+def test_bpe_train_learns_on_the_documents(spark):
+    """Far more merges than the twenty of before, counted on the documents."""
+    from corpusflow.plans.catalog import QUERIES
+    merges = QUERIES["bpe_train"](spark, "/root/testdata/sf0.001").orderBy("rank").collect()
+    assert 20 < len(merges) <= 32_000 - 261
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    assert merges[0]["count"] > len(texts)
+    assert [r["count"] for r in merges] == sorted((r["count"] for r in merges), reverse=True)
+
+
+@pytest.mark.parametrize("name", ["text_classifier", "score_table", "multi_seed_runs"])
+def test_classifiers_train_as_long_as_the_operator_does(spark, monkeypatch, name):
+    from corpusflow.operators import ml
+    from corpusflow.plans.catalog import QUERIES
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(**kw):
+        seen.append(kw.get("max_iter", 50))
+        raise Stop
+
+    monkeypatch.setattr(ml, "classifier_pipeline", stop)
+    with pytest.raises(Stop):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [50]
