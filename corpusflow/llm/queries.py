@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusflow.llm import (ann, decontam, langid, license_scan, line_dedup, lm_score, near_dup, periodic_runs, piece_codec,
-                            token_counts, token_store, toxicity)
+                            prefix_trie, token_counts, token_store, toxicity)
 
 QUERIES = {
     "op1_nearest": ann.op1_nearest,
@@ -16,11 +16,13 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_near_duplicates": near_dup.op9_near_duplicates,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_toxicity": toxicity.op12_toxicity,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 SQL = {
+    "op11_prefix_trie": prefix_trie.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op9_near_duplicates": near_dup.SQL,
     "op10_decontaminate": decontam.SQL,

@@ -82,7 +82,7 @@ def test_length_lowers_the_score(spark):
     lexicon = T.Lexicon({" bad ": 2.0}, [], (-3.0, 0.0, 6.0))
     docs = spark.createDataFrame([(1, "bad " + "fine " * 10), (2, "bad " + "fine " * 20_000)], "doc_id long, text string")
     got = {r.row.doc_id: r.found for r in T.score_documents(docs, lexicon).collect()}
-    assert got[1].score > 0.5 > got[2].score and got[2].n_words == 20_001
+    assert got[1].score > 0.25 > got[2].score and got[2].n_words == 20_001
 
 
 def test_one_class_or_no_rows(spark):
