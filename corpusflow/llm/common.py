@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,34 @@ def byte_list(column: pa.Array | pa.ChunkedArray) -> list:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def row_slices(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges ``(first, end)`` of a text column of about ``size`` bytes each,
+    so that only so much of an Arrow batch stands as Python objects at a time
+    (one row at least: a text is never cut)."""
+    ends = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)])
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield at, end
+        at = end
+
+
+def text_slices(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, list]]:
+    """``(first row, texts)`` of a text column in slices of about ``size`` bytes."""
+    for at, end in row_slices(column, size):
+        yield at, byte_list(column.slice(at, end - at))
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: Python workers outlive their task,
+    and what one stage leaves with them would add to the next one's need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # not glibc
+        pass
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z (and nothing else) in lower case.  Pure ASCII values,
     where the two agree, take the fast built-in."""

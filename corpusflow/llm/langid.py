@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.common import LETTER_BYTES, byte_list, crc_mod, read_bytes, table, tokenizer_path
+from corpusflow.llm.common import LETTER_BYTES, crc_mod, give_back, read_bytes, table, text_slices, tokenizer_path
 from corpusflow.llm.lattice import (MARK, PieceTrie, expected_counts, log_marginals, normal_pieces, rank_weights,
                                     smoothed_weights)
 from corpusflow.session import materialize
 
 UNKNOWN = "und"
 _FLOOR = -18.0                    # log weight of a character outside the vocabulary
-_CACHE_WORDS = 300_000            # words whose scores a Python worker keeps
+_CACHE_WORDS = 200_000            # words whose scores a task keeps
+_FLUSH = 100_000                  # words that a task holds before it passes them on
+_SLICE_BYTES = 1 << 20            # text in work at a time
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -53,14 +55,17 @@ def _word_rows(batches):
                                 pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
-            for w in words_of(text):
-                key = (lang, w)
-                counts[key] = counts.get(key, 0) + 1
-            if len(counts) > 400_000:
-                yield rows()
-                counts = {}
+        langs = batch.column(0).to_pylist()
+        for first, texts in text_slices(batch.column(1)):
+            for lang, text in zip(langs[first:], texts):
+                for w in words_of(text):
+                    key = (lang, w)
+                    counts[key] = counts.get(key, 0) + 1
+                if len(counts) > _FLUSH:
+                    yield rows()
+                    counts = {}
     yield rows()
+    give_back()
 
 
 def training_words(train: DataFrame, max_docs: int) -> DataFrame:
@@ -141,18 +146,21 @@ class _Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model, self.index = model, {}
-        self.scores = np.zeros((0, len(model.langs)))
+        self.scores = np.zeros((0, len(model.langs)))       # grows by half, rows beyond len(index) are free
 
     def score(self, texts: list) -> list[tuple[str, float]]:
         docs = [words_of(t) for t in texts]
         wanted = set().union(*docs) if docs else set()
         new = [w for w in wanted if w not in self.index]
         if len(self.index) + len(new) > _CACHE_WORDS:
-            new, self.index, self.scores = list(wanted), {}, self.scores[:0]
+            new, self.index = list(wanted), {}
         if new:
-            at = len(self.index)
-            self.index.update(zip(new, range(at, at + len(new))))
-            self.scores = np.concatenate([self.scores, self.model.word_scores(new)])
+            at, end = len(self.index), len(self.index) + len(new)
+            self.index.update(zip(new, range(at, end)))
+            if end > len(self.scores):
+                more = np.zeros((end - len(self.scores) + end // 2, self.scores.shape[1]))
+                self.scores = np.concatenate([self.scores, more])
+            self.scores[at:end] = self.model.word_scores(new)
         out = []
         for words in docs:
             if not self.model.langs or not any(map(has_letter, words)):
@@ -176,12 +184,12 @@ def predictor(spark, model: LanguageModel):
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _Scorer(held.value)
         for column in batches:
-            got = []
-            for at in range(0, len(column), 500):          # bounds the words in work at a time
-                got += scorer.score(byte_list(column.slice(at, 500)))
+            got = [x for _, part in text_slices(column, _SLICE_BYTES) for x in scorer.score(part)]
             yield pa.StructArray.from_arrays(
                 [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
                 names=["lang_pred", "score"])
+        del scorer
+        give_back()
 
     return F.arrow_udf(predict, _RESULT)
 

@@ -17,6 +17,8 @@ and its rows meet the confirmed keys in a join that Spark may split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.common import byte_list, table
+from corpusflow.llm.common import give_back, table, text_slices
 from corpusflow.session import materialize
 
 _PROBES = 6                       # bits set per hash
-_FLUSH = 400_000                  # hashes that a task holds before it passes them on
+_FLUSH = 100_000                  # hashes that a task holds before it passes them on
 
 
 def line_key(line: bytes) -> bytes:
@@ -88,14 +90,16 @@ def _hash_rows(min_chars: int):
     def run(batches):
         seen: dict[int, int] = {}
         for batch in batches:
-            for text in byte_list(batch.column(0)):
-                for key in _eligible(text, min_chars):
-                    h = xxhash.xxh3_64_intdigest(key)
-                    seen[h] = 2 if h in seen else 1
-                if len(seen) >= _FLUSH:
-                    yield rows(seen)
-                    seen = {}
+            for _, texts in text_slices(batch.column(0)):
+                for text in texts:
+                    for key in _eligible(text, min_chars):
+                        h = xxhash.xxh3_64_intdigest(key)
+                        seen[h] = 2 if h in seen else 1
+                    if len(seen) >= _FLUSH:
+                        yield rows(seen)
+                        seen = {}
         yield rows(seen)
+        give_back()
 
     return run
 
@@ -140,21 +144,23 @@ def _suspect_rows(min_chars: int, filters):
         shards, bits, data = filters.value
         blooms = {s: Bloom(bits, d) for s, d in data.items()}
         for batch in batches:
-            at, keys = [], []
-            for i, text in enumerate(byte_list(batch.column(1))):
-                mine = _eligible(text, min_chars)
-                at.extend([i] * len(mine))
-                keys.extend(mine)
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)).astype(np.int64)
-            shard, keep = np.mod(h, shards), np.zeros(len(h), bool)
-            for s in np.unique(shard):
-                here = np.flatnonzero(shard == s)
-                if int(s) in blooms:
-                    keep[here] = blooms[int(s)].has(h[here])
-            places = np.flatnonzero(keep)
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(np.asarray(at, np.int64)[places])),
-                 pa.array([keys[i].decode() for i in places], pa.string())], names=["doc_id", "key"])
+            for first, texts in text_slices(batch.column(1)):
+                at, keys = [], []
+                for i, text in enumerate(texts, first):
+                    mine = _eligible(text, min_chars)
+                    at.extend([i] * len(mine))
+                    keys.extend(mine)
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)).astype(np.int64)
+                shard, keep = np.mod(h, shards), np.zeros(len(h), bool)
+                for s in np.unique(shard):
+                    here = np.flatnonzero(shard == s)
+                    if int(s) in blooms:
+                        keep[here] = blooms[int(s)].has(h[here])
+                places = np.flatnonzero(keep)
+                yield pa.record_batch(
+                    [batch.column(0).take(pa.array(np.asarray(at, np.int64)[places])),
+                     pa.array([keys[i].decode() for i in places], pa.string())], names=["doc_id", "key"])
+        give_back()
 
     return run
 
@@ -185,11 +191,9 @@ _KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_li
                       T.StructField("n_dropped", T.LongType())])
 
 
-@F.arrow_udf(_KEPT)
-def _keep_lines(text: pa.Array, drop: pa.Array) -> pa.Array:
+def _kept_lines(texts: list, drops: list) -> pa.Array:
     kept, n_lines, n_dropped = [], [], []
-    drops = drop.to_pylist()
-    for t, keys in zip(byte_list(text), drops):
+    for t, keys in zip(texts, drops):
         t = t or b""
         if keys is None:
             kept.append(t)
@@ -206,6 +210,14 @@ def _keep_lines(text: pa.Array, drop: pa.Array) -> pa.Array:
         names=["text", "n_lines", "n_dropped"])
 
 
+@F.arrow_udf(_KEPT)
+def _keep_lines(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for text, drop in columns:
+        yield pa.concat_arrays([_kept_lines([], []), *(_kept_lines(texts, drop.slice(first, len(texts)).to_pylist())
+                                                       for first, texts in text_slices(text))])
+    give_back()
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_hash: int = 10,
                 max_filter_bytes: int = 16 << 20) -> DataFrame:
     """``(row, kept)``: every row of ``docs`` as a struct (so that no column

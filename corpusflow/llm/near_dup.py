@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.common import byte_list, table
+from corpusflow.llm.common import give_back, table, text_slices
 from corpusflow.llm.components import connected_components
 from corpusflow.session import materialize
 
@@ -72,15 +72,17 @@ def _signature_rows(k: int, n_hashes: int):
     def run(batches):
         family = Universal(n_hashes)
         for batch in batches:
-            n, prints, signatures = [], [], []
-            for text in byte_list(batch.column(1)):
-                s = shingle_set(text, k)
-                n.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                signatures.append(family.minima(s).tobytes() if len(s) else None)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
-                                   pa.array(signatures, pa.binary())],
-                                  names=["doc_id", "n_shingles", "print", "signature"])
+            for first, texts in text_slices(batch.column(1)):
+                n, prints, signatures = [], [], []
+                for text in texts:
+                    s = shingle_set(text, k)
+                    n.append(len(s))
+                    prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    signatures.append(family.minima(s).tobytes() if len(s) else None)
+                yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()),
+                                       pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())],
+                                      names=["doc_id", "n_shingles", "print", "signature"])
+        give_back()
 
     return run
 
@@ -88,8 +90,11 @@ def _signature_rows(k: int, n_hashes: int):
 def _set_rows(k: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, k).tobytes() for t in byte_list(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            for first, texts in text_slices(batch.column(1)):
+                sets = [shingle_set(t, k).tobytes() for t in texts]
+                yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(sets, pa.binary())],
+                                      names=["id", "shingles"])
+        give_back()
 
     return run
 

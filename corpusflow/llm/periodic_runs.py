@@ -23,11 +23,10 @@ from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import byte_list, crc32_of, table
+from corpusflow.llm.common import byte_list, crc32_of, give_back, row_slices, table
 
 _SLICE_BYTES = 2 << 20            # text in work at a time
 
@@ -129,16 +128,6 @@ _RUN_DDL = "struct<start: long, length: long, period: long>"
 _FOUND_DDL = f"struct<runs: array<{_RUN_DDL}>, strongest: {_RUN_DDL}, text: string>"
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``_SLICE_BYTES`` of text."""
-    sizes = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)])
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + _SLICE_BYTES, "right")) - 1)
-        yield at, end
-        at = end
-
-
 def _named(run: Run | None) -> dict | None:
     return run and dict(zip(("start", "length", "period"), run))
 
@@ -156,7 +145,8 @@ def _detector(min_length: int, min_repeats: int, words: Callable):
     def detect(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for ids, texts in columns:
             yield pa.concat_arrays([pa.array([], _FOUND)] + [
-                judge(ids.slice(at, end - at), texts.slice(at, end - at)) for at, end in _slices(texts)])
+                judge(ids.slice(at, end - at), texts.slice(at, end - at)) for at, end in row_slices(texts, _SLICE_BYTES)])
+        give_back()
 
     return detect
 

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.common import byte_list, crc32_of, read_bytes, table, tokenizer_path
+from corpusflow.llm.common import crc32_of, give_back, read_bytes, table, text_slices, tokenizer_path
 from corpusflow.llm.lattice import MARK
 
 _UNKNOWN_PENALTY = 10.0           # fixed value of the format: below the lowest score
 _CACHE_WORDS = 200_000            # words whose ids a Python worker keeps
-_SLICE_BYTES = 4 << 20            # text in work at a time
+_KEPT_WAYS = 100_000              # ways of the automaton kept beside its own
+_SLICE_BYTES = 2 << 20            # text in work at a time
 
 
 def word_pattern(pieces: list[str]) -> re.Pattern:
@@ -94,15 +95,22 @@ class PieceCodec:
                     below.append(child)
             level = below
         self.children, self.fall = children, fall
+        self.kept: list[tuple[int, str]] = []
 
     def _next(self, state: int, c: str) -> int:
-        """The state after one more character; ways found by falling back are kept."""
+        """The state after one more character; up to ``_KEPT_WAYS`` ways found by
+        falling back are kept, then all of them are dropped."""
         at = state
         while at and c not in self.children[at]:
             at = self.fall[at]
         at = self.children[at].get(c, 0)
-        if at:                                  # bounded: only characters of the vocabulary
+        if at:
+            if len(self.kept) >= _KEPT_WAYS:
+                for known, char in self.kept:
+                    del self.children[known][char]
+                self.kept.clear()
             self.children[state][c] = at
+            self.kept.append((state, c))
         return at
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
@@ -173,38 +181,33 @@ def _codec(model: bytes) -> PieceCodec:
     return _codecs[key]
 
 
-def _slices(column: pa.Array):
-    """Parts of a text column of about ``_SLICE_BYTES`` each."""
-    texts = byte_list(column)
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and size < _SLICE_BYTES:
-            size += len(texts[end] or b"")
-            end += 1
-        yield texts[at:end]
-        at = end
+_CODED = pa.struct([("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
 
 
-def encoder(spark, model_path: str | None = None):
-    """A column function text -> ids (array of int; empty for null)."""
+def _coded(codec: PieceCodec, texts: list) -> pa.Array:
+    rows = codec.encode(texts)
+    ends = np.cumsum([0] + [len(r) // 4 for r in rows])
+    flat = np.frombuffer(b"".join(rows), "<i4")
+    same = [codec.decode(np.frombuffer(r, "<i4").tolist()) == (t or b"") for r, t in zip(rows, texts)]
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
+         pa.array(map(crc32_of, rows), pa.int64()), pa.array(same, pa.bool_())], fields=list(_CODED))
+
+
+def coder(spark, model_path: str | None = None):
+    """A column function text -> ``(ids, ids_crc32, round_trip)``: the ids of the
+    whole text (none for null), their crc32 as little-endian 32-bit integers, and
+    whether decoding the ids gives the text back (null: the empty text).  One
+    worker does all three, so that one automaton is held."""
     model = spark.sparkContext.broadcast(read_bytes(model_path or tokenizer_path("piece_bpe_32k.model")))
 
-    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def code(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(model.value)
         for column in texts:
-            rows = [r for part in _slices(column) for r in codec.encode(part)]
-            ends = np.cumsum([0] + [len(r) // 4 for r in rows])
-            flat = np.frombuffer(b"".join(rows), np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-
-    return F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
+            yield pa.concat_arrays([pa.array([], _CODED), *(_coded(codec, part) for _, part in text_slices(column, _SLICE_BYTES))])
+        give_back()
 
-
-def _id_rows(column: pa.Array) -> Iterator[np.ndarray]:
-    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    for i in range(len(column)):
-        yield flat[ends[i]:ends[i + 1]]
+    return F.arrow_udf(code, "struct<ids: array<int>, ids_crc32: long, round_trip: boolean>")
 
 
 def decoder(spark, model_path: str | None = None):
@@ -214,30 +217,23 @@ def decoder(spark, model_path: str | None = None):
     def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(model.value)
         for column in ids:
-            texts = [codec.decode(x.tolist()) for x in _id_rows(column)]
+            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            texts = [codec.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield pa.array(texts, pa.binary()).cast(pa.string())
 
     return F.arrow_udf(decode, T.StringType())
 
 
-@F.arrow_udf(T.LongType())
-def ids_crc32(ids: pa.Array) -> pa.Array:
-    """Unsigned crc32 of ids as little-endian 32-bit integers."""
-    return pa.array([crc32_of(x.astype("<u4").tobytes()) for x in _id_rows(ids)], pa.int64())
-
-
 def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """``doc_id, text, ids, n_tokens, round_trip`` of every row: the ids of the
-    whole text and whether decoding them gives it back.  A null text has no ids
-    and decodes to an empty one.  Other columns are not carried on."""
-    spark = docs.sparkSession
+    """``doc_id, text, ids, n_tokens, ids_crc32, round_trip`` of every row: the ids
+    of the whole text and whether decoding them gives it back.  A null text has no
+    ids and decodes to an empty one.  Other columns are not carried on."""
     coded = docs.select("doc_id", F.col("text").cast("string").alias("text")) \
-                .withColumn("ids", encoder(spark, model_path)("text"))
-    return coded.withColumn("decoded", decoder(spark, model_path)("ids")).select(
-        "doc_id", "text", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+                .withColumn("coded", coder(docs.sparkSession, model_path)("text"))
+    return coded.select("doc_id", "text", "coded.ids", F.size("coded.ids").cast("long").alias("n_tokens"),
+                        "coded.ids_crc32", "coded.round_trip")
 
 
 def op2_piece_codec(spark, sf_dir: str) -> DataFrame:
     out = encode_documents(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_tokens", ids_crc32("ids").alias("ids_crc32"), "round_trip")
+    return out.select("doc_id", "n_tokens", "ids_crc32", "round_trip")

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from corpusflow.llm.common import read_bytes, table, tokenizer_path
-from corpusflow.llm.word_tokens import text_slices, tokenizer_of
+from corpusflow.llm.common import give_back, read_bytes, row_slices, table, tokenizer_path
+from corpusflow.llm.word_tokens import tokenizer_of
 from corpusflow.session import materialize
 
+_SLICE_BYTES = 4 << 20            # text in work at a time
 _BUCKET = 4096                    # lengths whose suffix sums are taken together
 
 
@@ -30,8 +31,9 @@ def token_counter(spark, tokenizer: str | None = None):
     def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = tokenizer_of(data.value)
         for column in texts:
-            n = [len(r) // tok.dtype.itemsize for _, part in text_slices(column) for r in tok.encode(part)]
-            yield pa.array(np.array(n, np.int64))
+            n = [tok.encode_column(column.slice(a, b - a))[1] for a, b in row_slices(column, _SLICE_BYTES)]
+            yield pa.array(np.concatenate([np.zeros(0, np.int64), *n]))
+        give_back()
 
     return F.arrow_udf(count, T.LongType())
 

@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusflow.llm.common import crc32_of, read_bytes, table, tokenizer_path
-from corpusflow.llm.word_tokens import text_slices, tokenizer_of
+from corpusflow.llm.common import crc32_of, give_back, read_bytes, row_slices, table, tokenizer_path
+from corpusflow.llm.word_tokens import tokenizer_of
 from corpusflow.session import checkpoint_dir
 
 END_ID = 1                        # fixed value: closes each document
 _RANK_BITS = 512                  # bits between two entries of a rank directory
+_SLICE_BYTES = 4 << 20            # text in work at a time
 _BLOCK = 4096                     # ranges whose offsets are summed together
 
 SHARD_SCHEMA = ("part long, seq long, n_tokens long, bits int, doc_ids array<bigint>, ends array<bigint>, "
@@ -135,11 +136,10 @@ def _shard_rows(data, shard_tokens: int):
         tok = tokenizer_of(data.value)
         bits = max(1, (tok.vocab - 1).bit_length())
         part, seq = TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], tok.dtype).tobytes()
         ids, ends, docs, size = [], [], [], 0
 
         def shard():
-            values = np.frombuffer(b"".join(ids), tok.dtype)
+            values = np.concatenate(ids)
             wm = WaveletMatrix.build(values, bits)
             return pa.record_batch([
                 pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(values)], pa.int64()),
@@ -152,11 +152,14 @@ def _shard_rows(data, shard_tokens: int):
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for first, texts in text_slices(batch.column(1)):
-                for i, row in enumerate(tok.encode(texts)):
-                    ids.append(row + end)
-                    size += len(ids[-1]) // tok.dtype.itemsize
-                    docs.append(names[first + i])
+            for first, last in row_slices(batch.column(1), _SLICE_BYTES):
+                flat, sizes = tok.encode_column(batch.column(1).slice(first, last - first))
+                flat = np.insert(flat, np.cumsum(sizes), END_ID)
+                cuts = np.cumsum(np.r_[0, sizes + 1]).tolist()
+                for doc_id, a, b in zip(names[first:last], cuts, cuts[1:]):
+                    ids.append(flat[a:b])
+                    size += b - a
+                    docs.append(doc_id)
                     ends.append(size)
                     if size >= shard_tokens:
                         yield shard()
@@ -164,6 +167,7 @@ def _shard_rows(data, shard_tokens: int):
                         ids, ends, docs, size = [], [], [], 0
         if docs:
             yield shard()
+        give_back()
 
     return run
 

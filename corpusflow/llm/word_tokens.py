@@ -19,6 +19,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from corpusflow.llm.common import byte_list
@@ -27,8 +28,7 @@ _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"       # composed
 _PLAIN = re.compile(f"[!-&(-~{_LATIN}]+")      # no apostrophe: the file knows contractions
 _PARTS = re.compile(f"[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
 _SIGNS = frozenset(string.punctuation.replace("'", "").encode())
-_CACHE_WORDS = 400_000
-_SLICE_BYTES = 8 << 20
+_CACHE_WORDS = 600_000
 
 
 class WordTokenizer:
@@ -51,7 +51,7 @@ class WordTokenizer:
         self.word_end = np.zeros(self.vocab, bool)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.word_end[i] = token.endswith("</w>")
-        self.cache: dict[bytes, bytes] = {}     # by word, as it stands in a text
+        self.cache: dict[bytes, bytes] = {b"": b""}        # by word, as it stands in a text
         self.parts: dict[bytes, bytes] = {}     # by part of a plain word
 
     def _learn(self, words: list[bytes]) -> None:
@@ -64,7 +64,8 @@ class WordTokenizer:
             if w not in known:
                 text = w.decode()
                 if _PLAIN.fullmatch(text) and "<|" not in text:
-                    cut[w] = [p.encode() for p in _PARTS.findall(text.lower())]
+                    low = text.lower()
+                    cut[w] = [low.encode()] if low.isalpha() else [p.encode() for p in _PARTS.findall(low)]
                 else:
                     rest.append(w)
         heads, stems = [w.lower() for w in bare], [w[:-1].lower() for w in signed]
@@ -96,18 +97,47 @@ class WordTokenizer:
         size = self.dtype.itemsize
         self.parts.update((p, flat[a * size:b * size]) for p, a, b in zip(parts, [0, *ends[:-1].tolist()], ends.tolist()))
 
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words; new ones are learnt and kept."""
+        known = self.cache.keys()
+        new = list(set(words).difference(known))
+        if len(known) + len(new) > _CACHE_WORDS:
+            self.cache = {w: self.cache[w] for w in known & words}
+            self.cache[b""] = b""               # a text that begins or ends with white space
+        self._learn(new)
+        got = list(map(self.cache.__getitem__, words))
+        for w in new:
+            if len(w) > 64:
+                del self.cache[w]
+        return got
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one after the other, and how many each
+        text has (none if null).  Arrow cuts and numbers the words; only distinct
+        ones meet Python, and their ids are laid out by the numbers.  ASCII letters
+        go in lower case first, so that there are fewer; not where combining marks
+        stand, whose composition may depend on case."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not any(b"\xcc" in t or b"\xcd" in t for t in byte_list(texts)):
+            texts = pc.ascii_lower(texts)
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        ids = self._ids_of(byte_list(words.dictionary))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        number = words.indices.to_numpy(zero_copy_only=False)
+        size = sizes[number]
+        ends = np.cumsum(size)
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        out = flat[np.arange(int(size.sum())) + np.repeat(starts[number] - ends + size, size)]
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]]
+        return out, np.diff(bounds)
+
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
-        cut = [t.split() if t else [] for t in texts]
-        wanted = set().union(*cut)
-        new = wanted.difference(self.cache)
-        if len(self.cache) + len(new) > _CACHE_WORDS:
-            self.cache = {w: self.cache[w] for w in wanted.intersection(self.cache)}
-        self._learn(list(new))
-        got = [b"".join(map(self.cache.__getitem__, words)) for words in cut]
-        for w in [w for w in new if len(w) > 64]:
-            del self.cache[w]
-        return got
+        ids, sizes = self.encode_column(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        ends = np.cumsum(sizes)
+        return [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
 
 _tokenizers: dict[int, WordTokenizer] = {}
@@ -120,16 +150,3 @@ def tokenizer_of(data: bytes) -> WordTokenizer:
         _tokenizers.clear()
         _tokenizers[key] = WordTokenizer(data)
     return _tokenizers[key]
-
-
-def text_slices(column: pa.Array):
-    """``(first row, texts)``: parts of a text column of about 8 MB each."""
-    texts = byte_list(column)
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and size < _SLICE_BYTES:
-            size += len(texts[end] or b"")
-            end += 1
-        yield at, texts[at:end]
-        at = end
