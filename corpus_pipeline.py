@@ -6,8 +6,7 @@ writes it as Parquet to the shared folder and rereads it as the next stage's
 works on every row that the one before it kept.
 
 1. ``language_id``: documents whose language is ``und`` (null text, or no
-   letter) go, and so do those whose best language is less likely than
-   ``MIN_LANGUAGE_SCORE``.
+   letter) go.
 2. ``line_dedup``: lines found in five documents or more go, except from the
    last document that holds them.
 3. ``near_dedup``: one document of each near-duplicate group (five-word
@@ -25,13 +24,10 @@ from pyspark.sql import functions as F
 from corpusflow.llm import common, decontam, langid, line_dedup, near_dup, piece_codec
 from corpusflow.session import materialize
 
-MIN_LANGUAGE_SCORE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.train_on_documents(docs))
-    sure = (F.col("found.lang_pred") != langid.UNKNOWN) & (F.col("found.score") >= MIN_LANGUAGE_SCORE)
-    return found.where(sure).select("row.*")
+    return found.where(F.col("found.lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
