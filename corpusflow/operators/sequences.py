@@ -3,9 +3,8 @@
 The flat token stream of the reference (one list over all documents) is a
 DataFrame ``(g, token_id)`` where ``g`` = document offset + position; the
 document offsets are a two-level prefix sum over per-document token counts.
-Training windows are built by sending each token to every window that covers
-it (``(B+1)/S`` copies) and grouping by window start: every group holds
-exactly ``B+1`` tokens, so no group grows with the data."""
+Training windows are put together from slices of arrays that overlap them: every
+group holds exactly ``B+1`` tokens in a few slices, so no group grows with the data."""
 
 from __future__ import annotations
 
@@ -17,14 +16,23 @@ from corpusflow.operators.keys import global_position, global_prefix_sum, range_
 from corpusflow.session import materialize
 
 
+def _stream_documents(encoded: DataFrame, ids: str) -> DataFrame:
+    """The documents that add to a stream: a blank one does not, not even with
+    its begin and end ids."""
+    docs = encoded.where(F.size(ids) > 0)
+    if "blank" in encoded.columns:
+        docs = docs.where(~F.col("blank"))
+    elif "text" in encoded.columns:
+        docs = docs.where(py_strip(F.col("text")) != "")
+    return docs
+
+
 def flat_token_stream(encoded: DataFrame, ids: str = "ids", order: str = "doc_id",
                       bounds: tuple[int, int] | None = None) -> DataFrame:
     """``(g, token_id)`` — all documents' ids concatenated in ``order``;
-    documents without ids add nothing.  ``bounds`` = (min, max) of ``order``
-    (read from ``encoded`` when not given)."""
-    docs = encoded.where(F.size(ids) > 0)
-    if "text" in encoded.columns:          # a blank document adds nothing, not even its begin and end ids
-        docs = docs.where(py_strip(F.col("text")) != "")
+    documents without ids and blank ones (marked by the encoders) add nothing.
+    ``bounds`` = (min, max) of ``order`` (read from ``encoded`` when not given)."""
+    docs = _stream_documents(encoded, ids)
     if bounds:
         docs = docs.withColumn("_qb", range_bucket(encoded, order, bounds=bounds))
     else:
@@ -73,30 +81,63 @@ def block_starts(n_tokens: int, block_size: int, stride: int) -> tuple[int, int,
     return max_start, last, last != max_start
 
 
+def _windows(slices: DataFrame, block_size: int) -> DataFrame:
+    """Windows from their slices ``(start, at, part)``: a few arrays each."""
+    blocks = slices.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("_w"))
+    ids = F.flatten(F.col("_w.part"))
+    return blocks.select("start", F.slice(ids, 1, block_size).alias("x"), F.slice(ids, 2, block_size).alias("y"))
+
+
+def _cut(rows: DataFrame, at: str, ids: str, max_start: int, last: int, has_tail: bool, block_size: int, stride: int) -> DataFrame:
+    """Arrays that begin at place ``at`` of the stream, cut to the slices
+    ``(start, at, part)`` that overlap each window."""
+    first, end = F.col(at), F.col(at) + F.size(ids)
+    k_lo = F.greatest(F.lit(0), F.ceil((first - block_size) / F.lit(float(stride)))).cast("bigint")
+    k_hi = F.least(F.floor((end - 1) / F.lit(float(stride))), F.lit(last // stride)).cast("bigint")
+    starts = F.when(k_hi >= k_lo, F.transform(F.sequence(k_lo, k_hi), lambda k: k * stride)) \
+        .otherwise(F.array().cast("array<bigint>"))
+    if has_tail:
+        overlaps = (end > max_start) & (first <= max_start + block_size)
+        starts = F.concat(starts, F.when(overlaps, F.array(F.lit(max_start).cast("bigint")))
+                          .otherwise(F.array().cast("array<bigint>")))
+
+    def part(start):
+        lo, hi = F.greatest(start, first), F.least(start + block_size + 1, end)
+        return F.struct(start.alias("start"), lo.alias("at"),
+                        F.slice(F.col(ids), (lo - first + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    return rows.select(F.explode(F.transform(starts, part)).alias("_s")).select("_s.start", "_s.at", "_s.part")
+
+
 def pack_blocks(stream: DataFrame, block_size: int = 256, stride: int = 128,
                 n_tokens: int | None = None) -> DataFrame:
     """windows of ``block_size + 1`` tokens at ``stride``, plus a tail
     window anchored at the end; ``x`` = first B ids, ``y`` = the same shifted
-    by one.  Windows cross document boundaries."""
+    by one.  Windows cross document boundaries.
+
+    ``stream`` has a row ``(g, token_id)`` per token: tokens are gathered once to
+    cells of a stride's length, and windows take slices of cells.  Documents that
+    are arrays already go through :func:`pack_documents` without any such rows."""
     if n_tokens is None:
         n_tokens = stream.count()
     max_start, last, has_tail = block_starts(n_tokens, block_size, stride)
-    g = F.col("g")
-    k_lo = F.greatest(F.lit(0), F.ceil((g - block_size) / F.lit(float(stride)))).cast("bigint")
-    k_hi = F.least(F.floor(g / F.lit(float(stride))), F.lit(last // stride)).cast("bigint")
-    # a token lies in at most ceil((B+1)/S) regular windows: a fixed-size
-    # candidate array of plain expressions (whole-stage codegen, no lambda)
-    m = -(-(block_size + 1) // stride)
-    cands = [F.when(k_hi - j >= k_lo, (k_hi - j) * stride) for j in range(m)]
-    if has_tail:
-        in_tail = (g >= max_start) & (g <= max_start + block_size)
-        cands.append(F.when(in_tail, F.lit(max_start).cast("bigint")))
-    exploded = (stream.select(F.explode(F.array(*cands)).alias("start"), "g", "token_id")
-                .where(F.col("start").isNotNull()))
-    blocks = exploded.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("g", "token_id"))).alias("_w"))
-    ids = F.col("_w.token_id")                     # field of each struct, no lambda
-    return blocks.select("start", F.slice(ids, 1, block_size).alias("x"),
-                         F.slice(ids, 2, block_size).alias("y"))
+    cells = stream.groupBy(F.floor(F.col("g") / stride).cast("bigint").alias("_c")).agg(
+        F.array_sort(F.collect_list(F.struct("g", "token_id"))).alias("_t"))
+    cells = cells.select((F.col("_c") * stride).alias("_at"), F.col("_t.token_id").alias("_ids"))
+    return _windows(_cut(cells, "_at", "_ids", max_start, last, has_tail, block_size, stride), block_size)
+
+
+def pack_documents(encoded: DataFrame, block_size: int = 256, stride: int = 128, ids: str = "ids",
+                   order: str = "doc_id") -> DataFrame:
+    """F4 + F5 on encoded documents: each document's id array is cut to the slices
+    that overlap each window, and a window is put together from a few slices by
+    their place.  No row per token at any point; what is shuffled is the arrays
+    (once, to their places) and ``(block_size + 1) / stride`` times as slices."""
+    docs = materialize(_stream_documents(encoded, ids).select(order, ids), "stream-documents")
+    n_tokens = docs.agg(F.coalesce(F.sum(F.size(ids)), F.lit(0))).first()[0]
+    max_start, last, has_tail = block_starts(int(n_tokens), block_size, stride)
+    placed = global_prefix_sum(with_quantile_bucket(docs, order, "_qb"), [F.col(order)], F.col("_qb"), F.size(ids), "_at")
+    return _windows(_cut(placed, "_at", ids, max_start, last, has_tail, block_size, stride), block_size)
 
 
 def assign_batches(df: DataFrame, order: str = "doc_id", batch_size: int = 32,

@@ -2,24 +2,28 @@
 
 First-seen ids: each document contributes its distinct tokens in
 first-occurrence order (``array_distinct`` keeps that order), the corpus-wide
-first occurrence of every token wins (``row_number() = 1``, skew-safe), and
+first occurrence of every token wins (a partial minimum per task), and
 the winners are numbered by their ``(order, k)`` key with the two-level global
-position.  Encoding joins token rows to the vocabulary; AQE picks broadcast
-or a shuffle join from the vocabulary's measured size (see :func:`_vocab_side`)."""
+position.  Encoding words joins token rows to the vocabulary; AQE picks broadcast
+or a shuffle join from the vocabulary's measured size (see :func:`_vocab_side`).
+A character vocabulary is bounded by Unicode and is looked up in place."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import char_tokens, word_tokens
-from corpusflow.operators.keys import first_wins, global_position, with_quantile_bucket
+from corpusflow.functions.text import char_tokens, py_strip, word_tokens
+from corpusflow.operators.keys import global_position, with_quantile_bucket
 from corpusflow.session import materialize as materialize_df
 
 # Reserved tokens and their ids.
 WORD_SPECIALS = ["<PAD>", "<UNK>"]                   # ids 0, 1
 CHAR_SPECIALS = ["<PAD>", "<UNK>", "<BOS>", "<EOS>"]  # ids 0..3
 PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
+_MAX_CHARS = 0x110000 + len(CHAR_SPECIALS)
 
 
 def _first_seen_vocab(docs: DataFrame, tokens, order: str, specials: list[str],
@@ -30,7 +34,8 @@ def _first_seen_vocab(docs: DataFrame, tokens, order: str, specials: list[str],
     later encode joins against, so it is computed exactly once."""
     spark = docs.sparkSession
     per_doc = docs.select(order, F.posexplode(F.array_distinct(tokens)).alias("_k", "token"))
-    first = first_wins(per_doc, "token", [F.col(order), F.col("_k")])
+    # two primitive buffers: a hash aggregate with partial results, no sort by token
+    first = per_doc.groupBy("token").agg(F.min_by("_k", order).alias("_k"), F.min(order).alias(order))
     # bucket boundaries from the input's key, not from the derived rows
     first = with_quantile_bucket(first, order, "_bkt0", source=docs)
     if materialize:
@@ -71,14 +76,23 @@ def lookup_ids(token_rows: DataFrame, vocab: DataFrame, token: str = "token", ou
             .drop("_tok", "_vid"))
 
 
-def _encode(docs: DataFrame, tokens, vocab: DataFrame, order: str, max_len: int | None) -> DataFrame:
-    rows = docs.select(order, F.posexplode(tokens).alias("_pos", "_tok"))
+def _with_blank(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` without the text, with ``blank``: nothing but white space in it
+    (such a document is encoded, but adds nothing to a token stream)."""
+    keep = [c for c in docs.columns if c not in (text, "blank")]
+    return docs.select(*keep, (py_strip(F.coalesce(F.col(text), F.lit(""))) == "").alias("blank"))
+
+
+def _encode(docs: DataFrame, text: str, vocab: DataFrame, order: str, max_len: int | None) -> DataFrame:
+    """Word ids per document.  Only the first ``max_len`` words are exploded; the
+    ids come back as one array per document and task (partial ``collect_list``),
+    so a broadcast vocabulary leaves no exchange with a row per word."""
+    tokens = word_tokens(F.col(text))
     if max_len is not None:
-        rows = rows.where(F.col("_pos") < max_len)          # truncate before the join
-    ids = lookup_ids(rows, vocab, "_tok", "_id")
+        tokens = F.slice(tokens, 1, max_len)
+    ids = lookup_ids(docs.select(order, F.posexplode(tokens).alias("_pos", "_tok")), vocab, "_tok", "_id")
     per_doc = ids.groupBy(order).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
-    keep = [c for c in docs.columns if c != "text"]
-    enc = docs.select(*keep).join(per_doc, order, "left")
+    enc = _with_blank(docs, text).join(per_doc, order, "left")
     return enc.withColumn("ids", F.coalesce(F.col("_p._id"),
                                             F.array().cast("array<bigint>"))).drop("_p")
 
@@ -86,7 +100,7 @@ def _encode(docs: DataFrame, tokens, vocab: DataFrame, order: str, max_len: int
 def encode_fixed(docs: DataFrame, vocab: DataFrame, max_len: int = 64, text: str = "text",
                  order: str = "doc_id") -> DataFrame:
     """word ids truncated to ``max_len`` and right-padded with 0."""
-    enc = _encode(docs, word_tokens(F.col(text)), vocab, order, max_len)
+    enc = _encode(docs, text, vocab, order, max_len)
     pad = F.array_repeat(F.lit(PAD_ID).cast("bigint"), F.lit(max_len) - F.size("ids"))
     return enc.withColumn("ids", F.concat("ids", pad))
 
@@ -95,34 +109,65 @@ def encode_truncated(docs: DataFrame, vocab: DataFrame, max_length: int = 512, t
                      order: str = "doc_id", label: str | None = "label") -> DataFrame:
     """Ids truncated at ``max_length``, no padding, attention mask of ones;
     the label is carried along."""
-    enc = _encode(docs, word_tokens(F.col(text)), vocab, order, max_length)
+    enc = _encode(docs, text, vocab, order, max_length)
     return enc.withColumn("attention_mask", F.transform("ids", lambda x: F.lit(1)))
 
 
+def _char_table(vocab: DataFrame) -> list:
+    """The vocabulary as rows on the driver: at most one per Unicode code point
+    (0x110000) and special token, whatever the corpus; more is refused."""
+    rows = vocab.select("token", "id").where((F.char_length("token") == 1) | F.col("token").isin(CHAR_SPECIALS)) \
+        .limit(_MAX_CHARS + 1).collect()
+    if len(rows) > _MAX_CHARS:
+        raise ValueError(f"a character vocabulary has at most {_MAX_CHARS} entries")
+    return rows
+
+
 def encode_chars(docs: DataFrame, vocab: DataFrame, text: str = "text", order: str = "doc_id",
                  add_special_tokens: bool = False) -> DataFrame:
-    """code-point ids, optionally wrapped in BOS / EOS; no truncation."""
-    enc = _encode(docs, char_tokens(F.col(text)), vocab, order, None)
-    if add_special_tokens:
-        enc = enc.withColumn("ids", F.concat(F.array(F.lit(BOS_ID).cast("bigint")), "ids",
-                                             F.array(F.lit(EOS_ID).cast("bigint"))))
-    return enc
+    """code-point ids, optionally wrapped in BOS / EOS; no truncation.  The
+    vocabulary is broadcast as one array indexed by code point and looked up in
+    place: no exchange, no row per character.  A null text has no characters."""
+    rows = _char_table(vocab)
+    table = np.full(0x110000, UNK_ID, np.int32)
+    for r in rows:
+        if len(r["token"]) == 1:
+            table[ord(r["token"])] = r["id"]
+    held = docs.sparkSession.sparkContext.broadcast(table)
+    wrap = 1 if add_special_tokens else 0
+
+    @F.arrow_udf("array<bigint>")
+    def ids(texts: pa.Array) -> pa.Array:
+        values = ["" if t is None else t for t in texts.to_pylist()]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) + 2 * wrap
+        chars = np.frombuffer("".join(values).encode("utf-32-le"), "<u4")
+        ends = np.cumsum(sizes)
+        flat = np.empty(int(sizes.sum()), np.int64)
+        inner = np.ones(len(flat), bool)
+        if wrap:
+            inner[ends - 1] = inner[ends - sizes] = False
+            flat[ends - sizes], flat[ends - 1] = BOS_ID, EOS_ID
+        flat[inner] = held.value[chars]
+        return pa.LargeListArray.from_arrays(np.r_[0, ends], pa.array(flat)).cast(pa.list_(pa.int64()))
+
+    return _with_blank(docs.withColumn("ids", ids(F.col(text))), text)
 
 
 def decode_chars(encoded: DataFrame, vocab: DataFrame, ids: str = "ids", order: str = "doc_id",
                  skip_special_tokens: bool = True) -> DataFrame:
     """ids -> text; specials skipped (or kept); an unknown id decodes to
-    the literal ``<UNK>``."""
-    rows = encoded.select(order, F.posexplode(ids).alias("_pos", "_id"))
+    the literal ``<UNK>``.  In place, as :func:`encode_chars`."""
+    tokens = {r["id"]: r["token"] for r in _char_table(vocab)}
     if skip_special_tokens:
-        rows = rows.where(~F.col("_id").isin(PAD_ID, UNK_ID, BOS_ID, EOS_ID))
-    v = _vocab_side(vocab.select(F.col("id").alias("_vid"), F.col("token").alias("_tok")))
-    rows = (rows.join(v, rows["_id"] == v["_vid"], "left")
-            .withColumn("_ch", F.coalesce(F.col("_tok"), F.lit("<UNK>"))))
-    per = rows.groupBy(order).agg(F.array_sort(F.collect_list(F.struct("_pos", "_ch"))).alias("_p"))
-    out = encoded.select(order).join(per, order, "left")
-    return out.select(order, F.coalesce(F.array_join(F.col("_p._ch"), ""),
-                                        F.lit("")).alias("text"))
+        tokens.update(dict.fromkeys((PAD_ID, UNK_ID, BOS_ID, EOS_ID), ""))
+    held = encoded.sparkSession.sparkContext.broadcast(tokens)
+
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        known = held.value
+        return pa.array(["".join(known.get(i, "<UNK>") for i in row or ()) for row in column.to_pylist()], pa.string())
+
+    return encoded.select(order, text(F.col(ids)).alias("text"))
 
 
 def save_vocab(vocab: DataFrame, path: str, max_len: int | None = None) -> None:

@@ -328,7 +328,7 @@ def _train_vocab(spark, sf):
 
 def _utterances(spark, sf):
     conv = table(spark, sf, "conversations")
-    return conv.select((F.col("conv_id") * 10000 + F.col("turn")).alias("utt_id"), "text")
+    return conv.select((F.col("conv_id") * (1 << 31) + F.col("turn")).alias("utt_id"), "text")
 
 
 @register("word_vocab")
@@ -392,8 +392,9 @@ def q_token_stream(spark, sf):
 
 @register("pack_blocks")
 def q_pack_blocks(spark, sf):
-    stream, n_tokens = _corpus_stream(spark, sf)
-    blocks = Q.pack_blocks(stream, block_size=256, stride=128, n_tokens=n_tokens)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    encoded = V.encode_truncated(docs, V.build_word_vocab(docs), max_length=None)
+    blocks = Q.pack_documents(encoded, block_size=256, stride=128)
     return blocks.select("start", F.md5(_ids_str("x")).alias("x_md5"), F.md5(_ids_str("y")).alias("y_md5"))
 
 

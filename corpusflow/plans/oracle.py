@@ -344,7 +344,7 @@ WORD_SPECIALS_SQL = "SELECT '<PAD>' AS token, CAST(0 AS BIGINT) AS id UNION ALL
 CHAR_SPECIALS_SQL = ("SELECT '<PAD>' AS token, CAST(0 AS BIGINT) AS id UNION ALL SELECT '<UNK>', 1 "
                      "UNION ALL SELECT '<BOS>', 2 UNION ALL SELECT '<EOS>', 3")
 TRAIN_VOCAB = f"""{_first_seen(_words(f"(SELECT * FROM ({SPLIT3_LABELLED}) WHERE split = 'train')"), 'doc_id', 2)}"""
-UTT = "(SELECT conv_id * 10000 + turn AS utt_id, text FROM conversations)"
+UTT = "(SELECT conv_id * 2147483648 + turn AS utt_id, text FROM conversations)"
 
 
 def _encoded(src: str, vocab: str, max_len: int | None) -> str:
@@ -549,9 +549,10 @@ def _utt_char_ids() -> str:
     return f"""
 WITH v AS ({v}),
 e AS (SELECT t.utt_id, t.pos, v.id FROM ({_chars(UTT, 'utt_id')}) t JOIN v USING (token)),
-s AS (SELECT utt_id, -1 AS pos, CAST(2 AS BIGINT) AS id FROM {UTT}
-      UNION ALL SELECT utt_id, pos, id FROM e
-      UNION ALL SELECT utt_id, 1000000000 AS pos, CAST(3 AS BIGINT) AS id FROM {UTT})"""
+whole AS (SELECT utt_id FROM {UTT} WHERE {_strip('text')} <> ''),
+s AS (SELECT utt_id, -1 AS pos, CAST(2 AS BIGINT) AS id FROM whole
+      UNION ALL SELECT utt_id, pos, id FROM e WHERE utt_id IN (SELECT utt_id FROM whole)
+      UNION ALL SELECT utt_id, 1000000000 AS pos, CAST(3 AS BIGINT) AS id FROM whole)"""
 
 
 SQL["flat_token_stream"] = f"""

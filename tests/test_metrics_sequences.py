@@ -104,6 +104,44 @@ def test_blocks_match_sequential(spark):
     assert got == {st: toks[st:st + b] for st in starts}
 
 
+def test_blank_documents_add_nothing_to_the_stream(spark):
+    docs = spark.createDataFrame([(0, "a"), (1, ""), (2, "   "), (3, "b")], "doc_id long, text string")
+    vocab = V.build_char_vocab(docs)
+    enc = V.encode_chars(docs, vocab, add_special_tokens=True)
+    assert [r["ids"] for r in enc.orderBy("doc_id").collect()][1] == [2, 3]
+    assert [r["token_id"] for r in Q.flat_token_stream(enc).orderBy("g").collect()] == [2, 4, 3, 2, 6, 3]
+    words = V.encode_truncated(docs, V.build_word_vocab(docs), max_length=None)
+    assert [r["token_id"] for r in Q.flat_token_stream(words).orderBy("g").collect()] == [2, 3]
+
+
+def test_char_codec_edge_cases_and_no_exchange(spark):
+    docs = spark.createDataFrame([(0, "aé\U0001f600"), (1, None), (2, ""), (3, "zé")], "doc_id long, text string")
+    vocab = V.build_char_vocab(docs.where("doc_id = 0"))
+    enc = V.encode_chars(docs, vocab)
+    assert [r["ids"] for r in enc.orderBy("doc_id").collect()] == [[4, 5, 6], [], [], [1, 5]]
+    kept = V.decode_chars(enc, vocab, skip_special_tokens=False)
+    assert [r["text"] for r in kept.orderBy("doc_id").collect()] == ["aé\U0001f600", "", "", "<UNK>é"]
+    odd = spark.createDataFrame([(0, [2, 4, 99, 3, 0])], "doc_id long, ids array<long>")
+    assert V.decode_chars(odd, vocab).first()["text"] == "a<UNK>"
+    assert V.decode_chars(odd, vocab, skip_special_tokens=False).first()["text"] == "<BOS>a<UNK><EOS><PAD>"
+    for df in (enc, V.decode_chars(enc, vocab)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block, stride", [(16, 7), (4, 9), (50, 50), (300, 128)])
+def test_documents_packed_as_their_stream(spark, block, stride):
+    """Documents of 0 to 700 ids, also far longer and far shorter than a window."""
+    sizes = [3, 0, 700, 1, 1, 40, 0, 2, 333, 17]
+    docs = spark.createDataFrame([(i, [i * 1000 + k for k in range(n)]) for i, n in enumerate(sizes)],
+                                 "doc_id long, ids array<long>")
+    tokens = [i * 1000 + k for i, n in enumerate(sizes) for k in range(n)]
+    top = len(tokens) - block - 1
+    want = {s: (tokens[s:s + block], tokens[s + 1:s + block + 1]) for s in {*range(0, top + 1, stride), top}}
+    assert {r["start"]: (r["x"], r["y"]) for r in Q.pack_documents(docs, block, stride).collect()} == want
+    stream = Q.flat_token_stream(docs)
+    assert {r["start"]: (r["x"], r["y"]) for r in Q.pack_blocks(stream, block, stride).collect()} == want
+
+
 def test_pad_batches(spark):
     df = spark.createDataFrame([(0, [5, 6, 7]), (0, [8]), (1, [1, 2])], "batch long, ids array<bigint>")
     out = sorted((r["batch"], r["input_ids"], r["attention_mask"]) for r in Q.pad_batches(df, max_length=2).collect())
