@@ -566,17 +566,47 @@ def _scratch(spark, name: str) -> str:
 
 @register("jsonl_preprocess")
 def q_jsonl_preprocess(spark, sf):
-    """A2 -> D3 -> I5: the reference's flagship path, from a JSON-lines folder."""
+    """A2 -> D3 -> I5: the reference's flagship path, from a JSON-lines folder to
+    rewritten objects (unknown keys kept), read back."""
     root = _scratch(spark, "jsonl")
-    K.write_jsonl(table(spark, sf, "documents").orderBy("doc_id"), root)
-    docs, _ = R.read_jsonl_dir(spark, root, glob="*.json")
-    out = preprocess_corpus(docs, order="doc_ord")
+    K.write_jsonl(table(spark, sf, "documents").orderBy("doc_id"), f"{root}/in")
+    docs, _ = R.read_jsonl_dir(spark, f"{root}/in", glob="*.json")
+    K.write_variant_jsonl(preprocess_corpus(docs, order="doc_ord"), f"{root}/out")
+    out, _ = R.read_jsonl_dir(spark, f"{root}/out", glob="*.txt")
     return out.select(F.variant_get("data", "$.doc_id", "bigint").alias("doc_id"), "text",
                       F.variant_get("data", "$.lang", "string").alias("lang"),
                       F.variant_get("data", "$.source", "string").alias("source"),
                       F.variant_get("data", "$.n_chars", "bigint").alias("n_chars"))
 
 
+@register("jsonl_lenient")
+def q_jsonl_lenient(spark, sf):
+    """A2 + I5 on lines that strict parsers refuse, one per document: NaN, repeated
+    keys (the last wins), broken lines (quarantined); kept objects are rewritten
+    with the text's length for text and read back."""
+    root = _scratch(spark, "lenient")
+    doc = F.to_json(F.struct("doc_id", "text"))
+    body = F.expr("substring(line, 2, length(line) - 2)")
+    kind = F.col("doc_id") % 4
+    lines = table(spark, sf, "documents").withColumn("line", doc).select(
+        F.when(kind == 0, F.concat(F.lit('{"score": NaN, '), body, F.lit(', "low": -Infinity}')))
+        .when(kind == 1, F.concat(F.lit('{"text": "overridden", '), body, F.lit("}")))
+        .when(kind == 2, F.col("line")).otherwise(F.concat(F.lit('{"text": '), body)).alias("text"))
+    K.write_text(lines, f"{root}/in")
+    docs, broken = R.read_jsonl_dir(spark, f"{root}/in", glob="*.txt")
+    K.write_variant_jsonl(docs.withColumn("text", F.char_length("text").cast("string")), f"{root}/out")
+    out, _ = R.read_jsonl_dir(spark, f"{root}/out", glob="*.txt")
+    kept = out.select(F.variant_get("data", "$.doc_id", "bigint").alias("doc_id"), "text",
+                      F.coalesce(F.col("source").contains("NaN") & F.col("source").contains("-Infinity"),
+                                 F.lit(False)).alias("not_finite"))
+    return kept.groupBy("not_finite").agg(F.count("*").alias("n"), F.sum("doc_id").alias("doc_ids"),
+                                          F.sum(F.col("text").cast("bigint")).alias("chars"), F.lit(False).alias("quarantined")) \
+        .unionByName(broken.select(F.lit(False).alias("not_finite"), F.lit(None).cast("bigint").alias("doc_ids"),
+                                   F.char_length("value").cast("bigint").alias("chars"))
+                     .groupBy("not_finite").agg(F.count("*").alias("n"), F.max("doc_ids").alias("doc_ids"),
+                                                F.lit(None).cast("bigint").alias("chars"), F.lit(True).alias("quarantined")))
+
+
 @register("csv_roundtrip")
 def q_csv_roundtrip(spark, sf):
     """I4 -> A1 / A3: split CSVs with multi-line texts written and read back."""

@@ -574,3 +574,11 @@ SELECT count(*) AS n_samples, CAST(count_if(pred_a = label AND pred_b <> label)
        CAST(count_if(pred_a <> label AND pred_b <> label) AS BIGINT) AS both_wrong
 FROM r WHERE pred_a <> -1 AND pred_b <> -1""",
 })
+
+
+SQL["jsonl_lenient"] = """
+SELECT doc_id % 4 = 0 AS not_finite, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS doc_ids,
+       CAST(sum(length(text)) AS BIGINT) AS chars, false AS quarantined
+FROM documents WHERE doc_id % 4 <> 3 GROUP BY 1
+UNION ALL
+SELECT false, count(*), NULL, NULL, true FROM documents WHERE doc_id % 4 = 3"""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -19,12 +21,32 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_variant_jsonl(df: DataFrame, path: str, data: str = "data", text: str = "text") -> None:
-    """I5 for open-schema documents: the original object with ``text``
-    replaced, unknown keys preserved."""
-    m = F.from_json(F.to_json(F.col(data)), "map<string,variant>")
-    patched = F.transform_values(m, lambda k, v: F.when(k == "text", F.col(text).cast("variant")).otherwise(v))
-    df.select(F.to_json(patched).alias("value")).write.mode("overwrite").text(path)
+def _rewritten(source: str, text: str | None) -> str:
+    return json.dumps(json.loads(source) | {"text": text}, ensure_ascii=False)
+
+
+@F.arrow_udf(T.StringType())
+def rewrite_source(source: pa.Array, text: pa.Array) -> pa.Array:
+    """Objects that VARIANT cannot hold (NaN, infinities), with ``text`` replaced."""
+    return pa.array([None if s is None else _rewritten(s, t) for s, t in zip(source.to_pylist(), text.to_pylist())], pa.string())
+
+
+def write_variant_jsonl(df: DataFrame, path: str, data: str = "data", text: str = "text", source: str = "source") -> None:
+    """I5 for open-schema documents (A2): the original object with ``text``
+    replaced in its place, or added; unknown keys preserved.  Rows with a
+    ``source`` (if there is such a column) are rewritten from that."""
+    fields = F.from_json(F.to_json(F.col(data)), "map<string,variant>")
+    new = F.col(text).cast("variant")
+    patched = F.when(F.map_contains_key(fields, "text"),
+                     F.transform_values(fields, lambda k, v: F.when(k == "text", new).otherwise(v))) \
+        .otherwise(F.map_concat(fields, F.create_map(F.lit("text"), new)))
+    lines = df.withColumn("_line", F.to_json(patched, {"ignoreNullFields": "false"}))
+    if source in df.columns:
+        plain = lines.where(F.col(source).isNull()).select(F.col("_line").alias("value"))
+        lines = plain.unionByName(df.where(F.col(source).isNotNull()).select(rewrite_source(source, text).alias("value")))
+    else:
+        lines = lines.select(F.col("_line").alias("value"))
+    lines.write.mode("overwrite").text(path)
 
 
 def write_text(df: DataFrame, path: str, col: str = "text") -> None:

@@ -115,3 +115,23 @@ def test_dedup_within_watermark(spark):
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     assert sorted(r["text"][0] for r in out.collect()) == ["x", "y"]
+
+
+def test_lines_that_strict_parsers_refuse(spark, tmp_path):
+    from corpusflow.sources import readers as R, sinks as K
+    lines = ['{"text":"one","score":NaN}', '{"text":"two","text":"three"}', '{"text":"four"}', "", "[1, NaN]", '{"text": oops}',
+             '{"deep":{"x":[1,Infinity,"é"]},"text":5}', '{"no_text":null,"big":123456789012345678901234567890}']
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "b.jsonl").write_text("\n".join(lines[:4]) + "\n", encoding="utf-8")
+    (tmp_path / "in" / "sub" / "a.jsonl").write_text("\n".join(lines[4:]), encoding="utf-8")
+    docs, broken = R.read_jsonl_dir(spark, str(tmp_path / "in"))
+    got = docs.orderBy("doc_ord").collect()
+    assert [(r["doc_ord"], r["text"]) for r in got] == [(0, "one"), (1, "three"), (2, "four"), (5, None), (6, None)]
+    assert [r["value"] for r in broken.orderBy("doc_ord").collect()] == lines[4:6]
+    K.write_variant_jsonl(docs.withColumn("text", F.lit("new")), str(tmp_path / "out"))
+    back = [json.loads(x) for f in sorted((tmp_path / "out").glob("*.txt")) for x in f.read_text(encoding="utf-8").splitlines()]
+    assert len(back) == 5 and all(x["text"] == "new" for x in back)
+    assert sorted(k for x in back for k in x) == sorted(["text", "score", "text", "text", "deep", "text", "no_text", "big", "text"])
+    nan = next(x for x in back if "score" in x)["score"]
+    assert nan != nan and next(x for x in back if "deep" in x)["deep"] == {"x": [1, float("inf"), "é"]}
+    assert next(x for x in back if "big" in x)["no_text"] is None
