@@ -117,7 +117,8 @@ class WordTokenizer:
         ones meet Python, and their ids are laid out by the numbers.  ASCII letters
         go in lower case first, so that there are fewer; not where combining marks
         stand, whose composition may depend on case."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # an array of its own: Arrow's lower-casing is wrong on a slice of a longer one
+        texts = pc.fill_null(pa.concat_arrays([texts, texts.slice(0, 0)]).cast(pa.large_string()), "")
         if not any(b"\xcc" in t or b"\xcd" in t for t in byte_list(texts)):
             texts = pc.ascii_lower(texts)
         cut = pc.ascii_split_whitespace(texts)
