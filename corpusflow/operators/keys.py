@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 1024
-MAX_BROADCAST_BUCKETS = 1 << 20
+HOT_SHARE = 1000                  # keys with more than this part of all rows are joined by broadcast
 
 
 def seeded_order_key(id_col, seed: int) -> Column:
@@ -175,3 +175,22 @@ def first_wins(df: DataFrame, key, order: list, rank_name: str = "_rn") -> DataF
     keys = key if isinstance(key, list) else [key]
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_name, F.row_number().over(w)).where(F.col(rank_name) == 1).drop(rank_name)
+
+
+def join_split_hot(rows: DataFrame, info: DataFrame, keys: list[str], n_rows: str, how: str = "inner",
+                   total: int | None = None) -> DataFrame:
+    """``rows`` joined to ``info`` (one row per key) without a hot key in one task.
+
+    ``info`` has a column ``n_rows`` with (at least) the number of rows of each key.
+    Keys with more than a thousandth of all rows, fewer than a thousand by
+    arithmetic, are broadcast, so that their rows stay where they are; all others
+    are joined as the optimizer sees fit.  ``total`` defaults to the sum of
+    ``n_rows``.  ``how``: ``inner`` or ``left``."""
+    if total is None:
+        total = info.agg(F.coalesce(F.sum(n_rows), F.lit(0))).first()[0]
+    hot = F.col(n_rows) * HOT_SHARE > F.lit(total)
+    marks = info.where(hot).select(*keys, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(marks), keys, "left")
+    cold = marked.where(F.col("_hot").isNull()).drop("_hot").join(info.where(~hot).drop(n_rows), keys, how)
+    held = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(info.where(hot).drop(n_rows)), keys)
+    return cold.unionByName(held)

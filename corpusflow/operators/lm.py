@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import word_tokens
+from corpusflow.operators.keys import join_split_hot
 from corpusflow.operators.metrics import weighted_loss_perplexity
 from corpusflow.session import materialize as materialize_df
 
@@ -33,45 +34,89 @@ def train_ngram_lm(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
                    materialize: bool = True) -> dict:
     """The smoothed bigram model.
 
-    Returns ``{"bigrams": (prev, next, count), "contexts": (prev, ctx_count),
-    "vocab_size": V, "k": k}``; ``V`` counts the distinct predicted tokens
-    plus ``<unk>`` and is a scalar-subquery Column over the checkpointed
-    counts.
+    Returns ``{"bigrams": (prev, next, count), "contexts": (prev, ctx_count,
+    n_next), "vocab_size": V, "k": k}``; ``V`` counts the distinct predicted tokens
+    plus ``<unk>`` and is a scalar-subquery Column over the checkpointed counts,
+    ``n_next`` a context's distinct successors (the rows it has in ``bigrams``).
     ``log p(next | prev) = ln((c + k) / (c_prev + k V))``."""
     bg = bigrams(docs, text, key)
     counts = bg.groupBy("prev", "next").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
     if materialize:
         # the model is an artifact read by several consumers: computed once
         counts = materialize_df(counts, "bigram-counts")
-    contexts = counts.groupBy("prev").agg(F.sum("count").cast("bigint").alias("ctx_count"))
+    contexts = counts.groupBy("prev").agg(F.sum("count").cast("bigint").alias("ctx_count"), F.count("*").alias("n_next"))
+    if materialize:
+        contexts = materialize_df(contexts, "bigram-contexts")
     vocab = counts.select((F.count_distinct("next") + 1).cast("double")).scalar()
     return {"bigrams": counts, "contexts": contexts, "vocab_size": vocab, "k": float(k)}
 
 
 def bigram_logprobs(model: dict) -> DataFrame:
-    """``(prev, next, count, logp)`` for every observed bigram."""
+    """``(prev, next, count, logp)`` for every observed bigram.  The successors of
+    a hot context stay where they are (:func:`join_split_hot`)."""
     k, v = model["k"], model["vocab_size"]
-    return (model["bigrams"].join(model["contexts"], "prev")
+    return (join_split_hot(model["bigrams"], model["contexts"], ["prev"], "n_next")
             .withColumn("logp", F.log((F.col("count") + k) / (F.col("ctx_count") + F.lit(k) * v))))
 
 
-def score_bigrams(model: dict, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per held-out bigram ``-ln p`` under the model (unseen pairs and contexts
-    get the smoothing mass)."""
+def _pair_nll(model: dict, pairs: DataFrame) -> DataFrame:
+    """``(prev, next, n, nll)`` for distinct held-out pairs ``(prev, next, n)``:
+    unseen pairs and contexts get the smoothing mass."""
     k, v = model["k"], model["vocab_size"]
-    bg = bigrams(docs, text, key)
-    scored = (bg.join(model["bigrams"], ["prev", "next"], "left")
-              .join(model["contexts"], "prev", "left"))
+    seen = pairs.join(model["bigrams"], ["prev", "next"], "left")
+    sizes = seen.groupBy("prev").agg(F.count("*").alias("_rows")).join(model["contexts"].select("prev", "ctx_count"), "prev", "left")
+    scored = join_split_hot(seen, materialize_df(sizes, "held-out-contexts"), ["prev"], "_rows")
     c = F.coalesce(F.col("count"), F.lit(0)).cast("double")
     cp = F.coalesce(F.col("ctx_count"), F.lit(0)).cast("double")
-    return scored.select(key, "pos", "prev", "next", (-F.log((c + k) / (cp + F.lit(k) * v))).alias("nll"))
+    return scored.select("prev", "next", "n", (-F.log((c + k) / (cp + F.lit(k) * v))).alias("nll"))
+
+
+def score_bigrams(model: dict, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per held-out bigram ``-ln p`` under the model (unseen pairs and contexts
+    get the smoothing mass).  The model is looked up once per distinct pair; the
+    rows of frequent pairs stay where they are."""
+    bg = bigrams(docs, text, key)
+    pairs = materialize_df(bg.groupBy("prev", "next").agg(F.count("*").alias("n")), "held-out-pairs")
+    scored = materialize_df(_pair_nll(model, pairs), "held-out-nll")
+    return join_split_hot(bg, scored, ["prev", "next"], "n").select(key, "pos", "prev", "next", "nll")
 
 
 def lm_perplexity(model: dict, docs: DataFrame, text: str = "text", key: str = "doc_id",
                   per_document: bool = False) -> DataFrame:
     """Token-weighted mean loss and capped perplexity."""
-    s = score_bigrams(model, docs, text, key).withColumn("n", F.lit(1))
-    return weighted_loss_perplexity(s, "nll", "n", [key] if per_document else None)
+    if per_document:
+        pairs = bigrams(docs, text, key).groupBy(key, "prev", "next").agg(F.count("*").alias("m"))
+        pairs = materialize_df(pairs, "document-pairs")
+        every = materialize_df(pairs.groupBy("prev", "next").agg(F.count("*").alias("n")), "held-out-pairs")
+        scored = materialize_df(_pair_nll(model, every), "held-out-nll")
+        s = join_split_hot(pairs, scored, ["prev", "next"], "n").withColumnRenamed("m", "n")
+        return weighted_loss_perplexity(s, "nll", "n", [key])
+    pairs = bigrams(docs, text, key).groupBy("prev", "next").agg(F.count("*").alias("n"))
+    return weighted_loss_perplexity(_pair_nll(model, materialize_df(pairs, "held-out-pairs")), "nll", "n", None)
+
+
+def bigram_topk(model: dict, k: int = 10, temperature: float = 1.0) -> DataFrame:
+    """F11 on the bigram model.  Within a context the log-probability grows with the
+    count, so contexts are cut by count before anything is joined: the counts are a
+    stored table, each task keeps the k largest (and ties) of a context, and only
+    those are shuffled and get their log-probability."""
+    _check_topk(k, temperature)
+    kept = model["bigrams"]
+    if k > 0:
+        by_count = Window.partitionBy("prev").orderBy(F.col("count").desc())
+        kept = kept.withColumn("_rk", F.rank().over(by_count)).where(F.col("_rk") <= k).drop("_rk")
+        kept = materialize_df(kept, "topk-counts")
+        sizes = kept.groupBy("prev").agg(F.count("*").alias("n_next"))
+        contexts = model["contexts"].select("prev", "ctx_count").join(sizes, "prev")
+        model = {**model, "bigrams": kept, "contexts": materialize_df(contexts, "topk-contexts")}
+    return next_token_topk(bigram_logprobs(model), "prev", "next", "logp", k, temperature)
+
+
+def _check_topk(k: int, temperature: float) -> None:
+    if temperature <= 0:
+        raise ValueError("temperature must be > 0")
+    if k < 0:
+        raise ValueError("top_k must be >= 0")
 
 
 def next_token_topk(logits: DataFrame, context: str = "prev", token: str = "next", logit: str = "logp",
@@ -80,13 +125,12 @@ def next_token_topk(logits: DataFrame, context: str = "prev", token: str = "next
     whose value is at least the k-th largest (ties kept; ``k = 0`` keeps all),
     softmax over the kept tokens.
 
-    ``rank() <= k`` plans as a partial WindowGroupLimit before the shuffle, so
-    a context with millions of successors ships at most k (+ ties) rows per
-    map task; the softmax denominators are grouped aggregates joined back."""
-    if temperature <= 0:
-        raise ValueError("temperature must be > 0")
-    if k < 0:
-        raise ValueError("top_k must be >= 0")
+    On a stored table ``rank() <= k`` plans as a partial WindowGroupLimit before
+    the shuffle, so a context with millions of successors ships at most k (+ ties)
+    rows per map task; a table that is already partitioned by context has no such
+    shuffle (for the bigram model see :func:`bigram_topk`).  With ``k = 0`` the
+    denominators are grouped aggregates joined back, hot contexts by broadcast."""
+    _check_topk(k, temperature)
     scaled = logits.select(context, token, (F.col(logit) / temperature).alias("_l"))
     if k > 0:
         # after the limit each context holds at most k (+ ties) rows, already
@@ -98,7 +142,9 @@ def next_token_topk(logits: DataFrame, context: str = "prev", token: str = "next
         ex = ex.withColumn("_den", F.sum("_e").over(whole))
     else:
         # all successors: grouped (partially aggregated) max / sum, joined back
-        mx = scaled.groupBy(context).agg(F.max("_l").alias("_mx"))
-        ex = scaled.join(mx, context).withColumn("_e", F.exp(F.col("_l") - F.col("_mx")))
-        ex = ex.join(ex.groupBy(context).agg(F.sum("_e").alias("_den")), context)
+        top = scaled.groupBy(context).agg(F.max("_l").alias("_mx"), F.count("*").alias("_n"))
+        ex = join_split_hot(scaled, materialize_df(top, "context-maxima"), [context], "_n") \
+            .withColumn("_e", F.exp(F.col("_l") - F.col("_mx")))
+        den = ex.groupBy(context).agg(F.sum("_e").alias("_den"), F.count("*").alias("_n"))
+        ex = join_split_hot(ex, materialize_df(den, "context-sums"), [context], "_n")
     return ex.select(context, token, F.col("_l").alias("logit"), (F.col("_e") / F.col("_den")).alias("prob"))

@@ -518,8 +518,7 @@ def q_lm_perplexity(spark, sf):
 
 @register("next_token_topk")
 def q_next_token_topk(spark, sf):
-    lp = LM.bigram_logprobs(LM.train_ngram_lm(table(spark, sf, "documents"), k=1.0))
-    top = LM.next_token_topk(lp, "prev", "next", "logp", k=3, temperature=0.8)
+    top = LM.bigram_topk(LM.train_ngram_lm(table(spark, sf, "documents"), k=1.0), k=3, temperature=0.8)
     return top.select("prev", "next", _r("prob").alias("prob"))
 
 

@@ -89,3 +89,70 @@ def test_classifiers_train_as_long_as_the_operator_does(spark, monkeypatch, name
     with pytest.raises(Stop):
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == [50]
+
+
+def _hot_pairs(spark, n=6000):
+    """A third of all bigrams follow one word."""
+    from pyspark.sql import functions as F
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.when(
+        F.col("id") % 3 == 0, F.concat(F.lit("the w"), F.col("id").cast("string"))).otherwise(
+        F.concat(F.lit("a"), (F.col("id") % 500).cast("string"), F.lit(" b"), (F.col("id") % 77).cast("string"))).alias("text"))
+
+
+def test_hot_context_is_split_off(spark):
+    from pyspark.sql import functions as F
+    from corpusflow.operators import keys, lm
+    model = lm.train_ngram_lm(_hot_pairs(spark))
+    plain = model["bigrams"].join(model["contexts"].drop("n_next"), "prev")
+    split = keys.join_split_hot(model["bigrams"], model["contexts"], ["prev"], "n_next")
+    assert split.select(sorted(split.columns)).exceptAll(plain.select(sorted(plain.columns))).count() == 0
+    assert split.count() == plain.count()
+    # with broadcasts off only the cold rows are shuffled: no key with more than a thousandth of the rows
+    total = model["bigrams"].count()
+    cold = model["contexts"].where(F.col("n_next") * keys.HOT_SHARE <= total)
+    assert "the" not in {r["prev"] for r in cold.select("prev").collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _plan(split).count("SortMergeJoin") == 1 and _plan(split).count("BroadcastHashJoin") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    left = keys.join_split_hot(model["bigrams"].select("prev"), model["contexts"].where("prev <> 'the'"), ["prev"], "n_next", "left")
+    assert left.where("ctx_count is null").count() == left.where("prev = 'the'").count() > 0
+
+
+def test_topk_is_cut_before_the_shuffle(spark, monkeypatch):
+    from corpusflow.operators import lm
+    from corpusflow.session import materialize
+    plans = {}
+
+    def look(df, name="stage"):
+        plans[name] = _plan(df)
+        return materialize(df, name)
+
+    docs = _hot_pairs(spark)
+    model = lm.train_ngram_lm(docs)
+    want = lm.next_token_topk(lm.bigram_logprobs(model), k=3, temperature=0.8)
+    monkeypatch.setattr(lm, "materialize_df", look)
+    got = lm.bigram_topk(model, k=3, temperature=0.8)
+    plan = plans["topk-counts"]
+    assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+    key = lambda r: (r["prev"], r["next"], round(r["prob"], 9))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    every = lm.bigram_topk(model, k=0)
+    sums = every.groupBy("prev").sum("prob").collect()
+    assert all(abs(r[1] - 1) < 1e-9 for r in sums) and every.count() == model["bigrams"].count()
+
+
+def test_perplexity_by_pairs_equals_row_scores(spark):
+    from pyspark.sql import functions as F
+    from corpusflow.operators import lm
+    docs = _hot_pairs(spark, 900)
+    held = spark.createDataFrame([(1, "the w3 unseen a1 b1"), (2, "the the"), (3, ""), (4, None)], "doc_id long, text string")
+    model = lm.train_ngram_lm(docs)
+    rows = lm.score_bigrams(model, held.where("text is not null")).groupBy("doc_id").agg(F.avg("nll").alias("l")).collect()
+    got = lm.lm_perplexity(model, held.where("text is not null"), per_document=True).collect()
+    assert {r["doc_id"]: round(r["avg_loss"], 9) for r in got} == {r["doc_id"]: round(r["l"], 9) for r in rows}
+    whole = lm.lm_perplexity(model, held.where("text is not null")).first()["avg_loss"]
+    flat = lm.score_bigrams(model, held.where("text is not null")).agg(F.avg("nll")).first()[0]
+    assert round(whole, 9) == round(flat, 9)
