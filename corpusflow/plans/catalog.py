@@ -492,12 +492,25 @@ def q_extract_links(spark, sf):
     return links.select("page_id", "pos", _normalize_url(F.col("raw")).alias("dst"))
 
 
+def _linked_pages(spark, sf):
+    """The stored pages with links among them: page i also has anchors to pages
+    16 i + 1 .. 16 i + 16, so that all are reached from the first within a few levels."""
+    pages = _pages(spark, sf)
+    parent = F.floor((F.col("page_id") - 1) / 16).cast("bigint")
+    anchors = pages.where("page_id > 0").groupBy(parent.alias("page_id")).agg(
+        F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("to"))
+    more = F.array_join(F.transform("to", lambda t: F.concat(F.lit('<a href="'), t["url"], F.lit('"></a>'))), "")
+    return pages.join(anchors, "page_id", "left").select(
+        "page_id", "url", F.concat("html", F.coalesce(more, F.lit(""))).alias("html"))
+
+
 @register("crawl_bfs")
 def q_crawl_bfs(spark, sf):
-    pages = _pages(spark, sf)
+    """C7 from the first page: every page that its parent's kept text leads to, four levels deep."""
+    pages = _linked_pages(spark, sf)
     rules = W.rules_frame(spark, W.parse_allow_rules(["example.com", "example.net", "example.org"]))
-    return W.crawl_bfs(pages, pages.select("url"), rules, max_depth=3, min_text_length=200,
-                       max_pages=None).select("url", "depth", F.length("text").cast("bigint").alias("n_chars"))
+    out = W.crawl_bfs(pages, pages.where("page_id = 0").select("url"), rules, max_depth=4, min_text_length=200, max_pages=None)
+    return out.select("url", "depth", F.length("text").cast("bigint").alias("n_chars"))
 
 
 # ------------------------------------------------------------------ language model, BPE, ML

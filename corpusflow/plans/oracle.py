@@ -582,3 +582,14 @@ SELECT doc_id % 4 = 0 AS not_finite, count(*) AS n, CAST(sum(doc_id) AS BIGINT)
 FROM documents WHERE doc_id % 4 <> 3 GROUP BY 1
 UNION ALL
 SELECT false, count(*), NULL, NULL, true FROM documents WHERE doc_id % 4 = 3"""
+
+# a page is reached if its parent is kept; of reached pages with one text the first in the queue (here: by page_id) is kept
+SQL["crawl_bfs"] = f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT page_id, url, {_visible_text('html')} AS text FROM pages),
+n AS MATERIALIZED (SELECT page_id, {NORM} AS url, text, length(text) AS n_chars FROM ({_with_url_parts('t', 'url')})),
+k AS MATERIALIZED (SELECT * FROM n a WHERE n_chars >= 200
+     AND NOT EXISTS (SELECT 1 FROM n b WHERE b.text = a.text AND b.page_id < a.page_id)),
+r(page_id, depth) AS (SELECT page_id, 0 FROM k WHERE page_id = 0
+     UNION ALL SELECT k.page_id, r.depth + 1 FROM r JOIN k ON (k.page_id - 1) // 16 = r.page_id AND k.page_id > 0
+     WHERE r.depth < 4)
+SELECT k.url, CAST(r.depth AS INTEGER) AS depth, CAST(k.n_chars AS BIGINT) AS n_chars FROM r JOIN k USING (page_id)"""

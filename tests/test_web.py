@@ -50,10 +50,61 @@ def test_crawl_edge_table(spark):
     seeds = spark.createDataFrame([("http://a.test/",)], "url string")
     out = {r["url"]: r["depth"] for r in W.crawl_bfs(df, seeds, rules, max_depth=2, min_text_length=20,
                                                      max_pages=None).collect()}
-    # /dup and /p1 share a text: (depth, url) order keeps /dup and drops /p1;
-    # p2 is still reached through /dup's own link
-    assert out == {"http://a.test/": 0, "http://a.test/dup": 1, "http://a.test/p2": 2}
-    df2 = df.where(F.col("url") != "http://a.test/dup")
+    # /p1 and /dup share a text: /p1 stands first in the queue, p2 is reached through it
+    assert out == {"http://a.test/": 0, "http://a.test/p1": 1, "http://a.test/p2": 2}
+    df2 = df.where(F.col("url") != "http://a.test/p1")
     out2 = {r["url"]: r["depth"] for r in W.crawl_bfs(df2, seeds, rules, max_depth=2, min_text_length=20,
                                                       max_pages=None).collect()}
-    assert out2 == {"http://a.test/": 0, "http://a.test/p1": 1, "http://a.test/p2": 2}
+    assert out2 == {"http://a.test/": 0, "http://a.test/dup": 1, "http://a.test/p2": 2}
+
+
+def _queue_crawl(pages, seeds, max_depth, min_chars, max_pages):
+    """The crawl as a loop over a queue."""
+    import hashlib
+    from collections import deque
+    queue, known, hashes, out = deque((u, 0) for u in sorted(seeds)), set(seeds), set(), []
+    while queue and len(out) < max_pages:
+        url, depth = queue.popleft()
+        if url not in pages:
+            continue
+        page = parse_page(pages[url], url)
+        h = hashlib.md5(page["text"].encode()).hexdigest()
+        if len(page["text"]) < min_chars or h in hashes:
+            continue
+        hashes.add(h)
+        out.append((url, depth))
+        for link in page["links"] if depth < max_depth else []:
+            if link not in known:
+                known.add(link)
+                queue.append((link, depth + 1))
+    return out
+
+
+def test_crawl_takes_pages_first_in_first_out(spark):
+    """Random link graphs with shared texts, cycles and a page cap."""
+    import random
+    rnd = random.Random(3)
+    names = [f"http://a.test/{rnd.randrange(10 ** 6)}" for _ in range(60)]
+    pages = {u: _page(f"text {i % 23} " + "word " * 6, rnd.sample(names, rnd.randint(0, 6))) for i, u in enumerate(names)}
+    df = spark.createDataFrame(list(pages.items()), "url string, html string")
+    rules = W.rules_frame(spark, W.parse_allow_rules(["a.test"]))
+    seeds = spark.createDataFrame([(u,) for u in names[:3]], "url string")
+    for cap in (10 ** 6, 17):
+        got = {r["url"]: r["depth"] for r in W.crawl_bfs(df, seeds, rules, max_depth=4, min_text_length=5, max_pages=cap).collect()}
+        assert got == dict(_queue_crawl(pages, names[:3], 4, 5, cap))
+    assert max(got.values()) >= 1
+
+
+def test_rules_are_matched_per_host(spark):
+    """A host with nearly all URLs, also with broadcasts off: it is not shuffled with its rows."""
+    urls = [f"http://big.test/{'en' if i % 2 else 'fr'}/{i}" for i in range(3000)] + ["http://x.y.z.test/q", "http://none.example/"]
+    df = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, _path int")
+    rules = W.rules_frame(spark, W.parse_allow_rules(["big.test/en", "z.test", "y.z.test/q"]))
+    out = W.allowed_urls(df, rules)
+    assert out.columns == df.columns and out.count() == 1501
+    robots = spark.createDataFrame([("big.test", "*", 1, "/en/1", False), ("big.test", "*", 2, "/", True)],
+                                   "host string, agent string, seq int, prefix string, allow boolean")
+    got = W.robots_allowed(df.select("url"), robots)
+    assert got.where("not robots_ok").count() == sum(u.startswith("http://big.test/en/1") for u in urls)
+    assert got.count() == len(urls)
+    assert W.allowed_urls(df.limit(0), rules).count() == 0
