@@ -45,12 +45,15 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, ranks = [], [], []
         for level in reversed(range(bits)):
-            one = (values >> level & 1).astype(bool)
+            one = (values & values.dtype.type(1 << level)) != 0
             packed = np.packbits(one)
             planes.append(packed.tobytes())
-            ones = values[one]
-            values = np.concatenate((values[~one], ones))
-            zeros.append(len(values) - len(ones))
+            z = len(one) - int(np.count_nonzero(one))
+            parted = np.empty_like(values)
+            np.compress(~one, values, out=parted[:z])
+            np.compress(one, values, out=parted[z:])
+            values = parted
+            zeros.append(z)
             per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), _RANK_BITS // 8),
                                   dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
             ranks.append(np.r_[0, np.cumsum(per)].astype("<u4").tobytes())

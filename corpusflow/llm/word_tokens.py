@@ -28,7 +28,7 @@ _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"       # composed
 _PLAIN = re.compile(f"[!-&(-~{_LATIN}]+")      # no apostrophe: the file knows contractions
 _PARTS = re.compile(f"[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
 _SIGNS = frozenset(string.punctuation.replace("'", "").encode())
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_000_000
 
 
 class WordTokenizer:
