@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.session import materialize
+
 DEFAULT_BUCKETS = 1024
 HOT_SHARE = 1000                  # keys with more than this part of all rows are joined by broadcast
 
@@ -194,3 +196,10 @@ def join_split_hot(rows: DataFrame, info: DataFrame, keys: list[str], n_rows: st
     cold = marked.where(F.col("_hot").isNull()).drop("_hot").join(info.where(~hot).drop(n_rows), keys, how)
     held = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(info.where(hot).drop(n_rows)), keys)
     return cold.unionByName(held)
+
+
+def stored_in_order(df: DataFrame, order: list, name: str = "ordered", out: str = "_part") -> DataFrame:
+    """``df`` range-sorted by any sortable columns and stored, with the range it
+    stands in: a bucket for :func:`global_position` that needs no numeric key."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, *order).withColumn(out, F.spark_partition_id().cast("bigint")), name)

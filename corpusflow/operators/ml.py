@@ -7,6 +7,10 @@ evaluated with the same metric operators (E5 / E6)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -69,6 +73,58 @@ def score_table(model: PipelineModel, df: DataFrame, sentinel: int = -1) -> Data
     return scored.unionByName(failed)
 
 
+def score_rows(df: DataFrame, make_model, text: str = "text", sentinel: int = -1, batch_rows: int = 256) -> DataFrame:
+    """J2 for models that are no Spark ML pipelines: ``probs``, ``pred`` (argmax,
+    first on ties) and ``conf`` for every row.
+
+    ``make_model()`` is called once per task and returns a function from a list of
+    texts to a matrix of probabilities (a row each).  Texts go through it in batches
+    of ``batch_rows``; where a batch fails its rows are tried one by one, and a row
+    that fails, gives values that are not finite, or has a null text gets
+    ``(null, sentinel, 0.0)`` without hurting the others."""
+    def failed():
+        return None, sentinel, 0.0
+
+    def judged(row) -> tuple:
+        row = np.asarray(row, float)
+        if row.ndim != 1 or not len(row) or not np.isfinite(row).all():
+            return failed()
+        best = int(row.argmax())
+        return row.tolist(), best, float(row[best])
+
+    def one_by_one(model, texts: list) -> list:
+        out = []
+        for t in texts:
+            try:
+                out.append(judged(model([t])[0]))
+            except Exception:                    # one bad row must not cost the others
+                out.append(failed())
+        return out
+
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = make_model()
+        for column in columns:
+            out = [failed()] * len(column)
+            texts = column.to_pylist()
+            there = [i for i, t in enumerate(texts) if t is not None]
+            for at in range(0, len(there), batch_rows):
+                part = there[at:at + batch_rows]
+                try:
+                    rows = model([texts[i] for i in part])
+                    if len(rows) != len(part):
+                        raise ValueError("a model gives one row per text")
+                    found = list(map(judged, rows))
+                except Exception:
+                    found = one_by_one(model, [texts[i] for i in part])
+                for i, x in zip(part, found):
+                    out[i] = x
+            yield pa.array([dict(zip(("probs", "pred", "conf"), x)) for x in out], pa.struct(
+                [("probs", pa.list_(pa.float64())), ("pred", pa.int32()), ("conf", pa.float64())]))
+
+    scored = F.arrow_udf(score, "struct<probs: array<double>, pred: int, conf: double>")
+    return df.withColumn("_s", scored(F.col(text).cast("string"))).select(*df.columns, "_s.probs", "_s.pred", "_s.conf")
+
+
 def evaluate_splits(model: PipelineModel, splits: DataFrame, split: str = "split") -> DataFrame:
     """J1 held-out metrics: E5 per split of the scored table."""
     scored = score_table(model, splits)

@@ -205,6 +205,25 @@ def q_binary_metrics(spark, sf):
     return m.select("run", *[_r(c).alias(c) for c in M.METRICS])
 
 
+@register("accuracy")
+def q_accuracy(spark, sf):
+    """E12 per run, over rows that every model predicted."""
+    from corpusflow.functions.arrays import valid_predictions
+    p = predictions(spark, sf).where(valid_predictions("pred_a", "pred_b"))
+    return M.accuracy(p, "label", "pred_b", ["run"]).select("run", _r("accuracy").alias("accuracy"))
+
+
+@register("empty_input_default")
+def q_empty_input_default(spark, sf):
+    """First lines of utterances, blank ones among them, with the default scores."""
+    from corpusflow.functions.arrays import empty_input_default
+    conv = table(spark, sf, "conversations")
+    head = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.lit(" \n"))
+    share = F.length(head) / F.lit(1000.0)
+    probs = empty_input_default(head, F.array(1 - share, share))
+    return conv.select("conv_id", "turn", _r(probs[0]).alias("p0"), _r(probs[1]).alias("p1"))
+
+
 @register("macro_metrics")
 def q_macro_metrics(spark, sf):
     p = predictions(spark, sf)
@@ -341,6 +360,14 @@ def q_char_vocab(spark, sf):
     return V.build_char_vocab(table(spark, sf, "documents"))
 
 
+@register("vocab_round_trip")
+def q_vocab_round_trip(spark, sf):
+    """I8: the character vocabulary saved and loaded, with its length limit."""
+    path = _scratch(spark, "vocab")
+    V.save_vocab(V.build_char_vocab(table(spark, sf, "documents")), path, max_len=128)
+    return V.load_vocab(spark, path).select("token", "id", F.col("max_len").cast("bigint").alias("max_len"))
+
+
 @register("encode_fixed")
 def q_encode_fixed(spark, sf):
     enc = V.encode_fixed(labelled(spark, sf), _train_vocab(spark, sf), max_len=64)
@@ -535,6 +562,14 @@ def q_next_token_topk(spark, sf):
     return top.select("prev", "next", _r("prob").alias("prob"))
 
 
+@register("pretokens")
+def q_pretokens(spark, sf):
+    """Normalised, lower-cased pre-tokens of every utterance, as byte symbols."""
+    toks = B.pretokens(table(spark, sf, "conversations"), lowercase=True)
+    return toks.groupBy("pretoken").agg(F.count("*").alias("n")).select(
+        "pretoken", "n", F.size(B.to_byte_symbols(F.col("pretoken"))).cast("bigint").alias("n_bytes"))
+
+
 @register("pretoken_counts")
 def q_pretoken_counts(spark, sf):
     return B.pretoken_counts(table(spark, sf, "documents"), min_frequency=2)
@@ -558,7 +593,29 @@ def q_text_classifier(spark, sf):
 def q_score_table(spark, sf):
     sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
     model = ML.train_text_classifier(sp.where(F.col("split") == "train"))
-    return ML.score_table(model, sp.where(F.col("split") == "test")).select("doc_id", "label", "pred", "conf")
+    return ML.score_table(model, labelled(spark, sf)).select("doc_id", "label", "pred", "conf")
+
+
+def _letter_shares():
+    """A model that is no Spark pipeline: the shares of ``a`` and ``e`` among both,
+    in halves; it fails on a text that holds a ``|``, and on one without either."""
+    def predict(texts):
+        out = []
+        for t in texts:
+            if "|" in t:
+                raise ValueError("this model knows no tables")
+            a, e = t.count("a"), t.count("e")
+            out.append([a / (a + e), e / (a + e)])
+        return out
+
+    return predict
+
+
+@register("score_rows")
+def q_score_rows(spark, sf):
+    """J2 with any Python model: batches with a failing row cost only that row."""
+    out = ML.score_rows(table(spark, sf, "documents").select("doc_id", "text"), _letter_shares)
+    return out.select("doc_id", "pred", _r("conf").alias("conf"))
 
 
 @register("multi_seed_runs")
@@ -621,17 +678,71 @@ def q_jsonl_lenient(spark, sf):
 
 @register("csv_roundtrip")
 def q_csv_roundtrip(spark, sf):
-    """I4 -> A1 / A3: split CSVs with multi-line texts written and read back."""
+    """I4: split CSVs with multi-line texts written and read back."""
     root = _scratch(spark, "csv")
     sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
     K.write_csv(sp.select("doc_id", "text", "label", "split"), root, partition_by="split")
     back = spark.read.csv(root, header=True, multiLine=True, escape='"', inferSchema=True)
-    tl = R.read_labelled(spark, root)
-    assert tl.columns == ["text", "label"]
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("label").cast("int").alias("label"),
                        F.md5("text").alias("text_md5"), "split")
 
 
+@register("read_labelled")
+def q_read_labelled(spark, sf):
+    """A1: a CSV whose columns have other names, asserted, projected and renamed."""
+    root = _scratch(spark, "labelled")
+    K.write_csv(labelled(spark, sf).withColumnsRenamed({"text": "tweet", "label": "hate"}), root)
+    out = R.read_labelled(spark, root, "tweet", "hate")
+    return out.select(F.md5("text").alias("text_md5"), F.col("label").cast("int").alias("label"))
+
+
+@register("read_table_by_extension")
+def q_read_table(spark, sf):
+    """A3: one table written as .csv, .tsv and .jsonl and read by its extension."""
+    root = _scratch(spark, "tables")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text")
+    K.write_csv(docs, f"{root}/t.csv")
+    docs.write.option("header", True).option("sep", "\t").option("escape", '"').csv(f"{root}/t.tsv")
+    K.write_jsonl(docs, f"{root}/t.jsonl")
+    out = None
+    for ext in ("csv", "tsv", "jsonl"):
+        part = R.read_table_by_extension(spark, f"{root}/t.{ext}").select(
+            F.lit(ext).alias("ext"), F.col("doc_id").cast("bigint").alias("doc_id"), "lang",
+            F.col("n_chars").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("discover_tables")
+def q_discover_tables(spark, sf):
+    """A4 + B1 + B2: of three candidate files the first has one column, the second no
+    label; the third is normalised."""
+    root = _scratch(spark, "discover")
+    K.write_jsonl(table(spark, sf, "benchmark").select("text").coalesce(1), f"{root}/a.jsonl")
+    K.write_csv(table(spark, sf, "documents").select("text", "doc_id").coalesce(1), f"{root}/b.csv")
+    K.write_csv(labelled(spark, sf).select("text", "label").coalesce(1), f"{root}/c.csv")
+    out, found = R.discover_table(spark, root, L.normalize_labelled)
+    assert "/c.csv/" in found["path"]
+    return out.select(F.md5("text").alias("text_md5"), "label")
+
+
+@register("list_files")
+def q_list_files(spark, sf):
+    """Files of a nested folder by path parts, read in that order."""
+    root = _scratch(spark, "listing")
+    table(spark, sf, "documents").select("lang", "text").coalesce(1).write.partitionBy("lang").json(f"{root}/by")
+    names = [r["path"].rsplit("/", 2)[1] for r in R.list_files(spark, root, (".json",)).toLocalIterator()]
+    return spark.createDataFrame([(i, n.split("=")[1]) for i, n in enumerate(names)], "pos int, lang string")
+
+
+@register("resolve_text_column")
+def q_resolve_text_column(spark, sf):
+    """The preferred column if it is there, else the first of a string type."""
+    pages = _pages(spark, sf)
+    first, preferred = R.resolve_text_column(pages, "body"), R.resolve_text_column(pages, "html")
+    return pages.select("page_id", F.md5(first).alias("first_md5"), F.md5(preferred).alias("preferred_md5"))
+
+
 @register("collect_texts")
 def q_collect_texts(spark, sf):
     """A5: .txt (conversations), .csv (benchmark) and JSON lines (documents)."""
@@ -721,3 +832,15 @@ def q_align_predictions(spark, sf):
 def q_report_json(spark, sf):
     """The reduction report as one JSON document."""
     return K.report_row(preprocess_report(table(spark, sf, "documents")))
+
+
+@register("write_report")
+def q_write_report(spark, sf):
+    """A report of counts written as one JSON document and read back."""
+    path = _scratch(spark, "report")
+    counts = {r["source"]: r["n_texts"] for r in q_load_corpus(spark, sf).collect()}
+    K.write_report(spark, {"sources": counts, "note": "größer"}, path)
+    return spark.read.text(path).select(
+        F.get_json_object("value", "$.sources.documents").cast("bigint").alias("documents"),
+        F.get_json_object("value", "$.sources.benchmark").cast("bigint").alias("benchmark"),
+        F.get_json_object("value", "$.note").alias("note"))

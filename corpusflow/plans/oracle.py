@@ -593,3 +593,45 @@ r(page_id, depth) AS (SELECT page_id, 0 FROM k WHERE page_id = 0
      UNION ALL SELECT k.page_id, r.depth + 1 FROM r JOIN k ON (k.page_id - 1) // 16 = r.page_id AND k.page_id > 0
      WHERE r.depth < 4)
 SELECT k.url, CAST(r.depth AS INTEGER) AS depth, CAST(k.n_chars AS BIGINT) AS n_chars FROM r JOIN k USING (page_id)"""
+
+
+# ------------------------------------------------------------------ readers, sinks, scoring
+
+# the text holds no runs of white space and nothing that NFKC changes, so the pattern needs no look-ahead
+_PRETOKENS = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+"
+_PREFIXED = "CASE WHEN starts_with({t}, ' ') THEN {t} ELSE ' ' || {t} END"
+
+SQL.update({
+    "read_labelled": f"SELECT md5(text) AS text_md5, label FROM {LABELLED}",
+    "read_table_by_extension": """
+SELECT ext, doc_id, lang, n_chars, md5(text) AS text_md5
+FROM documents, (SELECT unnest(['csv', 'tsv', 'jsonl']) AS ext)""",
+    "discover_tables": f"SELECT md5(text) AS text_md5, label FROM {LABELLED}",
+    "list_files": """
+SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS pos, lang FROM (SELECT DISTINCT lang FROM documents)""",
+    "resolve_text_column": "SELECT page_id, md5(url) AS first_md5, md5(html) AS preferred_md5 FROM pages",
+    "vocab_round_trip": f"SELECT token, id, CAST(128 AS BIGINT) AS max_len FROM ({SQL['char_vocab']})",
+    "pretokens": f"""
+SELECT pretoken, count(*) AS n, CAST(any_value(octet_length(encode(pretoken))) AS BIGINT) AS n_bytes FROM (
+  SELECT unnest(regexp_extract_all({_PREFIXED.format(t="lower(text)")}, '{_PRETOKENS.replace("'", "''")}')) AS pretoken
+  FROM conversations) GROUP BY pretoken""",
+    "pretoken_counts": f"""
+SELECT pretoken, count(*) AS freq FROM (
+  SELECT unnest(regexp_extract_all({_PREFIXED.format(t="text")}, '{_PRETOKENS.replace("'", "''")}')) AS pretoken
+  FROM documents) GROUP BY pretoken HAVING count(*) >= 2""",
+    "accuracy": f"""
+SELECT run, round(avg(CAST(pred_b = label AS DOUBLE)), 9) AS accuracy FROM {P}
+WHERE pred_a <> -1 AND pred_b <> -1 GROUP BY run""",
+    "empty_input_default": """
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND length(trim(text)) > 0 THEN round(1 - length(text) / 1000.0, 9) ELSE 1.0 END AS p0,
+       CASE WHEN turn % 2 = 0 AND length(trim(text)) > 0 THEN round(length(text) / 1000.0, 9) ELSE 0.0 END AS p1 FROM conversations""",
+    "score_rows": """
+SELECT doc_id, CAST(CASE WHEN ok THEN CASE WHEN e > a THEN 1 ELSE 0 END ELSE -1 END AS INTEGER) AS pred,
+       CASE WHEN ok THEN round(greatest(a, e) / (a + e), 9) ELSE 0.0 END AS conf
+FROM (SELECT *, NOT contains(text, '|') AND a + e > 0 AS ok FROM (
+      SELECT doc_id, text, CAST(length(text) - length(replace(text, 'a', '')) AS DOUBLE) AS a,
+             CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS e FROM documents))""",
+    "report_json": f"SELECT CAST(to_json(r) AS VARCHAR) AS report FROM ({SQL['reduction_report']}) r",
+    "write_report": """
+SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM benchmark) AS benchmark, 'größer' AS note""",
+})

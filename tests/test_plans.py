@@ -156,3 +156,65 @@ def test_perplexity_by_pairs_equals_row_scores(spark):
     whole = lm.lm_perplexity(model, held.where("text is not null")).first()["avg_loss"]
     flat = lm.score_bigrams(model, held.where("text is not null")).agg(F.avg("nll")).first()[0]
     assert round(whole, 9) == round(flat, 9)
+
+
+def _without_broadcasts(spark, make):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return _plan(make())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_preprocess_shuffles_texts_once(spark):
+    """With broadcasts off: one join, and only its exchange of the documents holds texts."""
+    from corpusflow.plans.corpus import preprocess_corpus
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    for mode in ("paragraph", "document"):
+        plan = _without_broadcasts(spark, lambda: preprocess_corpus(docs, dedup_mode=mode))
+        assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange") == 2 and "Window" not in plan
+
+
+def test_distinct_texts_are_not_a_key(spark):
+    from pyspark.sql import functions as F
+    from corpusflow.operators import dedup
+    rows = [(3, "b", 1), (1, "a", 2), (2, "a", 3), (1, "a", 4), (None, "c", 5), (5, None, 6), (4, None, 7), (7, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    got = [(r["doc_id"], r["text"]) for r in dedup.distinct_keep_first(df).collect()]
+    assert sorted(got, key=repr) == sorted([(3, "b"), (1, "a"), (None, "c"), (4, None), (7, "")], key=repr)
+    plan = _without_broadcasts(spark, lambda: dedup.distinct_keep_first(df.withColumn("text", F.col("text"))))
+    assert not [x for x in plan.splitlines() if ("hashpartitioning" in x or "Sort [" in x) and "(text" in x]
+
+
+def test_many_labels(spark):
+    from pyspark.sql import functions as F
+    from corpusflow.operators import labels as L
+    df = spark.range(200_000).select(F.concat(F.lit("l"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("label"))
+    mapping = L.label_ids(df.unionByName(df.limit(1000)))
+    got = mapping.agg(F.count("*"), F.min("label_id"), F.max("label_id"), F.count_distinct("label_id")).first()
+    assert tuple(got) == (200_000, 0, 199_999, 200_000)
+    assert mapping.where("label_id = 77").first()["label_str"] == "l0000077"
+    hot = df.limit(10).unionByName(spark.range(5000).select(F.lit("l0000003").alias("label")))
+    out = L.apply_label_ids(hot, mapping)
+    assert out.columns == ["label", "label_id"] and out.where("label_id = 3").count() == 5001
+    with pytest.raises(ValueError, match="labels without an id"):
+        L.apply_label_ids(spark.createDataFrame([("new",), (None,)], "label string"), mapping)
+    named = L.label_names(spark.createDataFrame([(3,), (-7,), (None,)], "pred long"), mapping)
+    assert sorted(map(tuple, named.collect()), key=repr) == sorted([(3, "l0000003"), (-7, "-7"), (None, None)], key=repr)
+
+
+def test_rows_scored_by_any_model(spark):
+    from corpusflow.operators import ml
+
+    def make():
+        def model(texts):
+            if any(t == "bad" for t in texts):
+                raise RuntimeError("no")
+            return [[float("nan"), 1.0] if t == "nan" else [0.5, 0.5] if t == "tie" else [0.2, 0.8] for t in texts]
+        return model
+
+    df = spark.createDataFrame([(0, "x"), (1, "bad"), (2, None), (3, "nan"), (4, "tie"), (5, "y")], "id long, text string")
+    got = {r["id"]: (r["pred"], r["conf"]) for r in ml.score_rows(df, make, batch_rows=3).collect()}
+    assert got == {0: (1, 0.8), 1: (-1, 0.0), 2: (-1, 0.0), 3: (-1, 0.0), 4: (0, 0.5), 5: (1, 0.8)}
+    assert ml.score_rows(df.limit(0), make).count() == 0
