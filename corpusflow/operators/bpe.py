@@ -2,26 +2,19 @@
 histogram (E16) and merge learning on it (E17).
 
 The heavy half — splitting the whole corpus into pre-tokens and counting them
-— is one ``groupBy(pretoken).count()`` with partial aggregation.  Merge
-learning then iterates on the *distinct* histogram only.  A histogram of at most
-``LOCAL_SYMBOLS`` symbols is learnt in the driver's memory; a longer one by Spark,
-with the same merges: per round one grouped pair count, one best pair back on the
-driver (a single row) and one regular-expression rewrite of the words holding it.
-The word table is
-written to the shared checkpoint folder at the start and every few rounds, so
-lineage stays short and a lost executor costs at most those rounds.
-
-Tie-break among equally frequent pairs (the reference leaves it to a
-third-party library): highest count, then smallest left, then smallest right
-symbol."""
+— is one ``groupBy(pretoken).count()`` with partial aggregation.  Merge learning
+(:func:`bpe_train`) then works on the *distinct* histogram, many merges a round.
+Every round's tables are written to the shared checkpoint folder, so a lost
+executor costs one round at most."""
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +26,7 @@ SPECIAL_TOKENS = ["<pad>", "<s>", "</s>", "<unk>", "<mask>"]
 # GPT-2 style byte-level pre-tokenisation pattern (Unicode classes).
 PRETOKEN_RE = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEP = "\u0001"
-# Symbols of distinct words up to which merges are learnt in the driver's memory.
-LOCAL_SYMBOLS = 2_000_000
+_FLUSH = 200_000                  # delta rows that a task holds before it passes them on
 
 
 def byte_alphabet() -> list[str]:
@@ -83,94 +75,187 @@ def pretoken_counts(docs: DataFrame, text: str = "text", min_frequency: int = 1,
     return h.where(F.col("freq") >= min_frequency)
 
 
-def _java_escape(s: str) -> str:
-    return "".join(ch if ch.isalnum() else "\\" + ch for ch in s)
-
-
-def learn_merges(words: list[tuple[list[str], int]], n_merges: int,
-                 min_frequency: int) -> list[tuple[int, str, str, int]]:
-    """``(rank, left, right, count)`` of the merges learnt on ``(symbols, freq)``;
-    only the words that hold the merged pair are looked at again."""
-    counts: Counter = Counter()
-    holders = defaultdict(set)
-    for i, (w, f) in enumerate(words):
-        for p in zip(w, w[1:]):
-            counts[p] += f
-            holders[p].add(i)
-    words = list(words)
-    heap = [(-c, *p) for p, c in counts.items()]
-    heapq.heapify(heap)
-    merges: list[tuple[int, str, str, int]] = []
-    while heap and len(merges) < n_merges:
-        c, a, b = heapq.heappop(heap)
-        if counts.get((a, b), 0) != -c:          # an entry from before the count changed
-            continue
-        if -c < max(1, min_frequency):
+def _segmented(symbols: list[str], times: dict, seen=None) -> list[str]:
+    """A word after the merges ``times`` (pair -> ascending ranks from 1), taken in
+    rank order; at each rank all places of its pair are merged from the left.
+    ``seen(rank, before, after)`` is told of every change."""
+    now = 0
+    while len(symbols) > 1:
+        best = None
+        for pair in zip(symbols, symbols[1:]):
+            for t in times.get(pair, ()):
+                if t > now:
+                    if best is None or t < best[0]:
+                        best = (t, pair)
+                    break
+        if best is None:
             break
-        merges.append((len(merges), a, b, -c))
-        changed: Counter = Counter()
-        for i in holders.pop((a, b)):
-            w, f = words[i]
-            new, k = [], 0
-            while k < len(w):
-                both = w[k] == a and k + 1 < len(w) and w[k + 1] == b
-                new.append(a + b if both else w[k])
-                k += 2 if both else 1
-            before, after = Counter(zip(w, w[1:])), Counter(zip(new, new[1:]))
-            for p in before.keys() | after.keys():
-                if d := after[p] - before[p]:
-                    changed[p] += d * f
-                if p not in after and p != (a, b):
-                    holders[p].discard(i)
-                elif p in after:
-                    holders[p].add(i)
-            words[i] = (new, f)
-        for p, d in changed.items():
-            if d:
-                counts[p] += d
-                if counts[p] > 0:
-                    heapq.heappush(heap, (-counts[p], *p))
-                else:
-                    del counts[p]
-                    holders.pop(p, None)
-    return merges
-
-
-def bpe_train(histogram: DataFrame, vocab_size: int = 300, min_frequency: int = 2,
-              checkpoint_every: int = 10, local_symbols: int = LOCAL_SYMBOLS) -> tuple[DataFrame, DataFrame]:
+        now, (a, b) = best
+        merged, i = [], 0
+        while i < len(symbols):
+            both = symbols[i] == a and i + 1 < len(symbols) and symbols[i + 1] == b
+            merged.append(a + b if both else symbols[i])
+            i += 2 if both else 1
+        if seen is not None:
+            seen(now, symbols, merged)
+        symbols = merged
+    return symbols
+
+
+def _times(merges: list[tuple[str, str]]) -> dict:
+    times: dict = {}
+    for t, pair in enumerate(merges, 1):
+        times.setdefault(pair, []).append(t)
+    return times
+
+
+def _rewritten(done):
+    """The words with the merges ``done``; words of one symbol have no pairs and go."""
+    def run(batches):
+        times = _times(done.value)
+        for batch in batches:
+            words, freq = [], []
+            for w, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                symbols = _segmented(w.split(SEP), times)
+                if len(symbols) > 1:
+                    words.append(SEP.join(symbols))
+                    freq.append(f)
+            yield pa.record_batch([pa.array(words, pa.string()), pa.array(freq, pa.int64())], names=["w", "freq"])
+
+    return run
+
+
+def _delta_rows(plan):
+    """``(a, b, t, d)``: by how much each merge ``t`` of the tried ones changes the
+    count of each pair (t = 0: the pairs of the words as they are, if asked for),
+    summed per task.  Only words that hold a tried pair are cut anew."""
+    def run(batches):
+        done, tried, initial = plan.value
+        before, times = _times(done), _times(tried)
+        deltas: dict = {}
+
+        def rows():
+            keys = list(deltas)
+            return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+                                    pa.array([k[2] for k in keys], pa.int32()), pa.array([deltas[k] for k in keys], pa.int64())],
+                                   names=["a", "b", "t", "d"])
+
+        for batch in batches:
+            for w, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                symbols = _segmented(w.split(SEP), before) if done else w.split(SEP)
+                if initial:
+                    for a, b in zip(symbols, symbols[1:]):
+                        deltas[a, b, 0] = deltas.get((a, b, 0), 0) + f
+                if tried:
+                    def changed(t, old, new, f=f):
+                        x, y = Counter(zip(old, old[1:])), Counter(zip(new, new[1:]))
+                        for pair in x.keys() | y.keys():
+                            if d := y[pair] - x[pair]:
+                                key = (*pair, t)
+                                deltas[key] = deltas.get(key, 0) + d * f
+                    _segmented(symbols, times, changed)
+            if len(deltas) > _FLUSH:
+                yield rows()
+                deltas.clear()
+        yield rows()
+
+    return run
+
+
+def _first_doubt(plan):
+    """The first tried merge that need not be the next best one, per task: its own
+    pair changed before its turn, or another pair came to a greater count, or a
+    pair came back from nothing (it would be as old as new)."""
+    def run(batches):
+        tried, counts = plan.value
+        place = {pair: t for t, pair in enumerate(tried, 1)}
+        falling = [-c for c in counts]                      # ascending, for bisection
+        worst = len(tried) + 1
+        for batch in batches:
+            for a, b, events in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                mine, count = place.get((a, b)), 0
+                for e in sorted(events, key=lambda e: e["t"]):
+                    t, d = e["t"], e["d"]
+                    if t == 0 or not d:
+                        count += d
+                        continue
+                    if mine is not None and t < mine:
+                        worst = min(worst, mine)
+                    if count == 0 and d > 0 and events and any(x["t"] < t and x["d"] for x in events):
+                        worst = min(worst, t)
+                    count += d
+                    if t != mine:                           # the first later merge with a smaller count than this pair now has
+                        worst = min(worst, max(t, bisect.bisect_right(falling, -count - 1 if count else 0)) + 1)
+        yield pa.record_batch([pa.array([worst], pa.int64())], names=["j"])
+
+    return run
+
+
+def bpe_train(histogram: DataFrame, vocab_size: int = 300, min_frequency: int = 2, limit_alphabet: int = 0,
+              rewrite_every: int = 12, most_tried: int = 4000) -> tuple[DataFrame, DataFrame]:
     """Learn merges on the pre-token histogram.
 
-    Returns ``(merges(rank, left, right, count), vocab(token, id))``; ids:
-    specials, then the 256 byte symbols, then merged symbols in merge order."""
+    Pair counts are a stored table that is kept by deltas.  Each round tries the
+    best pairs of the table (at most ``most_tried``, twice as many as the last round
+    took): one scan of the distinct words gives, for every pair, by how much each
+    tried merge changes its count.  The merges up to the first that the others may
+    have overtaken are exactly the next ones of the one-by-one algorithm; they are
+    taken, and the deltas up to there added.  The best pair is always right, so
+    each round takes one merge at least.  The words are rewritten every
+    ``rewrite_every`` rounds.  What the driver holds is the merges, the output.
+
+    Of pairs with equal counts the older one goes first (the one that came to be by
+    an earlier merge), then the smaller left, then the smaller right symbol.
+    ``limit_alphabet`` keeps only the most frequent byte symbols (ties: in order of
+    the alphabet); others are left out of words and vocabulary.
+
+    Returns ``(merges(rank, left, right, count), vocab(token, id))``; ids: specials,
+    then the byte symbols, then merged symbols in merge order."""
     if min_frequency < 1:
         raise ValueError("min_frequency must be >= 1")
     spark = histogram.sparkSession
-    base = SPECIAL_TOKENS + byte_alphabet()
-    n_merges = max(0, vocab_size - len(base))
-    words = histogram.select(F.array_join(to_byte_symbols(F.col("pretoken")), SEP).alias("w"), "freq") \
-        .groupBy("w").agg(F.sum("freq").alias("freq"))
-    words = materialize(words, "bpe-words")
-    merges: list[tuple[int, str, str, int]] = []
-    rounds = n_merges
-    if (words.agg(F.sum(F.size(F.split("w", SEP, -1)))).first()[0] or 0) <= local_symbols:
-        held = [(r["w"].split(SEP), int(r["freq"])) for r in words.toLocalIterator()]
-        merges, rounds = learn_merges(held, n_merges, min_frequency), 0
-    for r in range(rounds):
-        syms = F.split(F.col("w"), SEP, -1)
-        pairs = words.select(F.explode(F.arrays_zip(F.slice(syms, 1, F.size(syms) - 1).alias("a"),
-                                                    F.slice(syms, 2, F.size(syms) - 1).alias("b"))).alias("p"),
-                             "freq")
-        best = (pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-                .agg(F.sum("freq").alias("count"))
-                .orderBy(F.col("count").desc(), "a", "b").limit(1).collect())
-        if not best or best[0]["count"] < min_frequency:
+    words = histogram.select(to_byte_symbols(F.col("pretoken")).alias("s"), "freq")
+    alphabet = byte_alphabet()
+    if 0 < limit_alphabet < len(alphabet):
+        used = words.select(F.explode("s").alias("c"), "freq").groupBy("c").agg(F.sum("freq").alias("n")).collect()
+        n = {r["c"]: r["n"] for r in used}                   # 256 rows at most
+        alphabet = sorted(sorted(alphabet, key=lambda c: -n.get(c, 0))[:limit_alphabet], key=alphabet.index)
+        words = words.withColumn("s", F.filter("s", lambda c: c.isin(alphabet)))
+    words = words.where(F.size("s") > 1).select(F.array_join("s", SEP).alias("w"), F.col("freq").cast("bigint").alias("freq"))
+    words = materialize(words.groupBy("w").agg(F.sum("freq").alias("freq")), "bpe-words")
+    base = SPECIAL_TOKENS + alphabet
+    n_merges, merges, done, tried, rounds = max(0, vocab_size - len(base)), [], [], [], 0
+    shape = "a string, b string, t int, d bigint"
+    send = spark.sparkContext.broadcast
+    pairs = words.mapInArrow(_delta_rows(send(([], [], True))), shape).groupBy("a", "b").agg(
+        F.sum("d").alias("count"), F.lit(0).alias("birth"))
+    pairs = materialize(pairs, "bpe-pairs")
+    to_try = 16
+    while len(merges) < n_merges:
+        best = pairs.where(F.col("count") >= min_frequency).orderBy(F.desc("count"), "birth", "a", "b") \
+            .limit(min(to_try, n_merges - len(merges))).collect()
+        if not best:
             break
-        a, b, c = best[0]["a"], best[0]["b"], int(best[0]["count"])
-        merges.append((r, a, b, c))
-        pat = "(^|" + SEP + ")" + _java_escape(a) + SEP + _java_escape(b) + "(?=" + SEP + "|$)"
-        words = words.withColumn("w", F.regexp_replace("w", pat, "$1" + (a + b).replace("\\", "\\\\").replace("$", "\\$")))
-        if (r + 1) % checkpoint_every == 0:
-            words = materialize(words, "bpe-words")
+        tried, counts = [(r["a"], r["b"]) for r in best], [r["count"] for r in best]
+        deltas = words.mapInArrow(_delta_rows(send((done, tried, False))), shape)
+        known = pairs.select("a", "b", F.lit(0).alias("t"), F.col("count").alias("d"), "birth")
+        every = known.unionByName(deltas.withColumn("birth", F.lit(None).cast("int"))).repartition("a", "b") \
+            .groupBy("a", "b", "t").agg(F.sum("d").alias("d"), F.min("birth").alias("birth")) \
+            .groupBy("a", "b").agg(F.collect_list(F.struct("t", "d")).alias("events"), F.min("birth").alias("birth"))
+        every = materialize(every, "bpe-deltas")
+        doubt = every.where(F.size("events") > 1 - F.col("birth").isNull().cast("int")).select("a", "b", "events") \
+            .mapInArrow(_first_doubt(send((tried, counts))), "j bigint").agg(F.min("j")).first()[0]
+        take = max(1, min(len(tried), (doubt or len(tried) + 1) - 1))
+        merges += [(len(merges) + t, a, b, c) for t, ((a, b), c) in enumerate(zip(tried[:take], counts))]
+        done = done + tried[:take]
+        first = F.array_min(F.transform(F.filter("events", lambda e: e["d"] > 0), lambda e: e["t"]))
+        pairs = every.select("a", "b", F.aggregate("events", F.lit(0).cast("bigint"), lambda n, e: n + F.when(
+            e["t"] <= take, e["d"]).otherwise(F.lit(0))).alias("count"),
+            F.coalesce("birth", F.lit(len(merges) - take) + first).cast("int").alias("birth")).where(F.col("count") > 0)
+        to_try = max(16, min(most_tried, 2 * take))
+        rounds += 1
+        if rounds % rewrite_every == 0:
+            words, done = materialize(words.mapInArrow(_rewritten(send(done)), "w string, freq bigint"), "bpe-words"), []
     merge_df = spark.createDataFrame(merges, "rank int, left string, right string, count bigint")
     vocab = [(t, i) for i, t in enumerate(base)] + [(a + b, len(base) + i) for i, (_, a, b, _) in enumerate(merges)]
     return merge_df, spark.createDataFrame(vocab, "token string, id int")

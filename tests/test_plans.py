@@ -53,15 +53,6 @@ def test_two_level_position_with_clustered_keys(spark):
     assert pre == want
 
 
-def test_bpe_merges_are_the_same_in_memory_and_by_spark(spark):
-    from corpusflow.operators import bpe as B
-    hist = spark.createDataFrame([(" aaaa", 3), (" abab", 5), ("aaa", 2), (" banana$", 4), (" über.", 4), ("bab", 1)],
-                                 "pretoken string, freq long")
-    here, _ = B.bpe_train(hist, vocab_size=261 + 12)
-    there, _ = B.bpe_train(hist, vocab_size=261 + 12, local_symbols=0)
-    assert here.orderBy("rank").collect() == there.orderBy("rank").collect()
-
-
 def test_bpe_train_learns_on_the_documents(spark):
     """Far more merges than the twenty of before, counted on the documents."""
     from corpusflow.plans.catalog import QUERIES
