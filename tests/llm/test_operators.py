@@ -254,20 +254,65 @@ def test_license_scan(spark, docs, empty):
 def test_license_scan_finds_key_phrases_of_short_notices(spark):
     """Most words of the templates occur in no document."""
     notice = "licensed under the apache license version 2 0"
+    phrases = [(n.partition(":")[0], p) for n, (_, keys) in sorted(license_scan.TEMPLATES.items()) for p in keys]
     df = spark.createDataFrame([(0, f"some code {notice}"), (1, "the license version"), (2, notice.split(" ", 3)[3]),
-                                *((3 + i, phrase) for i, phrase in enumerate(
-                                    p for _, (_, keys) in sorted(license_scan.TEMPLATES.items()) for p in keys))],
-                               "doc_id long, text string")
+                                *((3 + i, p) for i, (_, p) in enumerate(phrases))], "doc_id long, text string")
     got = {r["doc_id"]: r for r in collect(license_scan.scan_licenses(df))}
-    template = license_scan.TEMPLATES["apache-2.0"][0].split()
     assert [got[i]["labels"] for i in range(3)] == ["apache-2.0", "", "apache-2.0"]
-    assert got[0]["score"] == 8 / len(template) and got[2]["score"] == 5 / len(template)
-    names = [n.partition(":")[0] for n, (_, keys) in sorted(license_scan.TEMPLATES.items()) for _ in keys]
-    assert all(n in got[3 + i]["labels"].split(",") for i, n in enumerate(names))
+    assert got[0]["score"] == got[2]["score"] == 1.0
+    assert all(n in got[3 + i]["labels"].split(",") for i, (n, _) in enumerate(phrases))
     alone = df.where("doc_id = 0")
     assert [r["labels"] for r in collect(license_scan.scan_licenses(alone))] == ["apache-2.0"]
 
 
+def test_license_templates_are_found_through_postings_only():
+    import copy
+    template = {"x": ("alpha beta the gamma delta of epsilon zeta the eta", ["gamma delta of epsilon", "the eta"])}
+    words = lambda t: t.encode().split()
+    text = words("intro " + template["x"][0] + " outro")
+    index = license_scan.build_index({w: 1 for w in text}, template)
+    assert license_scan.scan(text, index, {})[1] == {"x": 1.0}
+    bare = copy.copy(index)
+    bare.postings = {}
+    assert license_scan.scan(text, bare, {})[1] == {}
+    # the long template needs both phrases in their places, a notice its phrase alone
+    long_only = license_scan.build_index({w: 1 for w in text}, template)
+    long_only.postings = {w: [(t, i) for t, i in ps if len(long_only.words[t]) > 4] for w, ps in index.postings.items()}
+    assert license_scan.scan(text, long_only, {})[1] == {"x": 1.0}
+    assert license_scan.scan(words("alpha beta the gamma delta of epsilon zeta"), long_only, {})[1] == {}
+    assert license_scan.scan(words("gamma delta of epsilon"), long_only, {})[1] == {}
+    assert license_scan.scan(words("gamma delta of epsilon"), index, {})[1] == {"x": 1.0}
+    # rare words scattered about agree on no place
+    assert license_scan.scan(words("zeta alpha epsilon gamma beta delta eta"), index, {})[1] == {}
+
+
+def test_license_base_columns_and_labels_equal_plain_search(spark):
+    """Random texts of licence words: base places by looking at every word, labels by
+    looking for every key phrase."""
+    import random
+    rnd = random.Random(9)
+    pool = [p for _, keys in license_scan.TEMPLATES.values() for p in keys] + list(license_scan.BASE) + \
+        ["cc", "by", "general public", "license", "all rights", "reserved", "mit", "the", "x", "\u00e9t\u00e9"]
+    texts = [" ".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) for _ in range(300)] + [None, "", "CC-BY, cc.by"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in collect(license_scan.scan_licenses(df))}
+
+    def places(words, phrase):
+        p = phrase.split()
+        return [i for i in range(len(words)) if words[i:i + len(p)] == p]
+
+    for i, t in enumerate(texts):
+        words = [w.decode() for w in license_scan.words_of(t.encode() if t is not None else None)]
+        base = sorted((k, label) for phrase, label in license_scan.BASE.items() for k in places(words, phrase))
+        labels = {label for _, label in base} | {n.partition(":")[0] for n, (_, keys) in license_scan.TEMPLATES.items()
+                                                 for p in keys if places(words, p)}
+        r = got[i]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(base))
+        assert (r["first_word"], r["last_word"]) == ((base[0][0], base[-1][0]) if base else (None, None))
+        assert r["base_labels"] == ",".join(sorted({label for _, label in base})) and r["labels"] == ",".join(sorted(labels))
+        assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(labels)
+
+
 def test_language_id(spark, docs, empty):
     en = "the house and the garden were quiet in the morning light while they walked"
     de = "das haus und der garten waren ruhig im licht des morgens während sie gingen"
