@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import bisect
 import unicodedata
-from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -148,10 +147,14 @@ def _delta_rows(plan):
                         deltas[a, b, 0] = deltas.get((a, b, 0), 0) + f
                 if tried:
                     def changed(t, old, new, f=f):
-                        x, y = Counter(zip(old, old[1:])), Counter(zip(new, new[1:]))
-                        for pair in x.keys() | y.keys():
-                            if d := y[pair] - x[pair]:
-                                key = (*pair, t)
+                        diff: dict = {}
+                        for pair in zip(old, old[1:]):
+                            diff[pair] = diff.get(pair, 0) - 1
+                        for pair in zip(new, new[1:]):
+                            diff[pair] = diff.get(pair, 0) + 1
+                        for (a, b), d in diff.items():
+                            if d:
+                                key = (a, b, t)
                                 deltas[key] = deltas.get(key, 0) + d * f
                     _segmented(symbols, times, changed)
             if len(deltas) > _FLUSH:
@@ -224,7 +227,7 @@ def bpe_train(histogram: DataFrame, vocab_size: int = 300, min_frequency: int =
     words = words.where(F.size("s") > 1).select(F.array_join("s", SEP).alias("w"), F.col("freq").cast("bigint").alias("freq"))
     words = materialize(words.groupBy("w").agg(F.sum("freq").alias("freq")), "bpe-words")
     base = SPECIAL_TOKENS + alphabet
-    n_merges, merges, done, tried, rounds = max(0, vocab_size - len(base)), [], [], [], 0
+    n_merges, merges, done, rounds = max(0, vocab_size - len(base)), [], [], 0
     shape = "a string, b string, t int, d bigint"
     send = spark.sparkContext.broadcast
     pairs = words.mapInArrow(_delta_rows(send(([], [], True))), shape).groupBy("a", "b").agg(

@@ -27,6 +27,15 @@ def test_query_matches_oracle(spark, con, name):
     assert ok, detail
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
-def test_rows_only_queries_run(spark, name):
-    assert E.queries()[name](spark, "/root/testdata/sf0.001").count() >= 0
+def test_classifier_metrics_belong_to_their_splits(spark):
+    """The model queries, which SQL cannot express: row sets, ranges, and each
+    prediction the larger of two probabilities."""
+    sf = "/root/testdata/sf0.001"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    scored = E.queries()["score_table"](spark, sf).collect()
+    assert {r["doc_id"]: r["label"] for r in scored} == labels and len(scored) == len(labels)
+    assert all(r["pred"] in (0, 1) and 0.5 <= r["conf"] <= 1 for r in scored)
+    assert sum(r["pred"] == r["label"] for r in scored) > 0.8 * len(scored)
+    runs = E.queries()["multi_seed_runs"](spark, sf).collect()
+    assert {r["run"] for r in runs} == {42, 43, 44, 45, 46} and {r["split"] for r in runs} == {"validation", "test"}
+    assert all(0 <= r["value"] <= 1 for r in runs if r["metric"] in ("accuracy", "precision", "recall", "f1"))
