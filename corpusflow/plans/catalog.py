@@ -792,10 +792,11 @@ def q_load_corpus(spark, sf):
 
 @register("stream_dedup")
 def q_stream_dedup(spark, sf):
-    """K1: streaming length gate + hash dedup over the documents file."""
+    """K1: streaming length gate + hash dedup over the documents table, one file or a
+    folder of files (a glob path lists either; a plain one must be a folder)."""
     base = _scratch(spark, "stream")
     schema = table(spark, sf, "documents").schema
-    out = run_stream_dedup(spark, sf, schema, f"{base}/out", f"{base}/ckpt", glob="documents.parquet")
+    out = run_stream_dedup(spark, f"{sf}/{{documents.parquet}}", schema, f"{base}/out", f"{base}/ckpt", glob="*")
     return out.select("content_hash")
 
 

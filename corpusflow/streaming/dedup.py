@@ -32,14 +32,15 @@ def run_stream_dedup(spark: SparkSession, source_dir: str, schema: T.StructType,
                      min_length: int = 100, max_files_per_trigger: int | None = None) -> DataFrame:
     """Drive K1 over a parquet directory with an ``availableNow`` trigger
     (process everything present, then stop) into a parquet sink; returns the
-    batch read of the sink.  ``checkpoint`` must be on shared storage; a
-    restarted query resumes from it with exactly-once file output."""
+    batch read of the sink, with no rows if nothing came.  ``checkpoint`` must be on
+    shared storage; a restarted query resumes from it with exactly-once file output."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
-    q = (dedup_stream(stream, text, min_length).writeStream.format("parquet")
+    kept = dedup_stream(stream, text, min_length)
+    q = (kept.writeStream.format("parquet")
          .option("checkpointLocation", checkpoint).option("path", out_dir)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.schema(kept.schema).parquet(out_dir)

@@ -216,3 +216,16 @@ def test_rows_scored_by_any_model(spark):
     got = {r["id"]: (r["pred"], r["conf"]) for r in ml.score_rows(df, make, batch_rows=3).collect()}
     assert got == {0: (1, 0.8), 1: (-1, 0.0), 2: (-1, 0.0), 3: (-1, 0.0), 4: (0, 0.5), 5: (1, 0.8)}
     assert ml.score_rows(df.limit(0), make).count() == 0
+
+
+def test_stream_dedup_reads_a_folder_of_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from corpusflow.plans.catalog import QUERIES
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = docs.where(F.length("text") >= 100).select(F.md5("text")).distinct().count()
+    for sf in (str(tmp_path), "/root/testdata/sf0.001"):
+        got = QUERIES["stream_dedup"](spark, sf)
+        assert got.count() == got.distinct().count() == want
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert QUERIES["stream_dedup"](spark, f"{tmp_path}/none").count() == 0
