@@ -75,3 +75,12 @@ def test_corpus_merges_equal_one_by_one(spark):
     table = dict(zip(range(256), B.byte_alphabet()))
     words = [([table[b] for b in r["pretoken"].encode()], r["freq"]) for r in hist.collect()]
     assert [tuple(r) for r in merges.orderBy("rank").collect()] == one_by_one(words, 250, 2)
+
+
+def test_few_rounds(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    hist = B.pretoken_counts(docs).where(F.col("freq") >= 3)
+    rounds, store = [], B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df, name: (rounds.append(name), store(df, name))[1])
+    merges, _ = B.bpe_train(hist, vocab_size=261 + 600)
+    assert merges.count() == 600 and rounds.count("bpe-deltas") <= 15
