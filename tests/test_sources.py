@@ -135,3 +135,13 @@ def test_lines_that_strict_parsers_refuse(spark, tmp_path):
     nan = next(x for x in back if "score" in x)["score"]
     assert nan != nan and next(x for x in back if "deep" in x)["deep"] == {"x": [1, float("inf"), "é"]}
     assert next(x for x in back if "big" in x)["no_text"] is None
+
+
+def test_tables_of_many_parts(spark):
+    root = _scratch() + "/x.csv/in"
+    rows = spark.createDataFrame([(f"t{i}", i % 2) for i in range(40)], "text string, label int").repartition(4)
+    rows.select("text").write.json(f"{root}/a.jsonl")
+    rows.write.option("header", True).csv(f"{root}/b/c.csv")
+    out, info = R.discover_table(spark, f"file://{root}/", L.normalize_labelled)
+    assert info["path"].endswith("/b/c.csv") and len(info["attempts"]) == 1
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect()))
