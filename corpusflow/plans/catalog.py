@@ -728,10 +728,10 @@ def q_discover_tables(spark, sf):
 
 @register("list_files")
 def q_list_files(spark, sf):
-    """Files of a nested folder by path parts, read in that order."""
+    """Files of a nested folder by path parts; its subfolders in that order."""
     root = _scratch(spark, "listing")
-    table(spark, sf, "documents").select("lang", "text").coalesce(1).write.partitionBy("lang").json(f"{root}/by")
-    names = [r["path"].rsplit("/", 2)[1] for r in R.list_files(spark, root, (".json",)).toLocalIterator()]
+    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").json(f"{root}/by")
+    names = dict.fromkeys(r["path"].rsplit("/", 2)[1] for r in R.list_files(spark, root, (".json",)).toLocalIterator())
     return spark.createDataFrame([(i, n.split("=")[1]) for i, n in enumerate(names)], "pos int, lang string")
 
 

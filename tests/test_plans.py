@@ -229,3 +229,18 @@ def test_stream_dedup_reads_a_folder_of_files(spark, tmp_path):
         assert got.count() == got.distinct().count() == want
     docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert QUERIES["stream_dedup"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_list_files_lists_many_parts(spark, tmp_path, monkeypatch):
+    from corpusflow.plans import catalog
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.option("maxRecordsPerFile", 50).parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    listed, inner = [], catalog.R.list_files
+    monkeypatch.setattr(catalog.R, "list_files", lambda *a: (listed.append(inner(*a)), listed[0])[1])
+    try:
+        got = {r["pos"]: r["lang"] for r in catalog.QUERIES["list_files"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    assert got == dict(enumerate(langs)) and listed[0].count() > len(langs)
