@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ WORD_SPECIALS = ["<PAD>", "<UNK>"]                   # ids 0, 1
 CHAR_SPECIALS = ["<PAD>", "<UNK>", "<BOS>", "<EOS>"]  # ids 0..3
 PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
 _MAX_CHARS = 0x110000 + len(CHAR_SPECIALS)
+_NOTHING, _OTHER = 0x110000, 0x110001                # no code points: ids that add nothing, or are looked up one by one
+_SLICE = 1 << 20                                     # characters or ids of an Arrow batch that are worked on at a time
 
 
 def _first_seen_vocab(docs: DataFrame, tokens, order: str, specials: list[str],
@@ -138,17 +141,22 @@ def encode_chars(docs: DataFrame, vocab: DataFrame, text: str = "text", order: s
 
     @F.arrow_udf("array<bigint>")
     def ids(texts: pa.Array) -> pa.Array:
-        values = ["" if t is None else t for t in texts.to_pylist()]
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) + 2 * wrap
-        chars = np.frombuffer("".join(values).encode("utf-32-le"), "<u4")
-        ends = np.cumsum(sizes)
-        flat = np.empty(int(sizes.sum()), np.int64)
-        inner = np.ones(len(flat), bool)
-        if wrap:
-            inner[ends - 1] = inner[ends - sizes] = False
-            flat[ends - sizes], flat[ends - 1] = BOS_ID, EOS_ID
-        flat[inner] = held.value[chars]
-        return pa.LargeListArray.from_arrays(np.r_[0, ends], pa.array(flat)).cast(pa.list_(pa.int64()))
+        sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 2 * wrap
+        ends = np.r_[0, np.cumsum(sizes)]
+        flat = np.empty(int(ends[-1]), np.int64)
+        at = 0
+        while at < len(texts):                        # a bounded number of characters at a time, a row at least
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + _SLICE, "right")) - 1)
+            chars = np.frombuffer("".join(t or "" for t in texts.slice(at, end - at).to_pylist()).encode("utf-32-le"), "<u4")
+            part = flat[ends[at]:ends[end]]
+            inner = np.ones(len(part), bool)
+            if wrap:
+                first, last = ends[at:end] - ends[at], ends[at + 1:end + 1] - ends[at] - 1
+                inner[first] = inner[last] = False
+                part[first], part[last] = BOS_ID, EOS_ID
+            part[inner] = held.value[chars]
+            at = end
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
     return _with_blank(docs.withColumn("ids", ids(F.col(text))), text)
 
@@ -160,12 +168,37 @@ def decode_chars(encoded: DataFrame, vocab: DataFrame, ids: str = "ids", order:
     tokens = {r["id"]: r["token"] for r in _char_table(vocab)}
     if skip_special_tokens:
         tokens.update(dict.fromkeys((PAD_ID, UNK_ID, BOS_ID, EOS_ID), ""))
-    held = encoded.sparkSession.sparkContext.broadcast(tokens)
+    table = np.full(max(tokens, default=0) + 1, _OTHER, np.uint32)       # code point by id
+    for i, t in tokens.items():
+        if i >= 0 and len(t) < 2:
+            table[i] = ord(t) if t else _NOTHING
+    held = encoded.sparkSession.sparkContext.broadcast((tokens, table))
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
-        known = held.value
-        return pa.array(["".join(known.get(i, "<UNK>") for i in row or ()) for row in column.to_pylist()], pa.string())
+        known, table = held.value
+        ends = column.offsets.to_numpy() if len(column) else np.zeros(1, np.int32)
+        values, there = column.values, column.is_valid().to_numpy(zero_copy_only=False)
+        parts, at = [], 0
+        while at < len(column):                       # a bounded number of ids at a time, a row at least
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + _SLICE, "right")) - 1)
+            part = values.slice(ends[at], ends[end] - ends[at])
+            ids = pc.fill_null(part, -1).to_numpy(zero_copy_only=False)
+            inside = (ids >= 0) & (ids < len(table))
+            chars = np.where(inside, table[np.where(inside, ids, 0)], np.uint32(_OTHER))
+            rows = []
+            for i in range(at, end):
+                lo, hi = ends[i] - ends[at], ends[i + 1] - ends[at]
+                c = chars[lo:hi]
+                if not there[i]:
+                    rows.append("")
+                elif (c == _OTHER).any():
+                    rows.append("".join(known.get(x, "<UNK>") for x in ids[lo:hi].tolist()))
+                else:
+                    rows.append(c[c != _NOTHING].astype("<u4").tobytes().decode("utf-32-le"))
+            parts.append(pa.array(rows, pa.string()))
+            at = end
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return encoded.select(order, text(F.col(ids)).alias("text"))
 

@@ -146,3 +146,15 @@ def test_pad_batches(spark):
     df = spark.createDataFrame([(0, [5, 6, 7]), (0, [8]), (1, [1, 2])], "batch long, ids array<bigint>")
     out = sorted((r["batch"], r["input_ids"], r["attention_mask"]) for r in Q.pad_batches(df, max_length=2).collect())
     assert out == [(0, [5, 6], [1, 1]), (0, [8, 0], [1, 0]), (1, [1, 2], [1, 1])]
+
+
+def test_characters_coded_in_slices(spark):
+    from pyspark.sql import functions as F
+    n = V._SLICE // 1000
+    df = spark.range(3 * n, numPartitions=1).select("id", F.when(F.col("id") % 5 > 0, F.repeat(F.concat(F.lit("aü😀"), F.col("id") % 7), 400)).alias("text"))
+    vocab = V.build_char_vocab(df, order="id")
+    enc = V.encode_chars(df, vocab, order="id", add_special_tokens=True)
+    back = V.decode_chars(enc, vocab, order="id").withColumnRenamed("text", "back").join(df, "id")
+    assert back.where(F.col("back") == F.coalesce("text", F.lit(""))).count() == 3 * n
+    odd = spark.createDataFrame([(1, [4, 999, None]), (2, None), (3, []), (4, [2, 5, 3])], "id long, ids array<bigint>")
+    assert [r["text"] for r in V.decode_chars(odd, vocab, order="id").orderBy("id").collect()] == ["a<UNK><UNK>", "", "", "ü"]
