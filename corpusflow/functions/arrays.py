@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +59,17 @@ def valid_predictions(*pred_cols: str, sentinel: int = -1) -> Column:
     for c in pred_cols:
         cond = cond & (F.col(c) != sentinel)
     return cond
+
+
+def by_slices(function, *columns: pa.Array, size: int = 4 << 20) -> pa.Array:
+    """``function`` of Arrow columns (the first holds text), given slices of about
+    ``size`` bytes of that text each (a row at least), so that only so much of a batch
+    stands as Python objects at a time."""
+    column = columns[0]
+    ends = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)])
+    parts, at = [], 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        parts.append(function(*[c.slice(at, end - at) for c in columns]))
+        at = end
+    return pa.concat_arrays(parts) if parts else function(*columns)

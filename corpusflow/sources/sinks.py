@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.functions.arrays import by_slices
+
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """I4: CSV with header, quotes escaped by doubling, one folder per split."""
@@ -28,7 +30,8 @@ def _rewritten(source: str, text: str | None) -> str:
 @F.arrow_udf(T.StringType())
 def rewrite_source(source: pa.Array, text: pa.Array) -> pa.Array:
     """Objects that VARIANT cannot hold (NaN, infinities), with ``text`` replaced."""
-    return pa.array([None if s is None else _rewritten(s, t) for s, t in zip(source.to_pylist(), text.to_pylist())], pa.string())
+    return by_slices(lambda s, t: pa.array([None if a is None else _rewritten(a, b) for a, b in zip(s.to_pylist(), t.to_pylist())],
+                                           pa.string()), source, text)
 
 
 def write_variant_jsonl(df: DataFrame, path: str, data: str = "data", text: str = "text", source: str = "source") -> None:

@@ -145,3 +145,14 @@ def test_tables_of_many_parts(spark):
     out, info = R.discover_table(spark, f"file://{root}/", L.normalize_labelled)
     assert info["path"].endswith("/b/c.csv") and len(info["attempts"]) == 1
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_by_slices_bounds_what_is_held():
+    import pyarrow as pa
+    from corpusflow.functions.arrays import by_slices
+    seen = []
+    texts = pa.array(["x" * 40, None, "y" * 500, "z", ""])
+    out = by_slices(lambda a, b: (seen.append(len(a)), pa.array([str(x) + str(y) for x, y in zip(a.to_pylist(), b.to_pylist())]))[1],
+                    texts, pa.array(range(5)), size=50)
+    assert out.to_pylist() == [str(x) + str(i) for i, x in enumerate(texts.to_pylist())] and seen == [2, 1, 2]
+    assert by_slices(lambda a: a, texts.slice(0, 0)).to_pylist() == []
