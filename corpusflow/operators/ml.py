@@ -8,9 +8,11 @@ evaluated with the same metric operators (E5 / E6)."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 from corpusflow.functions.arrays import argmax, confidence
 from corpusflow.operators import metrics as M
 from corpusflow.operators import sampling as S
+from corpusflow.session import materialize
+
+SEEDS_AT_ONCE = 5
 
 
 def pool_vectors(df: DataFrame, group: str = "label", pos: str = "vec_id", vec: str = "embedding",
@@ -52,22 +57,40 @@ def classifier_pipeline(num_features: int = 1 << 18, reg: float = 0.01, max_iter
     ])
 
 
+def with_terms(df: DataFrame, **kw) -> DataFrame:
+    """The stages of :func:`classifier_pipeline` that learn nothing (words, hashed
+    counts) applied to every row and stored as ``_tf`` instead of the text (null
+    where the text is), so that fits and scores that read it again and again cut
+    no text into words."""
+    words, counts = classifier_pipeline(**kw).getStages()[:2]
+    keep = [c for c in df.columns if c != "text"]
+    whole = df.select(*keep, F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNotNull().alias("_there"))
+    terms = counts.transform(words.transform(whole))
+    return materialize(terms.select(*keep, F.when(F.col("_there"), F.col("_tf")).alias("_tf")), "terms")
+
+
 def train_text_classifier(train: DataFrame, **kw) -> PipelineModel:
-    """Fit on ``(text, label)`` rows (label cast to double for Spark ML)."""
-    data = train.where(F.col("text").isNotNull()).withColumn("label", F.col("label").cast("double"))
-    return classifier_pipeline(**kw).fit(data)
+    """Fit on ``(text, label)`` rows, or on rows of :func:`with_terms` made with
+    the same arguments (label cast to double for Spark ML)."""
+    words, counts, idf, classifier = classifier_pipeline(**kw).getStages()
+    data = train if "_tf" in train.columns else with_terms(train.select("text", "label"), **kw)
+    data = data.where(F.col("_tf").isNotNull()).select(F.col("label").cast("double").alias("label"), "_tf")
+    weights = idf.fit(data)
+    return PipelineModel([words, counts, weights, classifier.fit(weights.transform(data))])
 
 
 def score_table(model: PipelineModel, df: DataFrame, sentinel: int = -1) -> DataFrame:
     """Probabilities, prediction (argmax, first on ties) and confidence for
-    every row; rows that cannot be scored (null text) get ``(-1, 0.0)``."""
-    ok = df.where(F.col("text").isNotNull())
-    bad = df.where(F.col("text").isNull())
-    scored = model.transform(ok).withColumn("probs", vector_to_array("_prob"))
-    pred = argmax("probs")
-    scored = scored.withColumn("pred", pred).withColumn("conf", confidence("probs", F.col("pred")))
-    keep = df.columns
-    scored = scored.select(*keep, "probs", "pred", "conf")
+    every row; rows that cannot be scored (null text) get ``(-1, 0.0)``.  Rows of
+    :func:`with_terms` are scored from their stored counts."""
+    source, stages = ("_tf", model.stages[2:]) if "_tf" in df.columns else ("text", model.stages)
+    keep = [c for c in df.columns if c != "_tf"]
+    ok = df.where(F.col(source).isNotNull())
+    bad = df.where(F.col(source).isNull())
+    # stored: whatever reads the prediction, each row goes through the model once
+    scored = PipelineModel(stages).transform(ok).select(*keep, vector_to_array("_prob").alias("probs"))
+    scored = materialize(scored, "scored")
+    scored = scored.withColumn("pred", argmax("probs")).withColumn("conf", confidence("probs", F.col("pred")))
     failed = bad.select(*keep, F.lit(None).cast("array<double>").alias("probs"),
                         F.lit(sentinel).alias("pred"), F.lit(0.0).alias("conf"))
     return scored.unionByName(failed)
@@ -134,12 +157,18 @@ def evaluate_splits(model: PipelineModel, splits: DataFrame, split: str = "split
 def multi_seed_runs(labelled: DataFrame, seeds=(42, 43, 44, 45, 46), ratios=(0.8, 0.1, 0.1),
                     id_col: str = "doc_id", **kw) -> DataFrame:
     """Split / train / evaluate per seed (each iteration a distributed
-    fit), metrics in long form ``(run, split, metric, value)`` for E9."""
-    out = None
-    for seed in seeds:
-        sp = S.split3(labelled, ratios, seed=seed, id_col=id_col)
+    fit), metrics in long form ``(run, split, metric, value)`` for E9.
+
+    All seeds read one stored table of hashed counts.  Their fits run side by side
+    (``SEEDS_AT_ONCE``): an iteration is a short job that alone leaves cores idle."""
+    terms = with_terms(S.with_row_hash(labelled), **kw)
+
+    def run(seed):
+        sp = S.split3(terms, ratios, seed=seed, id_col=id_col)
         model = train_text_classifier(sp.where(F.col("split") == "train"), **kw)
         m = evaluate_splits(model, sp.where(F.col("split") != "train"))
-        long = M.unpivot_metrics(m.withColumn("run", F.lit(seed)), ["run", "split"])
-        out = long if out is None else out.unionByName(long)
-    return out
+        return M.unpivot_metrics(m.withColumn("run", F.lit(seed)), ["run", "split"])
+
+    with ThreadPool(min(SEEDS_AT_ONCE, len(seeds))) as pool:
+        runs = pool.map(inheritable_thread_target(labelled.sparkSession)(run), seeds)
+    return S.union_all(*runs)
