@@ -584,16 +584,18 @@ def q_bpe_train(spark, sf):
 
 @register("text_classifier")
 def q_text_classifier(spark, sf):
-    sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
+    terms = ML.with_terms(S.with_row_hash(labelled(spark, sf)))
+    sp = S.split3(terms, (0.8, 0.1, 0.1), seed=42)
     model = ML.train_text_classifier(sp.where(F.col("split") == "train"))
     return ML.evaluate_splits(model, sp.where(F.col("split") != "train"))
 
 
 @register("score_table")
 def q_score_table(spark, sf):
-    sp = S.split3(labelled(spark, sf), (0.8, 0.1, 0.1), seed=42)
+    terms = ML.with_terms(S.with_row_hash(labelled(spark, sf)))
+    sp = S.split3(terms, (0.8, 0.1, 0.1), seed=42)
     model = ML.train_text_classifier(sp.where(F.col("split") == "train"))
-    return ML.score_table(model, labelled(spark, sf)).select("doc_id", "label", "pred", "conf")
+    return ML.score_table(model, terms).select("doc_id", "label", "pred", "conf")
 
 
 def _letter_shares():
