@@ -23,10 +23,11 @@ BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 
 def bigrams(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, pos, prev, next)`` for ``<s> w1 .. wn </s>`` of every document."""
-    seq = F.concat(F.array(F.lit(BOS)), word_tokens(F.col(text)), F.array(F.lit(EOS)))
-    pairs = F.arrays_zip(F.slice(seq, 1, F.size(seq) - 1).alias("prev"),
-                         F.slice(seq, 2, F.size(seq) - 1).alias("next"))
-    return (docs.select(key, F.posexplode(pairs).alias("pos", "bg"))
+    # the words are a column of their own: inside explode() a text would be cut anew for each use of them
+    words = docs.select(key, word_tokens(F.col(text)).alias("_words"))
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(BOS)), "_words").alias("prev"),
+                         F.concat("_words", F.array(F.lit(EOS))).alias("next"))
+    return (words.select(key, F.posexplode(pairs).alias("pos", "bg"))
             .select(key, "pos", F.col("bg.prev").alias("prev"), F.col("bg.next").alias("next")))
 
 
@@ -63,8 +64,12 @@ def _pair_nll(model: dict, pairs: DataFrame) -> DataFrame:
     """``(prev, next, n, nll)`` for distinct held-out pairs ``(prev, next, n)``:
     unseen pairs and contexts get the smoothing mass."""
     k, v = model["k"], model["vocab_size"]
-    seen = pairs.join(model["bigrams"], ["prev", "next"], "left")
-    sizes = seen.groupBy("prev").agg(F.count("*").alias("_rows")).join(model["contexts"].select("prev", "ctx_count"), "prev", "left")
+    # inner joins first: in them either side can be broadcast, so few held-out pairs
+    # (or a small model) leave the other side where it is
+    known = pairs.select("prev", "next").join(model["bigrams"], ["prev", "next"])
+    seen = materialize_df(pairs.join(materialize_df(known, "held-out-counts"), ["prev", "next"], "left"), "held-out-seen")
+    rows = materialize_df(seen.groupBy("prev").agg(F.count("*").alias("_rows")), "held-out-rows")
+    sizes = rows.join(rows.select("prev").join(model["contexts"].select("prev", "ctx_count"), "prev"), "prev", "left")
     scored = join_split_hot(seen, materialize_df(sizes, "held-out-contexts"), ["prev"], "_rows")
     c = F.coalesce(F.col("count"), F.lit(0)).cast("double")
     cp = F.coalesce(F.col("ctx_count"), F.lit(0)).cast("double")

@@ -244,3 +244,33 @@ def test_list_files_lists_many_parts(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
     assert got == dict(enumerate(langs)) and listed[0].count() > len(langs)
+
+
+def test_bigrams_cut_each_text_once(spark):
+    """A text is split in a projection; the generator only reads the words, however often it needs them."""
+    from corpusflow.operators import lm
+    rows = [(1, "A b a\x1cB"), (2, ""), (3, None), (4, "<s> </s>")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm.bigrams(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    seqs = {1: ["<s>", "a", "b", "a", "b", "</s>"], 2: ["<s>", "</s>"], 4: ["<s>", "<s>", "</s>", "</s>"]}
+    want = [(i, p, *pair) for i, s in seqs.items() for p, pair in enumerate(zip(s, s[1:]))]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_few_held_out_pairs_leave_the_model_in_place(spark, monkeypatch):
+    """The model's counts are no side of an outer join: a small held-out set is broadcast to them."""
+    from corpusflow.operators import lm
+    from corpusflow.session import materialize
+    plans = {}
+
+    def look(df, name="stage"):
+        plans[name] = _plan(df)
+        return materialize(df, name)
+
+    model = lm.train_ngram_lm(_hot_pairs(spark, 900))
+    monkeypatch.setattr(lm, "materialize_df", look)
+    held = spark.createDataFrame([(1, "the w3 unseen a1 b1")], "doc_id long, text string")
+    lm.lm_perplexity(model, held, per_document=True)
+    assert "Exchange hashpartitioning" not in plans["held-out-counts"] and "BroadcastHashJoin" in plans["held-out-counts"]
