@@ -274,3 +274,15 @@ def test_few_held_out_pairs_leave_the_model_in_place(spark, monkeypatch):
     held = spark.createDataFrame([(1, "the w3 unseen a1 b1")], "doc_id long, text string")
     lm.lm_perplexity(model, held, per_document=True)
     assert "Exchange hashpartitioning" not in plans["held-out-counts"] and "BroadcastHashJoin" in plans["held-out-counts"]
+
+
+def test_topk_ranks_a_context_once(spark, monkeypatch):
+    """One cut and no further window after the stored one: logits are the model's, k = 0 too."""
+    from corpusflow.operators import lm
+    model = lm.train_ngram_lm(_hot_pairs(spark, 600))
+    got = lm.bigram_topk(model, k=2, temperature=0.5)
+    assert "Window" not in _plan(got)
+    for k in (2, 0):
+        want = lm.next_token_topk(lm.bigram_logprobs(model), k=k, temperature=0.5)
+        key = lambda r: (r["prev"], r["next"], round(r["logit"], 9), round(r["prob"], 9))
+        assert sorted(map(key, lm.bigram_topk(model, k=k, temperature=0.5).collect())) == sorted(map(key, want.collect()))
