@@ -83,7 +83,7 @@ def block_starts(n_tokens: int, block_size: int, stride: int) -> tuple[int, int,
 
 def _windows(slices: DataFrame, block_size: int) -> DataFrame:
     """Windows from their slices ``(start, at, part)``: a few arrays each."""
-    blocks = slices.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("_w"))
+    blocks = slices.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("_w"))
     ids = F.flatten(F.col("_w.part"))
     return blocks.select("start", F.slice(ids, 1, block_size).alias("x"), F.slice(ids, 2, block_size).alias("y"))
 
@@ -122,7 +122,7 @@ def pack_blocks(stream: DataFrame, block_size: int = 256, stride: int = 128,
         n_tokens = stream.count()
     max_start, last, has_tail = block_starts(n_tokens, block_size, stride)
     cells = stream.groupBy(F.floor(F.col("g") / stride).cast("bigint").alias("_c")).agg(
-        F.array_sort(F.collect_list(F.struct("g", "token_id"))).alias("_t"))
+        F.sort_array(F.collect_list(F.struct("g", "token_id"))).alias("_t"))
     cells = cells.select((F.col("_c") * stride).alias("_at"), F.col("_t.token_id").alias("_ids"))
     return _windows(_cut(cells, "_at", "_ids", max_start, last, has_tail, block_size, stride), block_size)
 

@@ -94,7 +94,7 @@ def _encode(docs: DataFrame, text: str, vocab: DataFrame, order: str, max_len: i
     if max_len is not None:
         tokens = F.slice(tokens, 1, max_len)
     ids = lookup_ids(docs.select(order, F.posexplode(tokens).alias("_pos", "_tok")), vocab, "_tok", "_id")
-    per_doc = ids.groupBy(order).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
+    per_doc = ids.groupBy(order).agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
     enc = _with_blank(docs, text).join(per_doc, order, "left")
     return enc.withColumn("ids", F.coalesce(F.col("_p._id"),
                                             F.array().cast("array<bigint>"))).drop("_p")

@@ -420,7 +420,7 @@ def q_token_stream(spark, sf):
 @register("pack_blocks")
 def q_pack_blocks(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    encoded = V.encode_truncated(docs, V.build_word_vocab(docs), max_length=None)
+    encoded = V.encode_truncated(docs, V.build_word_vocab(docs).hint("shuffle_hash"), max_length=None)
     blocks = Q.pack_documents(encoded, block_size=256, stride=128)
     return blocks.select("start", F.md5(_ids_str("x")).alias("x_md5"), F.md5(_ids_str("y")).alias("y_md5"))
 

@@ -286,3 +286,24 @@ def test_topk_ranks_a_context_once(spark, monkeypatch):
         want = lm.next_token_topk(lm.bigram_logprobs(model), k=k, temperature=0.5)
         key = lambda r: (r["prev"], r["next"], round(r["logit"], 9), round(r["prob"], 9))
         assert sorted(map(key, lm.bigram_topk(model, k=k, temperature=0.5).collect())) == sorted(map(key, want.collect()))
+
+
+def test_pack_blocks_sorts_no_token_rows_for_the_vocabulary(spark, monkeypatch):
+    """The words of all documents are looked up by hash, not sorted by word; skewed ones are split by AQE as before."""
+    from corpusflow.operators import sequences
+    from corpusflow.plans.catalog import QUERIES
+    from corpusflow.session import materialize
+    plans = {}
+
+    def look(df, name="stage"):
+        plans[name] = _plan(df)
+        return materialize(df, name)
+
+    monkeypatch.setattr(sequences, "materialize", look)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES["pack_blocks"](spark, SF001)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ShuffledHashJoin" in plans["stream-documents"] and "lambda" not in plans["stream-documents"]
